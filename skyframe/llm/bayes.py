@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from . import common, rules
 
 #: Statistics of a text, from the counts of rules.counts() and from its letters, each on a scale where a spread of about 1 is usual.
-STATISTICS = ("symbols", "word_length", "dup_lines", "repeats", "capitals", "breaks")
+STATISTICS = ("symbols", "word_length", "dup_lines", "repeats", "capitals", "breaks", "echoes")
 FLOOR = 0.05
 MOST_EVIDENCE = 8.0
-LEAST = 0.2
+LEAST = 0.1
+#: Evidence counts by n / (n + HALF_WORDS) in a text of n words: a few words say little.
+HALF_WORDS = 40
 
 
 def evidence_columns(text: Column, c: Column) -> list[Column]:
@@ -36,6 +38,7 @@ def evidence_columns(text: Column, c: Column) -> list[Column]:
         F.log1p(c["n_repeat_words"] / words * 5),
         F.log1p(F.regexp_count(text, F.lit("[A-Z]")) / letters * 20),
         F.log1p(F.regexp_count(text, F.lit("!!|[|] ")) / words * 20),
+        F.log1p(c["n_echoes"] / words * 10),
     ]
 
 
@@ -101,13 +104,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     """
     common.ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"), rules.counts(F.col(text)).alias("c"))
-    rows = rows.select("doc_id", "host", "path", *(x.cast("double").alias(s) for s, x in zip(STATISTICS, evidence_columns(F.col("text"), F.col("c")), strict=True)))
+    rows = rows.select("doc_id", "host", "path", *(x.cast("double").alias(s) for s, x in zip(STATISTICS, evidence_columns(F.col("text"), F.col("c")), strict=True)), (F.col("c.n_words") / (F.col("c.n_words") + HALF_WORDS)).alias("trust"))
     rows = common.materialise(rows, "statistics")
     marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     rows = common.materialise(rows.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "labelled")
     m = _moments(rows.filter("label is not null"))
     prior = (m["n1"] + 1.0) / (m["n0"] + m["n1"] + 2.0)
-    judged = rows.withColumn("evidence", _evidence(m))
+    judged = rows.withColumn("evidence", F.col("trust") * _evidence(m))
     own = 1 / (1 + F.exp(-(F.col("evidence") + _log_odds(F.lit(prior)))))
     good = F.coalesce(F.col("label").cast("double"), own)
     sites = site_posteriors(judged.select("host", "path", good.alias("good")))

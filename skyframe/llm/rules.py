@@ -1,6 +1,6 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Each document has some base counts and four ratios. The ratios go into mergeable quantile sketches (log-spaced buckets with
+Each document has some base counts and five ratios (the last: words equal to the word before). The ratios go into mergeable quantile sketches (log-spaced buckets with
 counts: sketches merge by adding, quantiles are within 1 %, and the order of rows can't change them), one per language and source.
 A group of few documents takes its language's merged sketch, or that of all documents. A document stays if no ratio lies beyond
 its group's fence, median + width * max(quartile distance, floor).
@@ -22,8 +22,8 @@ SPAN = 8
 GAMMA = 1.02
 MIN_GROUP = 200
 #: ratio -> (fences' width, floor of the quartile distance, slack for n words as slack / sqrt(n), whether a lower fence holds too)
-FENCES = {"symbol_ratio": (3.0, 0.05, 0.0, False), "word_length": (3.0, 0.25, 4.0, True), "dup_line_ratio": (3.0, 0.12, 0.0, False), "repeat_ratio": (3.0, 0.1, 0.0, False)}
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+FENCES = {"symbol_ratio": (3.0, 0.05, 0.0, False), "word_length": (3.0, 0.25, 4.0, True), "dup_line_ratio": (3.0, 0.12, 0.0, False), "repeat_ratio": (3.0, 0.1, 0.0, False), "echo_ratio": (3.0, 0.1, 0.0, False)}
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echoes")
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) | 1 for k in range(SPAN)], np.uint64)
 
 
@@ -64,7 +64,8 @@ def text_counts(raw: bytes) -> tuple[int, ...]:
             n_lines += 1
             dup += line in lines
             lines.add(line)
-    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(ids), n_lines
+    echoes = int((ids[1:] == ids[:-1]).sum())
+    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(ids), n_lines, echoes
 
 
 _STRUCT = pa.struct([(c, pa.int64()) for c in _COUNTS])
@@ -91,6 +92,7 @@ def _ratios() -> dict[str, Column]:
         "word_length": F.col("word_chars") / words,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / words,
+        "echo_ratio": F.col("n_echoes") / words,
     }
 
 
