@@ -21,7 +21,7 @@ from . import common, rules
 STATISTICS = ("symbols", "word_length", "dup_lines", "repeats", "capitals", "breaks", "echoes")
 FLOOR = 0.05
 MOST_EVIDENCE = 8.0
-LEAST = 0.1
+LEAST = 0.4
 #: Evidence counts by n / (n + HALF_WORDS) in a text of n words: a few words say little.
 HALF_WORDS = 40
 

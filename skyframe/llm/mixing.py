@@ -97,3 +97,17 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     starts = lambda x: F.when((F.col("shard_size") > 0) & (F.col("size") > 0), F.floor(x / F.col("shard_size")) + (F.pmod(x, F.col("shard_size")) > F.col("begin")).cast("long")).otherwise(F.lit(0))
     end = F.col("_first") + F.col("_run")
     return placed.select("doc_id", "size", "source", "source_size", "target", (reach(end) - reach(F.col("_first"))).cast("long").alias("taken"), (starts(end) - starts(F.col("_first"))).cast("long").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix in whole documents: each row of docs as often as the mix takes its first word, with all its columns.
+
+    A shard's run of words begins and ends within a document, so this is off by a document a shard at most. Of rows that share
+    a doc_id, each gets one of the numbers that mix() gave to that id.
+    """
+    given, n, at, key = (common.fresh(docs, c) for c in ("_given", "_n", "_at", "_key"))
+    found = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list("copies")).alias(given))
+    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col(key)))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*docs.columns))
+    counted = joined.withColumn(at, nth).withColumn(n, F.col(given)[F.col(at) - 1]).filter(F.col(n) > 0)
+    return counted.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
