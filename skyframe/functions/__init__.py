@@ -1 +1 @@
-
+"""Column builders and NumPy kernels."""

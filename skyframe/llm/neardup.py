@@ -6,8 +6,8 @@
    `matches` coordinates at least, but for a chance of about 1e-6 at the limit itself, so they share one of their
    coordinates - matches + 1 rarest values: only those are posted (prefix), and classes without enough shared values drop out.
 3. Posting lists are joined with a pivot each, sizes out of bounds skipped; pairs with enough collisions are confirmed on the
-   full sets and their links joined to components. Lists that still hold several components get more pivots, then all their
-   pairs across components. A pair within one component needs no test, so that large groups cost rows in proportion.
+   full sets and their links joined to components. Lists that still hold several components get more and more pivots (short
+   lists all their pairs), and last all their pairs across components. A pair within one component needs no test, so that large groups cost rows in proportion.
 4. Components come from large-star and small-star rounds over the links.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 U64 = np.uint64
+#: Posting lists up to this length have all their pairs tested at once.
+SHORT = 8
 _words: dict[bytes, int] = {}
 
 
@@ -161,7 +164,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11, pivots: tuple[int, ...] = (4, 16, 48)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets, equal sets of course. Empty sets (null, empty
@@ -189,35 +192,35 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     fits &= F.col("n_b") * percent <= 100 * F.col("n_a")
     log = math.log(percent / 100)
     lists = postings.select("rep", "n", "c", "v", F.floor(F.log("n") / -log).alias("band"), F.col("rep").alias("component"))
+    side = lambda t, s, *more: t.select("c", "v", *more, F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"of_{s}"))
+    low = lists.groupBy("c", "v", "band").agg(F.min("rep").alias("rep")).join(lists, ["c", "v", "band", "rep"])
+    found = [side(low, "a", "band").join(side(lists, "b", "band"), ["c", "v", "band"])]
     links = tested = None
-    for step in ("pivot", "pivots", "all"):
-        several = None
-        if step != "pivot":
-            labels = components(links)
-            lists = lists.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = lists.groupBy("c", "v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("c", "v")
-            several = common.materialise(lists.join(mixed, ["c", "v"]), "lists")
-            if several.isEmpty():
-                break
-        here = lists if several is None else several
-        side = lambda t, s: t.select("c", "v", F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"of_{s}"), *(["band"] if step == "pivot" else []))
-        if step == "all":
-            a, b, on = side(here, "a"), side(here, "b"), ["c", "v"]
-        else:
-            key = ["c", "v", "band"] if step == "pivot" else ["c", "v"]
-            chosen = [F.min(F.struct((F.xxhash64(F.lit(seed + k), "rep") if k else F.col("rep")).alias("turn"), "rep", "n", "component")).alias(f"p{k}") for k in range(1 if step == "pivot" else pivots + 1)]
-            top = here.groupBy(*key).agg(*chosen).select(*key, F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.rep", f"p{k}.n", f"p{k}.component") for k in range(len(chosen)))))).alias("p"))
-            a, b, on = side(top.select(*key, "p.*"), "a"), side(here, "b"), key
-        pairs = a.join(b, on).filter((F.col("of_a") != F.col("of_b")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ahead = [*pivots, None]  # None: all pairs of what is left
+    while True:
+        pairs = [x.filter((F.col("of_a") != F.col("of_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]
+        pairs = reduce(DataFrame.union, pairs).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.materialise(pairs, "pairs")
-        found = _confirmed(pairs, reps, sets, matches, percent)
-        links = common.materialise(found if links is None else found.union(links), "confirmed")
+        linked = _confirmed(pairs, reps, sets, matches, percent)
+        links = common.materialise(linked if links is None else linked.union(links), "confirmed")
         tested = pairs if tested is None else tested.union(pairs)
-    else:
         labels = components(links)
+        if not ahead:
+            break
+        wanted = ahead.pop(0)
+        lists = lists.drop("component", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = lists.groupBy("c", "v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y").select("c", "v", "size")
+        lists = common.materialise(lists.join(mixed, ["c", "v"]), "lists")
+        if lists.isEmpty():
+            break
+        short = lists if wanted is None else lists.filter(F.col("size") <= SHORT)
+        found = [side(short, "a").join(side(short, "b"), ["c", "v"]).filter("a < b")]
+        if wanted is not None:
+            lists = lists.filter(F.col("size") > SHORT)
+            some = lists.filter(F.pmod(F.xxhash64(F.lit(seed + wanted), "rep"), F.col("size")) < wanted)
+            found.append(side(some, "a").join(side(lists, "b"), ["c", "v"]))
 
     ids = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sig").join(ids, "key", "left")
