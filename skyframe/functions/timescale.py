@@ -1,4 +1,7 @@
-"""Double-length Julian dates, ISO strings and UTC to TAI, as Columns. A date is a pair (high, low) of doubles."""
+"""Double-length Julian dates, ISO strings and UTC to TAI, as Columns. A date is a pair (high, low) of doubles.
+
+Each step mentions its arguments several times: keep a step's pair as columns (with_pair) before the next step.
+"""
 
 from __future__ import annotations
 
@@ -44,10 +47,8 @@ def jd_to_iso(jd: tuple[Column, Column]) -> Column:
 
 
 def _offset(day: Column, days: list[tuple[float, int]]) -> Column:
-    out = F.lit(None).cast("double")
-    for first, seconds in days:
-        out = F.when(day >= first, F.lit(float(seconds))).otherwise(out)
-    return out
+    table = F.array(*(F.struct(F.lit(first).alias("day"), F.lit(float(seconds)).alias("s")) for first, seconds in days))
+    return F.aggregate(table, F.lit(None).cast("double"), lambda s, x: F.when(day >= x["day"], x["s"]).otherwise(s))
 
 
 def utc_to_tai(jd: tuple[Column, Column]) -> tuple[Column, Column]:
