@@ -117,6 +117,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int
     return texts.join(wanted, "rep").select("rep", "key", "text").mapInArrow(common.arrow_rows(take, schema), "rep long, set binary")
 
 
+def _own(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, own): how many of a class's shingles no other class of reps has."""
+    schema = pa.schema([("rep", pa.int64()), ("shingle", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(s, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], schema=schema)
+
+    rows = sets.join(reps, "rep", "left_semi").select("rep", "set").mapInArrow(spread, "rep long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b) with enough collisions and, on the full sets, enough in common."""
     sig = reps.select("rep", "sig")
@@ -164,7 +179,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11, pivots: tuple[int, ...] = (4, 16, 48)) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11, pivots: tuple[int, ...] = (4, 16)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets, equal sets of course. Empty sets (null, empty
@@ -191,8 +206,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     fits = F.col("n_a") * percent <= 100 * F.col("n_b")
     fits &= F.col("n_b") * percent <= 100 * F.col("n_a")
     log = math.log(percent / 100)
-    lists = postings.select("rep", "n", "c", "v", F.floor(F.log("n") / -log).alias("band"), F.col("rep").alias("component"))
-    side = lambda t, s, *more: t.select("c", "v", *more, F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"of_{s}"))
+    # neither holds what is the other's own, which bounds what they can share
+    share = {s: F.col(f"n_{s}") - F.col(f"own_{s}") for s in "ab"}
+    fits &= (100 * F.least(share["a"], share["b"]) >= percent * (F.col("own_a") + F.col("own_b") + F.greatest(share["a"], share["b"])))
+    lists = postings.select("rep", "n", "c", "v", F.floor(F.log("n") / -log).alias("band"), F.col("rep").alias("component"), F.lit(0).cast("long").alias("own"))
+    side = lambda t, s, *more: t.select("c", "v", *more, F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}"), F.col("component").alias(f"of_{s}"))
     low = lists.groupBy("c", "v", "band").agg(F.min("rep").alias("rep")).join(lists, ["c", "v", "band", "rep"])
     found = [side(low, "a", "band").join(side(lists, "b", "band"), ["c", "v", "band"])]
     links = tested = None
@@ -219,6 +237,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = [side(short, "a").join(side(short, "b"), ["c", "v"]).filter("a < b")]
         if wanted is not None:
             lists = lists.filter(F.col("size") > SHORT)
+            if wanted == pivots[0]:
+                lists = common.materialise(lists.drop("own").join(_own(lists.select("rep").distinct(), sets), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))), "lists")
             some = lists.filter(F.pmod(F.xxhash64(F.lit(seed + wanted), "rep"), F.col("size")) < wanted)
             found.append(side(some, "a").join(side(lists, "b"), ["c", "v"]))
 
