@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema
 
 ORDER, MAX_T, INTERVAL, THRESHOLD, SHIFT = 3, 2.75, 0.375, 1.1, 0.013671875
-START = {"x": "((k*37)%1009-504)/16.0", "y": "((k*53)%1013-506)/16.0", "z": "((k*71)%1019-509)/16.0", "r": "20+((k*7)%11)/64.0"}
+START = {"x": "((k*37)%1009-504)/32.0", "y": "((k*53)%1013-506)/32.0", "z": "((k*71)%1019-509)/32.0", "r": "20+((k*7)%11)/64.0"}
 SPEED = {"x": "((k*13)%17-8)/16.0", "y": "((k*29)%19-9)/16.0", "z": "((k*31)%23-11)/16.0"}
 BEGIN = "(k%4)*0.25"
 MOVES = "k%7<>0"
