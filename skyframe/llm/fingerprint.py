@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LANES = 16
-BUCKETS = 256
+LANES = 8
+BUCKETS = 128
 _LANE, _MASS = 2**32, 2**31
 #: Cuts behind each line end and behind the space after a sentence.
 _CUT = r"(?<=\n)|(?<=[.!?] )"
@@ -30,7 +30,10 @@ def vectors(text: Column) -> Column:
 
 
 def add_up(paragraphs: Column) -> Column:
-    """The fingerprint of an array of paragraph vectors: a struct of lanes and non-empty masses, by cell."""
+    """The fingerprint of an array of paragraph vectors: a struct of lanes and non-empty masses, by cell.
+
+    Lambdas compute what they mention anew for each element, so `paragraphs` has to be a column, not an expression.
+    """
     lanes = F.transform(
         F.sequence(F.lit(0), F.lit(LANES - 1)),
         lambda j: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.xxhash64(p["h"], p["g"], j).bitwiseAND(F.lit(_LANE - 1)), lambda s: F.pmod(s, F.lit(_LANE))),
@@ -56,31 +59,32 @@ def as_text(fingerprint: Column) -> Column:
     return F.concat(lanes, F.lit("/"), masses)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1.0 for equal fingerprints, else the common share of mass, from 0 to 1."""
-    other = F.map_from_entries(b["masses"])
+def likeness(a: Column, b: Column, b_masses: Column) -> Column:
+    """1.0 for equal fingerprints, else the common share of mass, from 0 to 1. b_masses: masses_of(b), as a column."""
     total = lambda f: F.aggregate(f["masses"], F.lit(0).cast("long"), lambda s, m: s + m["mass"])
-    both = F.aggregate(a["masses"], F.lit(0).cast("long"), lambda s, m: s + F.least(m["mass"], F.coalesce(F.try_element_at(other, m["cell"]), F.lit(0).cast("long"))))
+    both = F.aggregate(a["masses"], F.lit(0).cast("long"), lambda s, m: s + F.least(m["mass"], F.coalesce(F.try_element_at(b_masses, m["cell"]), F.lit(0).cast("long"))))
     share = both / F.greatest(total(a) + total(b) - both, F.lit(1).cast("long"))
     return F.when(a["lanes"] == b["lanes"], F.lit(1.0)).otherwise(share.cast("double"))
 
 
+def masses_of(fingerprint: Column) -> Column:
+    """A map from cell to mass."""
+    return F.map_from_entries(fingerprint["masses"])
+
+
 def neighbours(ids: DataFrame) -> DataFrame:
-    """From (id, n), ids unique and not null: (id, next_id, before_n), where next is the next lower id, after the lowest the highest, and before_n is the n of the row whose next this is.
+    """From (id, n), ids unique and not null: (id, before_id, before_n), the row whose next this is: the next higher id, for the highest the lowest.
 
     Ids are dealt by range, ordered within each part, and a table with a row per part links the parts' ends.
     """
     parts = common.materialise(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ids")
-    ends = parts.groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("n", "id").alias("low_n"), F.max_by("n", "id").alias("high_n"))
-    w, every = Window.orderBy("part"), Window.partitionBy()
-    ends = ends.select(
-        F.col("part").alias("_part"),
-        F.coalesce(F.lag("high").over(w), F.max("high").over(every)).alias("below"),
-        F.coalesce(F.lead("low_n").over(w), F.first("low_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("above_n"),
-    )
+    ends = parts.groupBy("part").agg(F.min(F.struct("id", "n")).alias("low"))
+    above = F.coalesce(F.lead("low").over(Window.orderBy("part")), F.min("low").over(Window.partitionBy()))
+    ends = ends.select(F.col("part").alias("_part"), above.alias("above"))
     inside = Window.partitionBy("part").orderBy("id")
-    linked = parts.withColumns({"_next": F.lag("id").over(inside), "_before_n": F.lead("n").over(inside)}).join(ends, F.col("part") == F.col("_part"))
-    return common.materialise(linked.select("id", F.coalesce("_next", "below").alias("next_id"), F.coalesce("_before_n", "above_n").alias("before_n"), "part"), "neighbours").drop("part")
+    linked = parts.withColumn("_higher", F.lead(F.struct("id", "n")).over(inside)).join(ends, F.col("part") == F.col("_part"))
+    before = F.coalesce("_higher", "above")
+    return common.materialise(linked.select("id", before["id"].alias("before_id"), before["n"].alias("before_n")), "neighbours")
 
 
 def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,12 +99,16 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     links = neighbours(ids)
     placed = rows.join(links.hint("merge"), "id", "left")
     first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
-    given = placed.withColumn("_k", first).filter("_k = 1 and next_id is not null")
-    given = given.select(F.col("id").alias("_of"), F.substr("text", F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("start"), add_up(vectors(F.col("text"))).alias("next_f"))
-    joined = placed.join(given.hint("merge"), F.col("next_id") == F.col("_of"), "left")
+    given = placed.withColumn("_k", first).filter("_k = 1 and before_id is not null")
+    given = given.select(F.col("before_id").alias("_for"), F.substr("text", F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("start"), vectors(F.col("text")).alias("_p"))
+    given = given.select("_for", "start", add_up(F.col("_p")).alias("next_f"))
+    joined = placed.join(given.hint("merge"), F.col("id") == F.col("_for"), "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("start", F.lit("")), F.lit(1), half))
     out = joined.select("id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_f")
-    out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), add_up(vectors(F.col("text"))).alias("f"), add_up(vectors(F.col("edited"))).alias("e"), "next_f")
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f"))).alias("near_next"))
+    out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("text")).alias("p"), vectors(F.col("edited")).alias("q"), "next_f")
+    out = out.select("id", "n_chars", "edited_sha256", add_up(F.col("p")).alias("f"), add_up(F.col("q")).alias("e"), "next_f")
+    out = out.withColumns({"e_masses": masses_of(F.col("e")), "next_masses": masses_of(F.col("next_f"))})
+    near_next = F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f"), F.col("next_masses")))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e"), F.col("e_masses")).alias("near_edited"), near_next.alias("near_next"))
