@@ -345,8 +345,8 @@ def test_fingerprints(spark, odd, none):
 
 def test_fingerprints_add_and_take_away(spark):
     df = spark.createDataFrame([("one. two. three\nfour\n", "four\nthree\none. two. ", "three\nfour\n", "one. two. ")], "whole string, other string, a string, b string")
-    f = {c: fingerprint.add_up(fingerprint.vectors(F.col(c))) for c in df.columns}
-    row = df.select(f["whole"].alias("f_whole"), f["other"].alias("f_other"), f["b"].alias("f_b"), fingerprint.combine(f["a"], f["b"]).alias("f_sum"), fingerprint.combine(f["whole"], f["a"], -1).alias("f_rest")).first()
+    f = {c: fingerprint.add_up(F.col(c)) for c in df.columns}
+    row = df.select(*(fingerprint.vectors(F.col(c)).alias(c) for c in df.columns)).select(f["whole"].alias("f_whole"), f["other"].alias("f_other"), f["b"].alias("f_b"), fingerprint.combine(f["a"], f["b"]).alias("f_sum"), fingerprint.combine(f["whole"], f["a"], -1).alias("f_rest")).first()
     assert row.f_whole == row.f_other == row.f_sum and row.f_rest == row.f_b
 
 
