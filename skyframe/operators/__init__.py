@@ -1 +1 @@
-
+"""Part of skyframe."""
