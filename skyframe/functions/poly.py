@@ -149,13 +149,20 @@ def refine(c: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 80) -
     return t
 
 
+#: Minima this share of the width beyond an end count as at that end: rounding may put one at a seam of two windows outside both.
+SEAM = 1e-10
+
+
 def minima(c: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, t): where in [0, width) the row's polynomial turns from falling to rising."""
-    slope = np.concatenate([c[:, 1:] * np.arange(1, c.shape[1]), np.zeros((len(c), 1))], axis=1)
-    row, low, high = sign_intervals(slope, width)
+    """(row, t): where in [0, width] the row's polynomial turns from falling to rising. A minimum at an end may show up in both windows that meet there."""
+    beyond = SEAM * width
+    moved = np_translate(c, -beyond)
+    slope = np.concatenate([moved[:, 1:] * np.arange(1, c.shape[1]), np.zeros((len(c), 1))], axis=1)
+    row, low, high = sign_intervals(slope, width + 2 * beyond)
     if not len(row):
         return row, low
     t = refine(slope[row], low, high)
     bend = np_horner(slope[row][:, 1:] * np.arange(1, slope.shape[1]), t)
-    ok = np.isfinite(t) & (bend > 0) & (t < width[row]) & (t >= 0)
-    return row[ok], t[ok]
+    ok = np.isfinite(t) & (bend > 0)
+    row, t = row[ok], t[ok] - beyond[row[ok]]
+    return row, np.clip(t, 0.0, width[row])

@@ -287,7 +287,10 @@ def narrow_phase(pairs: DataFrame, segments: DataFrame, max_t: float, interval:
             found, _ = _approaches(b, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(found[f.name].tolist(), type=f.type) for f in _CONJ], schema=_CONJ)
 
-    return windows(pairs, segments, max_t, interval).mapInArrow(run, schema.CONJUNCTIONS)
+    found = windows(pairs, segments, max_t, interval).mapInArrow(run, schema.CONJUNCTIONS)
+    earlier = F.lag("tca").over(Window.partitionBy("i", "j").orderBy("tca", "cd_idx"))
+    # a minimum at the seam of two windows is found in both
+    return found.withColumn("_earlier", earlier).filter(F.col("_earlier").isNull() | (F.col("tca") - F.col("_earlier") > 10 * poly.SEAM * interval)).drop("_earlier")
 
 
 def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
