@@ -118,18 +118,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int
 
 
 def _own(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, own): how many of a class's shingles no other class of reps has."""
-    schema = pa.schema([("rep", pa.int64()), ("shingle", pa.int64())])
+    """(rep, own) from (rep, component): how many of a class's shingles no class of another component has."""
+    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("shingle", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, c, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 s = np.frombuffer(s, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), c)), pa.array(s)], schema=schema)
 
-    rows = sets.join(reps, "rep", "left_semi").select("rep", "set").mapInArrow(spread, "rep long, shingle long")
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).filter("k = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    rows = sets.join(reps, "rep").select("rep", "component", "set").mapInArrow(spread, "rep long, component long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x = y").select("shingle")
+    once = sets.groupBy("rep").count().filter("count = 1")  # rows that share an id with other texts get no bound
+    return rows.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(once, "rep", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -233,12 +234,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         lists = common.materialise(lists.join(mixed, ["c", "v"]), "lists")
         if lists.isEmpty():
             break
+        own = _own(lists.select("rep", "component").distinct(), sets)
+        lists = common.materialise(lists.drop("own").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))), "lists")
         short = lists if wanted is None else lists.filter(F.col("size") <= SHORT)
         found = [side(short, "a").join(side(short, "b"), ["c", "v"]).filter("a < b")]
         if wanted is not None:
             lists = lists.filter(F.col("size") > SHORT)
-            if wanted == pivots[0]:
-                lists = common.materialise(lists.drop("own").join(_own(lists.select("rep").distinct(), sets), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))), "lists")
             some = lists.filter(F.pmod(F.xxhash64(F.lit(seed + wanted), "rep"), F.col("size")) < wanted)
             found.append(side(some, "a").join(side(lists, "b"), ["c", "v"]))
 
