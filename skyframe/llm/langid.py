@@ -3,8 +3,9 @@
 Training counts hashed byte trigrams of every labelled text, per language, in one aggregation; the model is a table of
 BUCKETS probabilities per language, whose size doesn't depend on the corpus. For each document, expectation-maximisation finds the
 proportions of languages that explain its n-grams best. The set of languages is chosen by penalised likelihood: the best single
-language stays unless a mixture gains more than `penalty` per language and log of the n-gram count; languages are then taken
-away one by one as long as that improves the penalised likelihood.
+language stays unless a mixture gains more than `penalty` per language and log of the n-gram count. The search starts from all
+languages of the model: those with the least shares are taken away as long as that improves the penalised likelihood, and a
+language comes back if the bound on its gain allows for one and a new fit confirms it.
 """
 
 from __future__ import annotations
@@ -78,14 +79,28 @@ def _fit(p: np.ndarray, n: np.ndarray, rounds: int = 30, close: float = 1e-4) ->
     share = np.full(p.shape[1], 1 / p.shape[1])
     total = n.sum()
     for _ in range(rounds):
-        joint = p * share
-        mixed = joint.sum(axis=1)
-        new = (n / mixed) @ joint / total
+        new = share * ((n / (p @ share)) @ p) / total
         done = np.abs(new - share).max() < close
         share = new
         if done:
             break
-    return share, float(n @ np.log((p * share).sum(axis=1)))
+    return share, float(n @ np.log(p @ share))
+
+
+def _fewest(p: np.ndarray, n: np.ndarray, share: np.ndarray, cost: float) -> np.ndarray:
+    """The columns of the largest shares, as many as give the best penalised likelihood with these shares scaled to 1.
+
+    A new fit of those columns is at least as likely, so that each cut made here is a gain.
+    """
+    order = np.argsort(-share, kind="stable")
+    order = order[share[order] > 0]
+    mixed, held, value = np.zeros(len(p)), 0.0, np.empty(len(order))
+    total = n.sum()
+    for k, j in enumerate(order):
+        mixed += p[:, j] * share[j]
+        held += share[j]
+        value[k] = n @ np.log(mixed) - total * np.log(held) - cost * k
+    return order[: int(value.argmax()) + 1]
 
 
 def mixture(buckets: np.ndarray, logs: np.ndarray, penalty: float = 2.0) -> np.ndarray:
@@ -94,26 +109,47 @@ def mixture(buckets: np.ndarray, logs: np.ndarray, penalty: float = 2.0) -> np.n
     rows, out = logs[at], np.zeros(logs.shape[1])
     single = n @ rows
     best = int(single.argmax())
-    cost = penalty * np.log(n.sum() + 1.0)
+    total = n.sum()
+    cost = penalty * np.log(total + 1.0)
     # a mixture gains at most what each n-gram's best language gains
     if logs.shape[1] == 1 or n @ rows.max(axis=1) - single[best] <= cost:
         out[best] = 1.0
         return out
     p = np.exp(rows - rows.max(axis=1, keepdims=True))
     offset = float(n @ rows.max(axis=1))
-    chosen = np.argsort(-single)[: min(8, logs.shape[1])]
-    share, like = _fit(p[:, chosen], n)
-    value = like + offset - cost * (len(chosen) - 1)
-    while len(chosen) > 1:
-        rest = np.delete(np.arange(len(chosen)), share.argmin())
-        fewer, less = _fit(p[:, chosen[rest]], n)
-        if less + offset - cost * (len(rest) - 1) < value:
-            break
-        chosen, share, value = chosen[rest], fewer, less + offset - cost * (len(rest) - 1)
+
+    def fit(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The set, its shares and its penalised likelihood, after taking away languages as long as that improves it."""
+        share, like = _fit(p[:, chosen], n)
+        value = like + offset - cost * (len(chosen) - 1)
+        while len(chosen) > 1:
+            rest = _fewest(p[:, chosen], n, share, cost)
+            if len(rest) == len(chosen):
+                rest = np.delete(np.arange(len(chosen)), share.argmin())
+            fewer, less = _fit(p[:, chosen[rest]], n)
+            if less + offset - cost * (len(rest) - 1) < value:
+                break
+            chosen, share, value = chosen[rest], fewer, less + offset - cost * (len(rest) - 1)
+        return chosen, share, value
+
+    chosen, share, value = fit(np.arange(logs.shape[1]))
     if single[best] >= value:
-        out[best] = 1.0
-    else:
-        out[chosen] = share
+        chosen, share, value = np.array([best]), np.ones(1), float(single[best])
+    tried = np.zeros(logs.shape[1], bool)
+    while True:
+        # by concavity, a set with one more language gains at most total * log(pull), pull the largest of its members
+        pull = (n / (p[:, chosen] @ share)) @ p / total
+        most = total * np.log(np.maximum(pull, pull[chosen].max()))
+        open_ = (most > cost) & ~tried
+        open_[chosen] = False
+        if not open_.any():
+            break
+        extra = int(np.where(open_, pull, -1.0).argmax())
+        tried[extra] = True
+        more = fit(np.append(chosen, extra))
+        if more[2] > value:
+            chosen, share, value = more
+    out[chosen] = share
     return out
 
 

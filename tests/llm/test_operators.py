@@ -233,6 +233,19 @@ def test_mixture_shares():
     assert langid.mixture(draw.integers(0, 50, 45), np.log(np.array([[1 / 50, 1e-6]]).repeat(50, axis=0))).tolist() == [1.0, 0.0]
 
 
+def test_mixture_of_many_languages():
+    draw = np.random.default_rng(7)
+    large, rare, grams = 4, 10, 600  # four languages of many rows, ten of few, with the floor of train()
+    real = draw.dirichlet(np.full(grams, 0.1), large + rare)
+    counts = np.stack([draw.multinomial(2_000_000 if k < large else 20_000, w) for k, w in enumerate(real)], axis=1) + 0.5
+    logs = np.log(counts / counts.sum(axis=0))
+    for first, share in ((0.6, 0.4), (0.8, 0.2)):
+        for a, b in ((0, 1), (2, 3), (3, 0), (5, 1)):
+            text = np.concatenate([draw.choice(grams, int(2000 * first), p=real[a]), draw.choice(grams, int(2000 * share), p=real[b])])
+            got = langid.mixture(text, logs)
+            assert np.flatnonzero(got).tolist() == sorted((a, b)) and got[b] == pytest.approx(share, abs=0.06)
+
+
 # toxicity
 
 
