@@ -2,8 +2,9 @@
 
 Each document has some base counts and five ratios (the last: words equal to the word before). The ratios go into mergeable quantile sketches (log-spaced buckets with
 counts: sketches merge by adding, quantiles are within 1 %, and the order of rows can't change them), one per language and source.
-A group of few documents takes its language's merged sketch, or that of all documents. A document stays if no ratio lies beyond
-its group's fence, median + width * max(quartile distance, floor).
+Only documents that pass the base rules are measured. POINTS quantiles of its language are added to a group's sketch, WEIGHT rows
+each, and as many of all documents to a language's, so that small groups go over into those around them smoothly. A document stays if no ratio lies
+beyond its group's fence, high + width * (high - median), by more than what chance does in a text of that length.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 SPAN = 8
 GAMMA = 1.02
-MIN_GROUP = 200
-#: ratio -> (fences' width, floor of the quartile distance, slack for n words as slack / sqrt(n), whether a lower fence holds too)
-FENCES = {"symbol_ratio": (3.0, 0.05, 0.0, False), "word_length": (3.0, 0.25, 4.0, True), "dup_line_ratio": (3.0, 0.12, 0.0, False), "repeat_ratio": (3.0, 0.1, 0.0, False), "echo_ratio": (3.0, 0.1, 0.0, False)}
+#: So many quantiles of the group around count in a group's sketch, as so many rows each.
+POINTS, WEIGHT = 25, 2
+LOW, HIGH, WIDTH, DEVIATIONS = 0.2, 0.8, 3.0, 2.0
+#: ratio -> (what it is counted over, units that come at once by chance); symbols come in pairs, and a passage of SPAN words counts twice
+FENCES = {"symbol_ratio": ("n_words", 2), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 2 * SPAN), "echo_ratio": ("n_words", 1)}
+#: The mean word length has a lower fence too, and strays by so much / sqrt(n) over n words.
+LENGTH_SLACK = 4.0
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echoes")
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) | 1 for k in range(SPAN)], np.uint64)
 
@@ -114,41 +119,53 @@ def quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFra
     return ranked.groupBy(*by, "ratio").agg(F.first("_total").alias("total"), *wanted)
 
 
-def fences(rows: DataFrame, by: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP) -> DataFrame:
-    """Per group, a struct lo_/mid_/hi_ of quartiles for each ratio, from the smallest group around it that has min_group rows."""
-    at, (outer, inner) = {"lo": 0.25, "mid": 0.5, "hi": 0.75}, by
-    leaf = sketches(rows, list(by), _ratios())
-    levels = [quantiles(leaf, keys, at) for keys in (list(by), [outer], [])]
-    a, b, c = (x.withColumn("q", F.struct("lo", "mid", "hi")).drop(*at) for x in levels)
-    b = b.select(F.col(outer).alias("_o"), F.col("ratio").alias("_r"), F.col("q").alias("_q"), F.col("total").alias("_t"))
-    c = c.select(F.col("ratio").alias("_r2"), F.col("q").alias("_q2"))
-    joined = a.join(b, F.col(outer).eqNullSafe(F.col("_o")) & (F.col("ratio") == F.col("_r"))).join(c, F.col("ratio") == F.col("_r2"))
-    chosen = F.when(F.col("total") >= min_group, F.col("q")).when(F.col("_t") >= min_group, F.col("_q")).otherwise(F.col("_q2"))
-    each = [F.max(F.when(F.col("ratio") == k, chosen)).alias(f"q_{k}") for k in FENCES]
-    return joined.groupBy(*by).agg(*each)
+def points(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of POINTS * WEIGHT rows (by..., ratio, bucket, n) with the distributions of the given ones."""
+    at = {f"_q{k}": (k + 0.5) / POINTS for k in range(POINTS)}
+    flat = quantiles(sketch, by, at).select(*by, "ratio", F.explode(F.array(*at)).alias("_x"))
+    bucket = F.when(F.col("_x") > 0, F.round(F.log(F.col("_x") * ((GAMMA + 1) / 2.0)) / float(np.log(GAMMA)))).cast("int")
+    return flat.select(*by, "ratio", bucket.alias("bucket"), F.lit(WEIGHT).cast("long").alias("n"))
+
+
+def _drawn(sketch: DataFrame, by: list[str], around: DataFrame, outer: list[str]) -> DataFrame:
+    """The sketches by `by`, each with the points of the group around it, by `outer`, added."""
+    names = {c: f"_{c}" for c in [*outer, "ratio"]}
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(d)) for c, d in names.items()))
+    groups = sketch.select(*by, "ratio").distinct().join(around.withColumnsRenamed(names), match)
+    return sketch.select(*by, "ratio", "bucket", "n").unionByName(groups.select(*by, "ratio", "bucket", "n"))
+
+
+def fences(rows: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """Per group, a struct lo/mid/hi of quantiles for each ratio, drawn towards those of the groups around it."""
+    at, outer = {"lo": LOW, "mid": 0.5, "hi": HIGH}, [by[0]]
+    leaf = common.materialise(sketches(rows, list(by), _ratios()), "sketches")
+    middle = _drawn(leaf, outer, points(leaf, []), [])
+    found = quantiles(_drawn(leaf, list(by), points(middle, outer), outer), list(by), at)
+    each = [F.max(F.when(F.col("ratio") == k, F.struct(*at))).alias(f"q_{k}") for k in _ratios()]
+    return found.groupBy(*by).agg(*each)
 
 
 def within(prefix: str = "q_") -> Column:
     """Whether no ratio of a row lies beyond its group's fences."""
-    ok = F.lit(True)
-    for name, x in _ratios().items():
-        width, floor, slack, both = FENCES[name]
-        q = F.col(prefix + name)
-        reach = width * F.greatest(q["hi"] - q["lo"], F.lit(floor)) + slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-        ok &= x <= q["mid"] + reach
-        if both:
-            ok &= x >= q["mid"] - reach
+    ratios = _ratios()
+    q, x = F.col(prefix + "word_length"), ratios["word_length"]
+    slack = LENGTH_SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    ok = (x <= q["hi"] + WIDTH * (q["hi"] - q["mid"]) + slack) & (x >= q["lo"] - WIDTH * (q["mid"] - q["lo"]) - slack)
+    for name, (over, unit) in FENCES.items():
+        q, one = F.col(prefix + name), F.lit(float(unit)) / F.greatest(F.col(over), F.lit(1))
+        most = q["hi"] + WIDTH * (q["hi"] - q["mid"]) + one
+        ok &= ratios[name] <= most + DEVIATIONS * F.sqrt(one * most)
     return ok
 
 
-def judge(rows: DataFrame, by: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP) -> DataFrame:
+def judge(rows: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Adds base_failed and kept to rows that have the counts and the two group columns (null is a group too)."""
-    limits = fences(rows.filter(F.col("n_words") > 0), by, min_group)
-    limits = limits.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(by)), *(f"q_{k}" for k in FENCES))
+    limits = fences(rows.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))), by)
+    limits = limits.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(by)), *(f"q_{k}" for k in _ratios()))
     match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)))
     joined = rows.join(limits, match, "left").withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     joined = joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within(), F.lit(True)))
-    return joined.drop("_0", "_1", *(f"q_{k}" for k in FENCES))
+    return joined.drop("_0", "_1", *(f"q_{k}" for k in _ratios()))
 
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -193,6 +193,22 @@ def test_rules_find_junk(spark, small):
     assert sum(good) / len(good) > 0.95
 
 
+def test_rules_reject_junk_beyond_the_base_rules(spark, small):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    bad = [r.kept for r in queries.op3_quality_rules(spark, small).collect() if labels.get(r.doc_id) == 0 and not r.base_failed]
+    assert bad and sum(bad) / len(bad) < 0.1
+
+
+def test_fences_follow_groups(spark):
+    names = "doc_id int, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_echoes long"
+    prose = [(k, "en", "prose", 800 + k, 4000 + 5 * k, k % 2, 0, 0, 40, k % 3) for k in range(400)]
+    code = [(1000 + k, "en", "code", 300, 1500 + k % 30, 150 + k % 60, 0, 0, 40, 0) for k in range(150)]  # fewer rows than prose, own kind
+    junk = [(2000, "en", "prose", 2000, 10000, 200, 0, 0, 40, 0), (2001, "en", "prose", 2000, 10000, 0, 12, 0, 40, 0), (2002, "en", "prose", 2000, 10000, 0, 0, 400, 40, 0), (2003, "en", "prose", 2000, 10000, 0, 0, 0, 40, 400)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in rules.judge(spark.createDataFrame(prose + code + junk, names)).collect()}
+    assert all(got[r[0]] == (False, False) for r in junk)
+    assert all(got[r[0]] == (False, True) for r in prose + code)
+
+
 # hierarchical Bayes
 
 
