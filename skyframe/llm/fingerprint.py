@@ -1,36 +1,67 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame operations only.
 
-A text falls into paragraphs (lines; within a line, sentences, each with what separates it from the next). Every paragraph gives a
-wide vector: LANES pseudo-random numbers, and its length in one of BUCKETS mass cells. A fingerprint is the sum of the vectors of
-all paragraphs, lanes modulo 2 ** 32 and masses modulo 2 ** 31, so that paragraphs can be added or taken away without the rest, and
-order doesn't matter. Lanes tell texts apart; masses give a likeness, the share of mass that two texts have in common.
+A text falls into paragraphs (lines; within a line, sentences, each with what separates it from the next; what is still longer than
+LONG is cut behind words that their own hash picks). Every paragraph gives LANES pseudo-random numbers, and its length as the mass of
+a cell, one of CELLS, which is its own but for a chance of 1 / CELLS with each other paragraph. A fingerprint is the sum of all
+paragraphs, lanes modulo 2 ** 32 and masses modulo 2 ** 31, so that paragraphs can be added or taken away without the rest, and
+order doesn't matter. Lanes tell texts apart; masses, as many as there are distinct paragraphs, give a likeness, the share of mass
+that two texts have in common.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 LANES = 8
-BUCKETS = 128
+CELLS = 2**31
+LONG, PICK = 200, 16
 _LANE, _MASS = 2**32, 2**31
 #: Cuts behind each line end and behind the space after a sentence.
 _CUT = r"(?<=\n)|(?<=[.!?] )"
+#: Cuts behind what isn't a letter, and behind each letter of scripts without blanks.
+_WORD = r"(?<=[^\p{L}\p{M}]|[\u2E80-\uD7FF])"
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f mentions it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _starts(rows: Column, new: Callable[[Column, Column, Column], Column]) -> Column:
+    """The places i, from 0, that are first or hold new(row before, row, i)."""
+    return F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | new(F.get(rows, i - 1), x, i), i)), lambda i: i.isNotNull())
+
+
+def _pieces(part: Column) -> Column:
+    """A long part cut behind each word with a hash of 0 modulo PICK, so that a shared stretch has shared pieces wherever it stands."""
+    run = lambda words, starts: F.transform(starts, lambda i, k: F.array_join(F.slice(words, i + 1, F.coalesce(F.get(starts, k + 1), F.size(words)) - i), ""))
+    cut = _let(F.split(part, _WORD, -1), lambda w: _let(_starts(w, lambda before, x, i: F.pmod(F.xxhash64(before), F.lit(PICK)) == 0), lambda s: run(w, s)))
+    return F.when(F.length(part) <= LONG, F.array(part)).otherwise(cut)
 
 
 def vectors(text: Column) -> Column:
     """A struct (h, g, cell, mass) for each paragraph of a text; null counts as empty, and an empty text has no paragraph."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), _CUT, -1), lambda p: p != "")
+    parts = F.filter(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), _CUT, -1), _pieces)), lambda p: p != "")
     return F.transform(
         F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("h"), F.xxhash64(F.lit(1), p).alias("g"), F.length(p).cast("long").alias("mass"))),
-        lambda p: F.struct(p["h"].alias("h"), p["g"].alias("g"), F.pmod(p["g"], F.lit(BUCKETS)).cast("int").alias("cell"), p["mass"].alias("mass")),
+        lambda p: F.struct(p["h"].alias("h"), p["g"].alias("g"), F.pmod(p["g"], F.lit(CELLS)).cast("int").alias("cell"), p["mass"].alias("mass")),
     )
 
 
+def _by_cell(masses: Column) -> Column:
+    """The sums of an array of (cell, mass), ordered by cell, modulo _MASS: sorted, then a run for each cell."""
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda t, m: t + m["mass"], lambda t: F.pmod(t, F.lit(_MASS)))
+    runs = lambda rows, starts: F.transform(starts, lambda i, k: F.struct(F.get(rows, i)["cell"].alias("cell"), total(F.slice(rows, i + 1, F.coalesce(F.get(starts, k + 1), F.size(rows)) - i)).alias("mass")))
+    return _let(F.sort_array(masses), lambda rows: _let(_starts(rows, lambda before, x, i: before["cell"] != x["cell"]), lambda starts: runs(rows, starts)))
+
+
 def add_up(paragraphs: Column) -> Column:
-    """The fingerprint of an array of paragraph vectors: a struct of lanes and non-empty masses, by cell.
+    """The fingerprint of an array of paragraph vectors: a struct of lanes and masses, by cell.
 
     Lambdas compute what they mention anew for each element, so `paragraphs` has to be a column, not an expression.
     """
@@ -38,17 +69,14 @@ def add_up(paragraphs: Column) -> Column:
         F.sequence(F.lit(0), F.lit(LANES - 1)),
         lambda j: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.xxhash64(p["h"], p["g"], j).bitwiseAND(F.lit(_LANE - 1)), lambda s: F.pmod(s, F.lit(_LANE))),
     )
-    cells = F.array_sort(F.array_distinct(F.transform(paragraphs, lambda p: p["cell"])))
-    mass = lambda c: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.when(p["cell"] == c, p["mass"]).otherwise(F.lit(0).cast("long")), lambda s: F.pmod(s, F.lit(_MASS)))
-    return F.struct(lanes.alias("lanes"), F.transform(cells, lambda c: F.struct(c.alias("cell"), mass(c).alias("mass"))).alias("masses"))
+    masses = F.transform(paragraphs, lambda p: F.struct(p["cell"].alias("cell"), p["mass"].alias("mass")))
+    return F.struct(lanes.alias("lanes"), _by_cell(masses).alias("masses"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the paragraphs of both a and b (sign 1), or of a's without b's (sign -1)."""
     lanes = F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(_LANE)))
-    cells = F.array_sort(F.array_union(F.transform(a["masses"], lambda m: m["cell"]), F.transform(b["masses"], lambda m: m["cell"])))
-    of = lambda f, c: F.aggregate(f["masses"], F.lit(0).cast("long"), lambda s, m: s + F.when(m["cell"] == c, m["mass"]).otherwise(F.lit(0).cast("long")))
-    masses = F.transform(cells, lambda c: F.struct(c.alias("cell"), F.pmod(of(a, c) + sign * of(b, c), F.lit(_MASS)).alias("mass")))
+    masses = _by_cell(F.concat(a["masses"], F.transform(b["masses"], lambda m: F.struct(m["cell"].alias("cell"), (sign * m["mass"]).alias("mass")))))
     return F.struct(lanes.alias("lanes"), F.filter(masses, lambda m: m["mass"] != 0).alias("masses"))
 
 
@@ -59,19 +87,17 @@ def as_text(fingerprint: Column) -> Column:
     return F.concat(lanes, F.lit("/"), masses)
 
 
-def likeness(a: Column, b: Column, b_masses: Column) -> Column:
-    """1.0 for equal fingerprints, else the common share of mass, from 0 to 1. b_masses: masses_of(b), as a column."""
-    total = lambda f: F.aggregate(f["masses"], F.lit(0).cast("long"), lambda s, m: s + m["mass"])
-    both = F.aggregate(a["masses"], F.lit(0).cast("long"), lambda s, m: s + F.least(m["mass"], F.coalesce(F.try_element_at(b_masses, m["cell"]), F.lit(0).cast("long"))))
-    share = both / F.greatest(total(a) + total(b) - both, F.lit(1).cast("long"))
+def likeness(a: Column, b: Column) -> Column:
+    """1.0 for equal fingerprints, else the common share of mass, from 0 to 1."""
+    zero = F.lit(0).cast("long")
+    total = lambda f: F.aggregate(f["masses"], zero, lambda s, m: s + m["mass"])
+    # a cell that both have stands twice in a row
+    lesser = lambda rows: F.transform(rows, lambda x, i: F.when(F.get(rows, i - 1)["cell"] == x["cell"], F.get(rows, i - 1)["mass"]).otherwise(zero))
+    both = F.aggregate(_let(F.sort_array(F.concat(a["masses"], b["masses"])), lesser), zero, lambda s, m: s + m)
+    share = _let(both, lambda x: x / F.greatest(total(a) + total(b) - x, F.lit(1).cast("long")))
     return F.when(a["lanes"] == b["lanes"], F.lit(1.0)).otherwise(share.cast("double"))
 
 
-def masses_of(fingerprint: Column) -> Column:
-    """A map from cell to mass."""
-    return F.map_from_entries(fingerprint["masses"])
-
-
 def neighbours(ids: DataFrame) -> DataFrame:
     """From (id, n), ids unique and not null: (id, before_id, before_n), the row whose next this is: the next higher id, for the highest the lowest.
 
@@ -109,6 +135,5 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     out = joined.select("id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_f")
     out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("text")).alias("p"), vectors(F.col("edited")).alias("q"), "next_f")
     out = out.select("id", "n_chars", "edited_sha256", add_up(F.col("p")).alias("f"), add_up(F.col("q")).alias("e"), "next_f")
-    out = out.withColumns({"e_masses": masses_of(F.col("e")), "next_masses": masses_of(F.col("next_f"))})
-    near_next = F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f"), F.col("next_masses")))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e"), F.col("e_masses")).alias("near_edited"), near_next.alias("near_next"))
+    near_next = F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f")))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), near_next.alias("near_next"))

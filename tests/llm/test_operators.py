@@ -379,6 +379,23 @@ def test_fingerprints_add_and_take_away(spark):
     assert row.f_whole == row.f_other == row.f_sum and row.f_rest == row.f_b
 
 
+def test_likeness_of_long_texts(spark):
+    draw = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5000)])
+    say = lambda n: [" ".join(words[draw.integers(0, 5000, 8)]) + ". " for _ in range(n)]
+    a, b, rest = say(1500), say(1500), say(750)
+    plain = [w for x in a[:200] for w in x.replace(".", "").split()]
+    half = plain[:800] + [w for x in b[:100] for w in x.replace(".", "").split()]
+    blank = "\n" * 300
+    texts = [("".join(a), "".join(b), 0.0), ("".join(a), "".join(a[:750] + rest), 1 / 3), (" ".join(plain), " ".join(half), 1 / 3), (blank + "".join(a[:50]), blank + "".join(b[:50]), 300 / (300 + sum(map(len, a[:50] + b[:50]))))]
+    df = spark.createDataFrame(texts, "a string, b string, want double").select("want", fingerprint.vectors(F.col("a")).alias("p"), fingerprint.vectors(F.col("b")).alias("q"))
+    df = df.select("want", fingerprint.add_up(F.col("p")).alias("f"), fingerprint.add_up(F.col("q")).alias("g"))
+    docs = spark.createDataFrame([(k, "".join(x)) for k, x in enumerate((a, b))], "doc_id long, text string")
+    for r in df.select("want", fingerprint.likeness(F.col("f"), F.col("g")).alias("got")).collect():
+        assert r.got == pytest.approx(r.want, abs=0.04)
+    assert {r.doc_id: r.near_next for r in fingerprint.edited_fingerprints(docs).collect()} == {0: 0.0, 1: 0.0}
+
+
 # pipeline
 
 
