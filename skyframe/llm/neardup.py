@@ -5,10 +5,13 @@
 2. Each class is posted under each (coordinate, value) that another class has too. Two sets of the wanted likeness agree in
    `matches` coordinates at least, but for a chance of about 1e-6 at the limit itself, so they share one of their
    coordinates - matches + 1 rarest values: only those are posted (prefix), and classes without enough shared values drop out.
-3. Posting lists are joined with a pivot each, sizes out of bounds skipped; pairs with enough collisions are confirmed on the
-   full sets and their links joined to components. Lists that still hold several components get more and more pivots (short
-   lists all their pairs), and last all their pairs across components. A pair within one component needs no test, so that large groups cost rows in proportion.
-4. Components come from large-star and small-star rounds over the links.
+3. Each posting list is joined with its most central class, the one whose values are the most common. Pairs with enough
+   collisions are confirmed on the full sets, and their links joined to components: most of a large group becomes one here, at
+   a row a posting.
+4. Lists that still hold several components are cut down by exact bounds on the full sets: a class whose rarest shingles (prefix)
+   are in no other component's can't be linked any more and leaves. What is left is merged list by list: pairs of different
+   components only, skipping sizes, positions and prefixes that can't reach the limit, each pair at its first common value.
+5. Components come from large-star and small-star rounds over the links.
 """
 
 from __future__ import annotations
@@ -16,19 +19,18 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 U64 = np.uint64
-#: Posting lists up to this length have all their pairs tested at once.
-SHORT = 8
+#: So many shared shingles are asked for in prefixes longer by as many; classes show TOKENS of theirs, and pairs that need more aren't skipped.
+DEEPER, TOKENS = 24, 64
 _words: dict[bytes, int] = {}
 
 
@@ -64,18 +66,19 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
 
 
 class Signer:
-    """Signatures of `coordinates` 32-bit minima."""
+    """Signatures of `coordinates` 64-bit minima; the low bits of each are its coordinate, so that a value says which it belongs to."""
 
     def __init__(self, coordinates: int, seed: int):
         draw = np.random.default_rng(seed)
         self.flip = draw.integers(0, 2**63, coordinates, dtype=np.int64).astype(U64)[:, None]
         self.times = (draw.integers(0, 2**63, coordinates, dtype=np.int64).astype(U64) * U64(2) + U64(1))[:, None]
+        self.low_bits = U64((1 << (coordinates - 1).bit_length()) - 1)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         low = np.full(len(self.flip), 2**64 - 1, U64)
         for at in range(0, len(shingles), 2048):
             low = np.minimum(low, ((shingles[None, at : at + 2048] ^ self.flip) * self.times).min(axis=1))
-        return (low >> U64(32)).astype(np.uint32).view(np.int32)
+        return (low & ~self.low_bits | np.arange(len(low), dtype=U64)).view(np.int64)
 
 
 def matches_for(coordinates: int, likeness: float, miss: float = 1e-6) -> int:
@@ -91,7 +94,7 @@ def matches_for(coordinates: int, likeness: float, miss: float = 1e-6) -> int:
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int, coordinates: int, seed: int) -> DataFrame:
     """(doc_id, n, key, sig) of every row: set size, 128-bit digest of the set, signature (null for an empty set)."""
     common.ready(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
     def sign(batch: pa.RecordBatch) -> Iterator[tuple]:
         signer = Signer(coordinates, seed)
@@ -100,56 +103,63 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int, coordinates:
             yield i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signer(s) if len(s) else None
 
     rows = docs.select(F.col(doc_id).cast("long"), common.utf8(F.col(text)))
-    return rows.mapInArrow(common.arrow_rows(sign, schema), "doc_id long, n long, key binary, sig array<int>")
+    return rows.mapInArrow(common.arrow_rows(sign, schema), "doc_id long, n long, key binary, sig array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(rep, set) for the classes in wanted (rep, key), from their own texts."""
-    schema = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
+    """(rep, key, set) for the classes in wanted (rep, key), from their own texts."""
+    schema = pa.schema([("rep", pa.int64()), ("key", pa.binary()), ("set", pa.list_(pa.int64()))])
 
     def take(batch: pa.RecordBatch) -> Iterator[tuple]:
         for i, key, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            s = shingle_set(b, words).tobytes()
-            if hashlib.blake2b(s, digest_size=16).digest() == key:
-                yield i, s
+            s = shingle_set(b, words)
+            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:
+                yield i, key, s.view(np.int64)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), common.utf8(F.col(text)).alias("text"))
-    return texts.join(wanted, "rep").select("rep", "key", "text").mapInArrow(common.arrow_rows(take, schema), "rep long, set binary")
+    return texts.join(wanted, "rep").select("rep", "key", "text").mapInArrow(common.arrow_rows(take, schema, 64), "rep long, key binary, set array<long>")
 
 
-def _own(reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, own) from (rep, component): how many of a class's shingles no class of another component has."""
-    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("shingle", pa.int64())])
+def _sides(table: DataFrame, *columns: str) -> list[DataFrame]:
+    """The table twice, its columns marked _a and _b, rep as a and b."""
+    return [table.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, c, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = np.frombuffer(s, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), c)), pa.array(s)], schema=schema)
 
-    rows = sets.join(reps, "rep").select("rep", "component", "set").mapInArrow(spread, "rep long, component long, shingle long")
-    alone = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x = y").select("shingle")
-    once = sets.groupBy("rep").count().filter("count = 1")  # rows that share an id with other texts get no bound
-    return rows.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(once, "rep", "left_semi")
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with enough collisions and, on the full sets, enough in common."""
+    low, high = _sides(classes, "vals")
+    near = pairs.join(low, "a").join(high, "b").filter(F.size(F.array_intersect("vals_a", "vals_b")) >= matches).select("a", "b").distinct()
+    low, high = _sides(sets, "set")
+    full = near.join(high, "b").join(low, "a").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return full.filter(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions and, on the full sets, enough in common."""
-    sig = reps.select("rep", "sig")
-    collide = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-    near = near.filter(collide >= matches).select("a", "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _several(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The values of `by` that rows of more than one component have, with the number of their rows and the least n."""
+    of = F.min("component").alias("_x"), F.max("component").alias("_y")
+    return rows.groupBy(*by).agg(*of, F.count(F.lit(1)).alias("df"), F.min("n").alias("least")).filter("_x != _y").drop("_x", "_y")
 
-    def confirm(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                yield a, b
 
-    full = near.join(sets.withColumnsRenamed({"rep": "b", "set": "set_b"}), "b").join(sets.withColumnsRenamed({"rep": "a", "set": "set_a"}), "a")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(common.arrow_rows(confirm, schema), "a long, b long")
+def _bounded(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """classes (rep, key, component, ...) that may still be linked to another component, with what bounds it.
+
+    own: how many of a class's shingles no class of another component has. rare: its other shingles, rarest first, TOKENS of them
+    at most. A set of n shingles and one that it is linked to share one of their first n - percent * n / 100 + 1 in this order.
+    """
+    ids = classes.select("rep", "key", "component", "n")
+    rows = sets.join(ids, ["rep", "key"]).select("rep", "key", "component", "n", F.explode("set").alias("shingle"))
+    found = rows.join(_several(rows, ["shingle"]).drop("least"), "shingle")
+    order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    by_class = found.groupBy("rep", "key", "component", "n").agg(order.alias("rare"))
+    by_class = by_class.select("rep", "key", "component", "n", (F.col("n") - F.size("rare")).alias("own"), F.col("rare.shingle").alias("rare"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - F.col("own")
+    by_class = common.materialise(by_class.withColumn("first", first).filter("first > 0"), "bounds")
+    # what isn't its own is all that a class can share, so that it has no partner larger than this
+    most = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")
+    heads = by_class.select("rep", "key", "component", "n", most.alias("most"), F.explode(F.slice("rare", F.lit(1), "first")).alias("shingle"))
+    shared = heads.join(_several(heads, ["shingle"]).select(F.col("shingle").alias("_s"), "least"), F.col("shingle") == F.col("_s")).filter("least <= most")
+    left = by_class.join(shared.select("rep", "key").distinct(), ["rep", "key"], "left_semi").select("rep", "key", "own", F.size("rare").alias("n_rare"), F.slice("rare", 1, TOKENS).alias("rare"))
+    return classes.join(left, ["rep", "key"])
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -180,68 +190,83 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11, pivots: tuple[int, ...] = (4, 16)) -> DataFrame:
+def _central(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of each posting list's most central class with the others: lists are cut into bands of like sizes."""
+    lists = postings.withColumn("band", F.floor(F.log("n") / -math.log(percent / 100)))
+    pivots = lists.groupBy("v", "band").agg(F.max_by(F.struct("rep", "n"), F.struct("pull", -F.col("rep"))).alias("p")).select("v", "band", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
+    others = lists.select("v", "band", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    pairs = pivots.join(others, ["v", "band"]).filter((F.col("a") != F.col("b")) & _sizes_fit(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sizes_fit(percent: int) -> Column:
+    return (F.col("n_a") * percent <= 100 * F.col("n_b")) & (F.col("n_b") * percent <= 100 * F.col("n_a"))
+
+
+def _merged(lists: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in posting lists (v, at, vals, n, rep, component, own, n_rare, rare) that may be linked.
+
+    In each list, the classes outside its largest component meet all of it, so that a large component isn't paired with itself.
+    """
+    sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.groupBy("v").agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("top"))
+    low, high = _sides(lists.join(top, "v"), "v", "top", "at", "vals", "n", "component", "own", "n_rare", "rare")
+    low, high = low.filter("component_a != top_a").withColumnRenamed("v_a", "v"), high.withColumnRenamed("v_b", "v")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)).cast("int")
+    once = (F.col("component_b") == F.col("top_b")) | (F.col("a") < F.col("b"))
+    fits = (F.col("component_a") != F.col("component_b")) & once & _sizes_fit(percent)
+    fits &= (F.col("n_a") - F.col("own_a") >= need) & (F.col("n_b") - F.col("own_b") >= need)
+    # as many values have to be left from here on
+    fits &= F.least(F.size("vals_a") - F.col("at_a"), F.size("vals_b") - F.col("at_b")) >= matches
+    first = ~F.arrays_overlap(F.slice("vals_a", F.lit(1), F.col("at_a")), F.slice("vals_b", F.lit(1), F.col("at_b")))
+    fits &= first & (F.size(F.array_intersect("vals_a", "vals_b")) >= matches)
+    deep = F.least(F.lit(DEEPER), need)
+    take = {x: F.greatest(F.lit(0), F.col(f"n_{x}") - need + deep - F.col(f"own_{x}")).cast("int") for x in "ab"}
+    unseen = F.greatest(*(F.least(take[x], F.col(f"n_rare_{x}")) for x in "ab")) > TOKENS
+    fits &= unseen | (F.size(F.array_intersect(*(F.slice(f"rare_{x}", F.lit(1), take[x]) for x in "ab"))) >= deep)
+    return low.join(high, (low["v"] == high["v"]) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, seed: int = 11) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets, equal sets of course. Empty sets (null, empty
-    or blank texts) link with nothing. Rows that share a doc_id are one node; a null doc_id has a null component and is kept.
+    or blank texts) link with nothing. Rows that share a doc_id are one document, linked with what any of them is linked with; a null
+    doc_id has a null component and is kept. An empty table gives an empty result.
     """
     matches = matches_for(coordinates, percent / 100)
-    prefix = coordinates - matches + 1
     signed = common.materialise(signatures(docs, doc_id, text, words, coordinates, seed), "signatures")
     posted = signed.filter("n > 0 and doc_id is not null")
-    reps = common.materialise(posted.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    reps = common.materialise(posted.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "classes")
+    # an id with several texts links their classes
+    mixed = posted.groupBy("doc_id").agg(F.min("key").alias("_x"), F.max("key").alias("_y")).filter("_x != _y").select("doc_id")
+    same = posted.join(mixed, "doc_id", "left_semi").select("doc_id", "key").join(reps.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    cells = reps.select("rep", "key", "n", F.posexplode("sig").alias("c", "v"))
-    common_cells = cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
-    shared = cells.join(common_cells, ["c", "v"])
+    cells = reps.select("rep", "key", "n", F.explode("sig").alias("v"))
+    shared = cells.join(cells.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "v")
     # a class's values in one global order, rarest first: those that only it has come before all others, and need no posting
-    kept = F.filter(
-        F.slice(F.array_sort(F.collect_list(F.struct("freq", "c", "v"))), 1, F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.count(F.lit(1)).cast("int"))),
-        lambda x: x.isNotNull(),
-    )
-    by_class = shared.groupBy("rep", "key", "n").agg(kept.alias("kept"))
-    postings = common.materialise(by_class.select("rep", "key", "n", F.explode("kept").alias("p")).select("rep", "key", "n", "p.c", "p.v"), "postings")
-    sets = common.materialise(_sets(docs, postings.select("rep", "key").distinct(), doc_id, text, words), "sets")
-
-    fits = F.col("n_a") * percent <= 100 * F.col("n_b")
-    fits &= F.col("n_b") * percent <= 100 * F.col("n_a")
-    log = math.log(percent / 100)
-    # neither holds what is the other's own, which bounds what they can share
-    share = {s: F.col(f"n_{s}") - F.col(f"own_{s}") for s in "ab"}
-    fits &= (100 * F.least(share["a"], share["b"]) >= percent * (F.col("own_a") + F.col("own_b") + F.greatest(share["a"], share["b"])))
-    lists = postings.select("rep", "n", "c", "v", F.floor(F.log("n") / -log).alias("band"), F.col("rep").alias("component"), F.lit(0).cast("long").alias("own"))
-    side = lambda t, s, *more: t.select("c", "v", *more, F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("own").alias(f"own_{s}"), F.col("component").alias(f"of_{s}"))
-    low = lists.groupBy("c", "v", "band").agg(F.min("rep").alias("rep")).join(lists, ["c", "v", "band", "rep"])
-    found = [side(low, "a", "band").join(side(lists, "b", "band"), ["c", "v", "band"])]
-    links = tested = None
-    ahead = [*pivots, None]  # None: all pairs of what is left
-    while True:
-        pairs = [x.filter((F.col("of_a") != F.col("of_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in found]
-        pairs = reduce(DataFrame.union, pairs).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.materialise(pairs, "pairs")
-        linked = _confirmed(pairs, reps, sets, matches, percent)
-        links = common.materialise(linked if links is None else linked.union(links), "confirmed")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        if not ahead:
-            break
-        wanted = ahead.pop(0)
-        lists = lists.drop("component", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = lists.groupBy("c", "v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x != y").select("c", "v", "size")
-        lists = common.materialise(lists.join(mixed, ["c", "v"]), "lists")
-        if lists.isEmpty():
-            break
-        own = _own(lists.select("rep", "component").distinct(), sets)
-        lists = common.materialise(lists.drop("own").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))), "lists")
-        short = lists if wanted is None else lists.filter(F.col("size") <= SHORT)
-        found = [side(short, "a").join(side(short, "b"), ["c", "v"]).filter("a < b")]
-        if wanted is not None:
-            lists = lists.filter(F.col("size") > SHORT)
-            some = lists.filter(F.pmod(F.xxhash64(F.lit(seed + wanted), "rep"), F.col("size")) < wanted)
-            found.append(side(some, "a").join(side(lists, "b"), ["c", "v"]))
+    by_class = shared.groupBy("rep", "key", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("order"))
+    by_class = by_class.filter(F.size("order") >= matches)
+    pull = F.aggregate("order", F.lit(0).cast("long"), lambda s, x: s + x["freq"])
+    classes = common.materialise(by_class.select("rep", "key", "n", F.col("order.v").alias("vals"), pull.alias("pull")), "postings")
+    sets = common.materialise(_sets(docs, classes.select("rep", "key"), doc_id, text, words), "sets")
+    prefix = F.slice("vals", F.lit(1), F.size("vals") - (matches - 1))
+    pairs = common.materialise(_central(classes.select("rep", "n", "pull", F.explode(prefix).alias("v")), percent), "pairs")
+    links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(same), "confirmed")
+    labels = components(links)
+
+    def lists(of: DataFrame) -> DataFrame:
+        """The postings (v, at, ...) of lists that still hold several components."""
+        rows = of.select("*", F.posexplode(prefix).alias("at", "v"))
+        return rows.join(_several(rows, ["v"]), "v", "left_semi")
+
+    known = labels.withColumnRenamed("node", "rep")
+    left = classes.drop("pull").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    left = common.materialise(lists(left).select("rep", "key", "n", "vals", "component").distinct(), "left")
+    left = common.materialise(_bounded(left, sets, percent), "bounded")
+    pairs = common.materialise(_merged(lists(left), matches, percent), "pairs")
+    links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(links), "confirmed")
+    labels = components(links)
 
     ids = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sig").join(ids, "key", "left")
@@ -251,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without those of near_duplicates() that aren't kept; rows with a null id stay."""
-    verdict = near_duplicates(docs, doc_id=doc_id, **options)
-    gone = common.materialise(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs without those of near_duplicates() that aren't kept; rows with a null id stay, those that share an id stay or go together."""
+    verdict, key = near_duplicates(docs, doc_id=doc_id, **options), common.fresh(docs, "_gone")
+    gone = common.materialise(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(key), "left_anti")

@@ -311,6 +311,32 @@ def test_near_duplicates(spark, odd, none):
     assert kept.columns == odd.columns and kept.filter("doc_id is null or text is null").count() == 2
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_duplicates_of_a_large_group(spark, with_base):
+    draw = np.random.default_rng(with_base)
+    base = [f"t{k}" for k in range(90)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, 160):  # most pairs are below the limit; some edits recur, some cut or add words
+        w = list(base)
+        for j in draw.choice(90, i % 8, replace=False).tolist():
+            w[j] = f"e{draw.integers(3)}" if j % 3 else f"own{i}"
+        rows.append((i, " ".join(w[: 90 - i % 5 * (i % 3)] + ["tail"] * (i % 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, words=4).collect()}
+    assert got == brute.near_duplicates(rows, 4)
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (9, b + " more"), (11, "other text")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _gone int")
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (11, 11)}
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 11]
+
+
 def test_near_duplicates_of_table(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_near_duplicates(spark, small).collect()}
