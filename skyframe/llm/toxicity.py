@@ -5,8 +5,9 @@ of a text, as log(1 + count). Fitting uses at most about `sample_rows` labelled
 counts are added up by Spark, the `n_features` with the strongest log-odds are kept, and the driver fits the weights on that
 bounded, sparse sample. Every document is then graded whole, on the executors.
 
-Labels that only say toxic or not give grade 0 or a grade from 1 to `grades` - 1 by how densely a toxic text uses the features
-that speak for toxicity, in equal shares.
+Only the labels' own levels are learned: a threshold below each level that rows have. Where labels have fewer levels than `grades`
+(toxic or not teaches one threshold), the thresholds above the last learned one cut the scores of the labelled rows of the highest
+level into equal parts, so that grades above it say how far up a text is among those, and are no classes of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SAMPLE_ROWS = 20_000
 N_FEATURES = 4096
 GRADES = 4
 STARTS = (5, 6, 7, 8)
+#: Thresholds that aren't learned stand at least so far apart.
+GAP = 0.5
 #: ASCII upper case to lower case, and ASCII other than letters to blanks.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -115,8 +118,8 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str,
     return common.materialise(rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_doc", "text", "label"), "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", grades: int = GRADES, sample_rows: int = SAMPLE_ROWS, n_features: int = N_FEATURES, graded: bool = False) -> Model:
-    """The model; graded says that labels are grades from 0 to grades - 1 already. Without labels of both kinds it finds nothing toxic."""
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", grades: int = GRADES, sample_rows: int = SAMPLE_ROWS, n_features: int = N_FEATURES) -> Model:
+    """The model; labels are levels from 0 up, those from grades - 1 on count as one. Without labels of both kinds it finds nothing toxic."""
     common.ready(docs.sparkSession)
     rows = draw_labelled(docs, labels, doc_id=doc_id, text=text, label=label, sample_rows=sample_rows)
     schema = pa.schema([("feature", pa.binary()), ("clean", pa.int64()), ("toxic", pa.int64())])
@@ -138,28 +141,28 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(b / (n1 + 1.0 - b)) - F.log(a / (n0 + 1.0 - a))
     spread = F.sqrt(1 / a + 1 / b + 1 / (n0 + 1.0 - a) + 1 / (n1 + 1.0 - b))
-    strong = table.withColumn("z", odds / spread).orderBy(F.abs("z").desc(), "feature").limit(n_features).select("feature", "z").collect()
+    strong = table.orderBy(F.abs(odds / spread).desc(), "feature").limit(n_features).select("feature").collect()
     model = Model([bytes(r[0]) for r in strong], np.zeros(len(strong)), np.zeros(0))
-    z = np.array([r[1] for r in strong])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    sparse = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    sparse = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def vector(batch: pa.RecordBatch) -> Iterator[tuple]:
         for raw, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = shared.value.counts(raw)
-            yield y, len(words_of(raw)), list(found), list(found.values())
+            yield y, list(found), list(found.values())
 
-    found = rows.orderBy("_doc").select("text", "label").mapInArrow(common.arrow_rows(vector, sparse), "label int, n long, ids array<int>, counts array<int>").toArrow()
+    found = rows.orderBy("_doc").select("text", "label").mapInArrow(common.arrow_rows(vector, sparse), "label int, ids array<int>, counts array<int>").toArrow()
     y = found["label"].to_numpy().astype(np.int64)
     lists = found["ids"].combine_chunks()
     cols = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     counts = found["counts"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    if not graded:
-        dense = np.bincount(row, counts * (z[cols] > 4), len(y)) / np.maximum(found["n"].to_numpy(), 1)
-        bad = np.flatnonzero(y > 0)
-        y[bad[np.argsort(dense[bad], kind="stable")]] = 1 + np.arange(len(bad)) * (grades - 1) // len(bad)
-    weights, thresholds = fit_ordinal(row, cols, np.log1p(counts), y, len(strong), grades)
+    y = np.minimum(y, grades - 1)
+    levels = int(y.max()) + 1
+    weights, thresholds = fit_ordinal(row, cols, np.log1p(counts), y, len(strong), levels)
+    top = np.bincount(row, np.log1p(counts) * weights[cols], len(y))[y == levels - 1]
+    more = np.quantile(top, np.arange(1, grades - levels + 1) / (grades - levels + 1)) if grades > levels else np.zeros(0)
+    thresholds = np.concatenate([thresholds, np.maximum.accumulate(np.maximum(more, thresholds[-1] + GAP * np.arange(1, len(more) + 1)))])
     return Model([bytes(r[0]) for r in strong], weights, thresholds)
 
 
