@@ -3,7 +3,7 @@
 A document's own evidence is a Gaussian discriminant on text statistics, fitted to the labelled rows by one aggregation. A host's
 rate of good documents gets a Beta prior around the rate of all; a path's, one around its host's posterior. The priors' strengths
 come from the spread of rates between sites (method of moments), so sparse sites shrink towards what is above them. A document's
-log-odds are its evidence plus the log-odds of its path's posterior.
+log-odds are its evidence plus the log-odds of its path's posterior, taken without the document itself, so that nothing counts twice.
 
 A table of documents has `source` for the host and `lang` for the path below it; other columns can be named.
 """
@@ -82,25 +82,39 @@ def _strength(sites: DataFrame, mean: Column) -> float:
     return float(min(max(within / between - 1 if between > 0 else 1e4, 2.0), 1e4))
 
 
-def site_posteriors(rows: DataFrame) -> DataFrame:
-    """(host, path, host_rate, path_rate) from rows (host, path, good): expected shares of good documents, shrunk twice."""
+def site_sums(rows: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """From rows (host, path, good): the sums (host, path, good, n, host_good, host_n) of each site, the rate of all rows, and the strengths of the hosts' and the paths' priors."""
     paths = common.materialise(rows.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     total = hosts.agg(F.sum("good"), F.sum("n")).first()
     rate = (total[0] + 1.0) / (total[1] + 2.0) if total[1] else 0.5
     a = _strength(hosts, F.lit(rate))
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("good") + a * rate) / (F.col("n") + a)).alias("host_rate"))
+    hosts = hosts.select(F.col("host").alias("_host"), F.col("good").alias("host_good"), F.col("n").alias("host_n"))
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    b = _strength(joined, F.col("host_rate"))
-    return joined.select("host", "path", "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
+    return joined, rate, a, _strength(joined, (F.col("host_good") + a * rate) / (F.col("host_n") + a))
+
+
+def shrunk(rate: float, a: float, b: float, good: Column | None = None) -> tuple[Column, Column]:
+    """The host's and the path's expected share of good documents, from the sums of site_sums(); with `good`, without the row that gave it."""
+    own, one = (F.lit(0.0), 0) if good is None else (good, 1)
+    host = (F.col("host_good") - own + a * rate) / (F.col("host_n") - one + a)
+    return host, (F.col("good") - own + b * host) / (F.col("n") - one + b)
+
+
+def site_posteriors(rows: DataFrame) -> DataFrame:
+    """(host, path, host_rate, path_rate) from rows (host, path, good): expected shares of good documents, shrunk twice."""
+    sums, *priors = site_sums(rows)
+    host, path = shrunk(*priors)
+    return sums.select("host", "path", host.alias("host_rate"), path.alias("path_rate"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", least: float = LEAST) -> DataFrame:
     """(doc_id, evidence, host_rate, path_rate, quality, kept) for each row of docs.
 
     quality is the posterior probability of a good document, kept whether it reaches `least`. Labels of one id count once, with the
-    lowest. Every row counts for its host and path, with its own evidence's probability where it has no label. Null hosts and paths
-    are a site each; null and empty texts count as texts without words.
+    lowest. Every row counts for its host and path, with its own evidence's probability where it has no label, but not for itself: the
+    rates are those of the other rows. Null hosts and paths are a site each; null and empty texts count as texts without words; repeated
+    rows and rows with a null id are judged each; other columns don't matter.
     """
     common.ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"), rules.counts(F.col(text)).alias("c"))
@@ -113,8 +127,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     judged = rows.withColumn("evidence", F.col("trust") * _evidence(m))
     own = 1 / (1 + F.exp(-(F.col("evidence") + _log_odds(F.lit(prior)))))
     good = F.coalesce(F.col("label").cast("double"), own)
-    sites = site_posteriors(judged.select("host", "path", good.alias("good")))
+    judged = judged.withColumn("own", good)
+    sites, *priors = site_sums(judged.select("host", "path", F.col("own").alias("good")))
     sites = sites.withColumnsRenamed({"host": "_host", "path": "_path"})
     out = judged.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    host_rate, path_rate = shrunk(*priors, F.col("own"))
+    out = out.select("doc_id", "evidence", host_rate.alias("host_rate"), path_rate.alias("path_rate"))
     quality = 1 / (1 + F.exp(-(F.col("evidence") + _log_odds(F.col("path_rate")))))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", quality.alias("quality"), (quality >= least).alias("kept"))
