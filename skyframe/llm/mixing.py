@@ -7,6 +7,8 @@ ring of words; from a seeded block on, its quota of blocks is taken round the ri
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from . import common
 
 BLOCK_WORDS = 16
 SHARD_DOCS = 200
+STEPS = 1 << 14
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 
@@ -39,27 +42,43 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, mo
     return levels.select("source", "source_size", "weight", F.least("limit", F.coalesce(level_all * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def apportion(cells: DataFrame, within: list[str], weight: str, seats: Column, order: list[Column], to: str) -> DataFrame:
+def apportion(cells: DataFrame, within: list[str], weight: str, seats: str, order: list[Column], to: str) -> DataFrame:
     """Sainte-Lague: within each group of cells, `seats` (equal in a group) go to the highest quotients weight / (2 k + 1), ties by order.
 
-    The last quotient to get a seat is total / divisor with a divisor between seats - n / 2 and seats + n / 2, for n cells. Seats
-    above that range are sure, and those within it, about three a cell, are ranked.
+    The last quotient to get a seat is total / (2 * divisor) with a divisor between seats - n / 2 and seats + n / 2, for n cells.
+    Seats above that range are sure. Those within it, about three a cell, are counted in STEPS steps of the divisor, and only the
+    step in which the seats run out is ranked, so that no task sees all cells of a group.
     """
-    w = Window.partitionBy(*within)
-    total, n = F.sum(weight).over(w), F.count(F.lit(1)).over(w)
-    cells = cells.withColumns({"_seats": seats.cast("double"), "_total": total, "_n": n})
+    names = {c: f"_{c}_" for c in within}
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(d)) for c, d in names.items()))
+
+    def beside(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return rows.join(groups.withColumnsRenamed(names), match, "left").drop(*names.values())
+
+    totals = cells.groupBy(*within).agg(F.sum(weight).alias("_total"), F.count(F.lit(1)).alias("_n"), F.first(seats).cast("double").alias("_seats"))
+    cells = beside(cells, totals)
     share = F.when(F.col("_total") > 0, F.col(weight) / F.col("_total")).otherwise(F.lit(0.0))
-    sure = F.greatest(F.lit(0.0), F.floor(share * F.greatest(F.col("_seats") - F.col("_n") / 2 - 1, F.lit(0.0)) - 0.5)).cast("long")
-    last = F.when(share > 0, F.ceil(share * (F.col("_seats") + F.col("_n") / 2 + 1) + 0.5)).otherwise(F.lit(0)).cast("long")
-    cells = cells.withColumns({"_sure": sure, "_last": last})
-    left = F.col("_seats") - F.sum("_sure").over(w)
-    cells = cells.withColumn("_left", left)
-    seat = F.explode_outer(F.when(F.col("_last") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_last") - 1)))
-    key = [*within, *[c for c in cells.columns if c not in within and not c.startswith("_")]]
-    asked = cells.select("*", seat.alias("_k"))
-    rank = F.row_number().over(w.orderBy((F.col(weight) / (2 * F.col("_k") + 1)).desc_nulls_last(), *order))
-    won = (F.col("_k").isNotNull() & (rank <= F.col("_left"))).cast("long")
-    return asked.withColumn("_won", won).groupBy(*key).agg((F.first("_sure") + F.sum("_won")).alias(to))
+    low, high = F.col("_seats") - F.col("_n") / 2 - 1, F.col("_seats") + F.col("_n") / 2 + 1
+    sure = F.greatest(F.lit(0.0), F.floor(share * F.greatest(low, F.lit(0.0)) - 0.5)).cast("long")
+    last = F.when(share > 0, F.ceil(share * high + 0.5)).otherwise(F.lit(0)).cast("long")
+    cells = common.materialise(cells.withColumns({"_sure": sure, "_last": last, "_low": low, "_span": high - low}), "cells")
+    kept = [c for c in cells.columns if not c.startswith("_")]
+    asked = cells.filter(F.col("_last") > F.col("_sure")).withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_last") - 1)))
+    asked = asked.withColumn("_quotient", F.col(weight) / (2 * F.col("_k") + 1))
+    place = (F.col("_total") / (2 * F.col("_quotient")) - F.col("_low")) / F.col("_span")
+    asked = asked.withColumn("_step", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)) * STEPS).cast("int"))
+
+    steps = asked.groupBy(*within, "_step").agg(F.count(F.lit(1)).alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*within).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = cells.groupBy(*within).agg((F.first("_seats") - F.sum("_sure")).cast("long").alias("_left"))
+    ends = beside(steps.withColumn("_before", before), left).filter("_before < _left AND _before + _in >= _left")
+    asked = beside(asked, ends.select(*within, F.col("_step").alias("_end"), (F.col("_left") - F.col("_before")).alias("_open")))
+    # without an end there are seats for all that ask, or none are left
+    none = beside(asked.filter("_end IS NULL"), left).filter("_left > 0").select(*kept)
+    within_end = asked.filter("_step = _end").withColumn("_rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.col("_quotient").desc(), *order)))
+    won = asked.filter("_step < _end").select(*kept).unionByName(within_end.filter("_rank <= _open").select(*kept)).unionByName(none)
+    got = cells.select(*kept, F.col("_sure").alias("_got")).unionByName(won.withColumn("_got", F.lit(1).cast("long")))
+    return got.groupBy(*kept).agg(F.sum("_got").alias(to))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
@@ -73,7 +92,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(by_source, weights=weights, most=most).join(by_source.select(F.col("source").alias("_s"), "n_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words)
-    quotas = apportion(targets.withColumn("_all", F.lit(0)).withColumn("all_blocks", blocks).withColumnRenamed("_all", "one"), ["one"], "target", F.col("all_blocks"), [F.col("source").asc_nulls_last()], "source_blocks")
+    quotas = apportion(targets.withColumn("_all", F.lit(0)).withColumn("all_blocks", blocks).withColumnRenamed("_all", "one"), ["one"], "target", "all_blocks", [F.col("source").asc_nulls_last()], "source_blocks")
     quotas = common.materialise(quotas.select(F.col("source").alias("_source"), "source_size", "target", "source_blocks", F.ceil(F.col("n_docs") / shard_docs).cast("int").alias("n_shards")), "quotas")
 
     placed = sized.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -84,7 +103,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     shards = sized.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int"))
     shards = shards.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("source_blocks"))
-    shards = apportion(shards, ["source"], "words", F.col("source_blocks"), [F.col("shard")], "shard_blocks")
+    shards = apportion(shards, ["source"], "words", "source_blocks", [F.col("shard")], "shard_blocks")
     shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_blocks")
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
