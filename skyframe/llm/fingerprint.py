@@ -1,8 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame operations only.
 
 A text falls into paragraphs (lines; within a line, sentences, each with what separates it from the next; what is still longer than
-LONG is cut behind words that their own hash picks). Every paragraph gives LANES pseudo-random numbers, and its length as the mass of
-a cell, one of CELLS, which is its own but for a chance of 1 / CELLS with each other paragraph. A fingerprint is the sum of all
+LONG is cut behind words that their own hash picks). Every paragraph gives a vector of LANES pseudo-random numbers of 32 bits, drawn
+from 128 bits of its SHA-256 digest, and its length as the mass of a cell, one of CELLS, which is its own but for a chance of 1 / CELLS with each other paragraph. A fingerprint is the sum of all
 paragraphs, lanes modulo 2 ** 32 and masses modulo 2 ** 31, so that paragraphs can be added or taken away without the rest, and
 order doesn't matter. Lanes tell texts apart; masses, as many as there are distinct paragraphs, give a likeness, the share of mass
 that two texts have in common.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LANES = 8
+LANES = 64
 CELLS = 2**31
 LONG, PICK = 200, 16
 _LANE, _MASS = 2**32, 2**31
@@ -45,11 +45,11 @@ def _pieces(part: Column) -> Column:
 
 
 def vectors(text: Column) -> Column:
-    """A struct (h, g, cell, mass) for each paragraph of a text; null counts as empty, and an empty text has no paragraph."""
+    """A struct (seed, cell, mass) for each paragraph of a text; null counts as empty, and an empty text has no paragraph."""
     parts = F.filter(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), _CUT, -1), _pieces)), lambda p: p != "")
     return F.transform(
-        F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("h"), F.xxhash64(F.lit(1), p).alias("g"), F.length(p).cast("long").alias("mass"))),
-        lambda p: F.struct(p["h"].alias("h"), p["g"].alias("g"), F.pmod(p["g"], F.lit(CELLS)).cast("int").alias("cell"), p["mass"].alias("mass")),
+        F.transform(parts, lambda p: F.struct(F.substr(F.sha2(p, 256), F.lit(1), F.lit(32)).alias("seed"), F.length(p).cast("long").alias("mass"))),
+        lambda p: F.struct(p["seed"].alias("seed"), F.pmod(F.xxhash64(p["seed"]), F.lit(CELLS)).cast("int").alias("cell"), p["mass"].alias("mass")),
     )
 
 
@@ -67,7 +67,7 @@ def add_up(paragraphs: Column) -> Column:
     """
     lanes = F.transform(
         F.sequence(F.lit(0), F.lit(LANES - 1)),
-        lambda j: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.xxhash64(p["h"], p["g"], j).bitwiseAND(F.lit(_LANE - 1)), lambda s: F.pmod(s, F.lit(_LANE))),
+        lambda j: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.xxhash64(p["seed"], j).bitwiseAND(F.lit(_LANE - 1)), lambda s: F.pmod(s, F.lit(_LANE))),
     )
     masses = F.transform(paragraphs, lambda p: F.struct(p["cell"].alias("cell"), p["mass"].alias("mass")))
     return F.struct(lanes.alias("lanes"), _by_cell(masses).alias("masses"))
