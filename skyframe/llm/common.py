@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: bytes.split() without arguments cuts at exactly these six characters.
 SPACES = b" \t\n\x0b\x0c\r"
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
+#: The paths made in each open block of passing().
+_scopes: list[list[str]] = []
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one where that is unset and the master is local, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_skyframe_scratch", None)
     if own is None:
         own = spark.sparkContext._skyframe_scratch = tempfile.mkdtemp(prefix="skyframe-")
@@ -39,20 +45,51 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage: lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._skyframe_path = path
+    return table
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files below a table of materialise() that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """The tables that materialise() makes in this block are deleted when it ends; not those given to the function that it hands out, which go to the block around it."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._skyframe_path)
+        return table
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        _delete(spark, [p for p in made if p not in kept])
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes the files of a table of materialise() that nothing reads any more."""
+    _delete(table.sparkSession, [table._skyframe_path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package whatever the driver's working directory is."""
+    """Lets Python workers import this package whatever the driver's working directory is, and get texts in small batches.
+
+    Batches are a few MB instead of Spark's default of 64, as a task holds one on both sides; a session's own setting stays.
+    """
+    if spark.conf.get(_BATCH, None) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "4m")
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:

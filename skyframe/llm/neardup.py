@@ -210,7 +210,8 @@ def _merged(lists: DataFrame, matches: int, percent: int) -> DataFrame:
     """
     sizes = lists.groupBy("v", "component").agg(F.count(F.lit(1)).alias("_n"))
     top = sizes.groupBy("v").agg(F.max_by("component", F.struct("_n", -F.col("component"))).alias("top"))
-    low, high = _sides(lists.join(top, "v"), "v", "top", "at", "vals", "n", "component", "own", "n_rare", "rare")
+    lists = common.materialise(lists.join(top, "v"), "lists")  # both sides come from files, so that AQE can split a large list
+    low, high = _sides(lists, "v", "top", "at", "vals", "n", "component", "own", "n_rare", "rare")
     low, high = low.filter("component_a != top_a").withColumnRenamed("v_a", "v"), high.withColumnRenamed("v_b", "v")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)).cast("int")
     once = (F.col("component_b") == F.col("top_b")) | (F.col("a") < F.col("b"))
@@ -235,38 +236,40 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     doc_id has a null component and is kept. An empty table gives an empty result.
     """
     matches = matches_for(coordinates, percent / 100)
-    signed = common.materialise(signatures(docs, doc_id, text, words, coordinates, seed), "signatures")
-    posted = signed.filter("n > 0 and doc_id is not null")
-    reps = common.materialise(posted.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig")), "classes")
-    # an id with several texts links their classes
-    mixed = posted.groupBy("doc_id").agg(F.min("key").alias("_x"), F.max("key").alias("_y")).filter("_x != _y").select("doc_id")
-    same = posted.join(mixed, "doc_id", "left_semi").select("doc_id", "key").join(reps.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-
-    cells = reps.select("rep", "key", "n", F.explode("sig").alias("v"))
-    shared = cells.join(cells.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "v")
-    # a class's values in one global order, rarest first: those that only it has come before all others, and need no posting
-    by_class = shared.groupBy("rep", "key", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("order"))
-    by_class = by_class.filter(F.size("order") >= matches)
-    pull = F.aggregate("order", F.lit(0).cast("long"), lambda s, x: s + x["freq"])
-    classes = common.materialise(by_class.select("rep", "key", "n", F.col("order.v").alias("vals"), pull.alias("pull")), "postings")
-    sets = common.materialise(_sets(docs, classes.select("rep", "key"), doc_id, text, words), "sets")
-    prefix = F.slice("vals", F.lit(1), F.size("vals") - (matches - 1))
-    pairs = common.materialise(_central(classes.select("rep", "n", "pull", F.explode(prefix).alias("v")), percent), "pairs")
-    links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(same), "confirmed")
-    labels = components(links)
-
-    def lists(of: DataFrame) -> DataFrame:
-        """The postings (v, at, ...) of lists that still hold several components."""
-        rows = of.select("*", F.posexplode(prefix).alias("at", "v"))
-        return rows.join(_several(rows, ["v"]), "v", "left_semi")
-
-    known = labels.withColumnRenamed("node", "rep")
-    left = classes.drop("pull").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    left = common.materialise(lists(left).select("rep", "key", "n", "vals", "component").distinct(), "left")
-    left = common.materialise(_bounded(left, sets, percent), "bounded")
-    pairs = common.materialise(_merged(lists(left), matches, percent), "pairs")
-    links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(links), "confirmed")
-    labels = components(links)
+    with common.passing(docs.sparkSession) as keep:
+        signed = keep(common.materialise(signatures(docs, doc_id, text, words, coordinates, seed), "signatures"))
+        posted = signed.filter("n > 0 and doc_id is not null")
+        by_set = posted.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sig").alias("sig"))
+        reps = keep(common.materialise(by_set, "classes"))
+        # an id with several texts links their classes
+        mixed = posted.groupBy("doc_id").agg(F.min("key").alias("_x"), F.max("key").alias("_y")).filter("_x != _y").select("doc_id")
+        same = posted.join(mixed, "doc_id", "left_semi").select("doc_id", "key").join(reps.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+        cells = reps.select("rep", "key", "n", F.explode("sig").alias("v"))
+        shared = cells.join(cells.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "v")
+        # a class's values in one global order, rarest first: those that only it has come before all others, and need no posting
+        by_class = shared.groupBy("rep", "key", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("order"))
+        by_class = by_class.filter(F.size("order") >= matches)
+        pull = F.aggregate("order", F.lit(0).cast("long"), lambda s, x: s + x["freq"])
+        classes = common.materialise(by_class.select("rep", "key", "n", F.col("order.v").alias("vals"), pull.alias("pull")), "postings")
+        sets = common.materialise(_sets(docs, classes.select("rep", "key"), doc_id, text, words), "sets")
+        prefix = F.slice("vals", F.lit(1), F.size("vals") - (matches - 1))
+        pairs = common.materialise(_central(classes.select("rep", "n", "pull", F.explode(prefix).alias("v")), percent), "pairs")
+        links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(same), "confirmed")
+        labels = components(links)
+
+        def lists(of: DataFrame) -> DataFrame:
+            """The postings (v, at, ...) of lists that still hold several components."""
+            rows = of.select("*", F.posexplode(prefix).alias("at", "v"))
+            return rows.join(_several(rows, ["v"]), "v", "left_semi")
+
+        known = labels.withColumnRenamed("node", "rep")
+        left = classes.drop("pull").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        left = common.materialise(lists(left).select("rep", "key", "n", "vals", "component").distinct(), "left")
+        left = common.materialise(_bounded(left, sets, percent), "bounded")
+        pairs = common.materialise(_merged(lists(left), matches, percent), "pairs")
+        links = common.materialise(_confirmed(pairs, classes, sets, matches, percent).union(links), "confirmed")
+        labels = keep(common.materialise(components(links), "labels"))
 
     ids = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sig").join(ids, "key", "left")
@@ -277,6 +280,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs without those of near_duplicates() that aren't kept; rows with a null id stay, those that share an id stay or go together."""
-    verdict, key = near_duplicates(docs, doc_id=doc_id, **options), common.fresh(docs, "_gone")
-    gone = common.materialise(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    key = common.fresh(docs, "_gone")
+    with common.passing(docs.sparkSession) as keep:
+        verdict = near_duplicates(docs, doc_id=doc_id, **options)
+        gone = keep(common.materialise(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "gone"))
     return docs.join(gone, F.col(doc_id).cast("long") == F.col(key), "left_anti")

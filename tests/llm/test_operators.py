@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import zlib
 
 import brute
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skyframe.llm import bayes, binary, chat, common, fingerprint, langid, mixing, neardup, packing, queries, rules, tokens, toxicity
 
+LARGER, LARGEST = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _s long, size long, label long"
 ODD = ["", None, " \n\t ", "one", "Étéç ÉTÉ' don't [x]<y> 😀😀 a.b. 's <|endoftext|> É", "word " * 9000, "a b c d e f g h " * 4, "x\x0by\x0cz w\n\nx"]
 
@@ -123,7 +125,7 @@ def test_apportion_is_sainte_lague(spark):
     rows = [(g, k, float(draw.integers(0, 50))) for g in range(6) for k in range(1 + g * 3)]
     seats = {g: int(draw.integers(0, 90)) for g in range(6)}
     cells = spark.createDataFrame([(g, k, w, seats[g]) for g, k, w in rows], "g int, k int, w double, seats int")
-    got = {(r.g, r.k): r.got for r in mixing.apportion(cells, ["g"], "w", F.col("seats"), [F.col("k")], "got").collect()}
+    got = {(r.g, r.k): r.got for r in mixing.apportion(cells, ["g"], "w", "seats", [F.col("k")], "got").collect()}
     for g in range(6):
         weights = [w for h, _, w in rows if h == g]
         want = brute.sainte_lague(weights, seats[g]) if sum(weights) else [0] * len(weights)
@@ -220,6 +222,48 @@ def test_bayes(spark, odd, none, small):
     assert bayes.classify(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_site_rates_leave_each_row_out(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, ["x y. "[: 1 + i % 4] * 9, "one two three four five " * 4][i % 2], f"h{min(i % 17, 9)}", f"p{i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = {i: int(draw.random() < 0.6) for i in range(0, 90, 2)}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    found = {r.doc_id: r for r in bayes.classify(docs, labels).collect()}
+    prior = (sum(marks.values()) + 1) / (len(marks) + 2)
+    good = {i: marks.get(i, 1 / (1 + np.exp(-r.evidence) * (1 - prior) / prior)) for i, r in found.items()}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i, _, h, p in rows:
+        hosts[h].append(i)
+        paths[h, p].append(i)
+    rate = (sum(good.values()) + 1) / 92
+
+    def strength(sites, means):
+        sites = [(sum(good[i] for i in s), len(s), m) for s, m in zip(sites, means, strict=True) if len(s) > 1]
+        n, within = sum(k for _, k, _ in sites), sum(k * m * (1 - m) for _, k, m in sites)
+        between = max(sum(k * (g / k - m) ** 2 - m * (1 - m) for g, k, m in sites), 0) / n
+        return min(max(within / n / between - 1 if between else 1e4, 2), 1e4)
+
+    a = strength(hosts.values(), [rate] * len(hosts))
+    means = [(sum(good[i] for i in hosts[h]) + a * rate) / (len(hosts[h]) + a) for h, _ in paths]
+    b = strength(paths.values(), means)
+    for i, _, h, p in rows:
+        host = (sum(good[j] for j in hosts[h] if j != i) + a * rate) / (len(hosts[h]) - 1 + a)
+        path = (sum(good[j] for j in paths[h, p] if j != i) + b * host) / (len(paths[h, p]) - 1 + b)
+        assert found[i].host_rate == pytest.approx(host) and found[i].path_rate == pytest.approx(path)
+        assert found[i].quality == pytest.approx(1 / (1 + np.exp(-found[i].evidence) * (1 - path) / path))
+
+
+def test_quality_on_held_out_labels(spark):
+    if not os.path.isdir(LARGER):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    out = langid.held_out(F.col("doc_id"))
+    found = {r.doc_id: r.kept for r in bayes.classify(docs, labels.filter(~out)).collect()}
+    held = [(r.quality, found[r.doc_id]) for r in labels.filter(out).collect() if r.doc_id in found]
+    good, bad = [k for y, k in held if y == 1], [k for y, k in held if y == 0]
+    assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.3
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 1.0)] * 300 + [("bad", "p", 0.0)] * 300 + [("one", "p", 0.0)]
     got = {r.host: r.path_rate for r in bayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double")).collect()}
@@ -279,15 +323,37 @@ def test_toxicity(spark, odd, none, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     marks = {r.doc_id: r.toxic for r in labels.collect()}
     rows = toxicity.grade_documents(docs, labels).collect()
-    clean = [r.toxic for r in rows if marks.get(r.doc_id) == 0]
-    bad = [r.toxic for r in rows if marks.get(r.doc_id) == 1]
-    assert len(rows) == docs.count() and sum(clean) / len(clean) < 0.05 and sum(bad) / max(1, len(bad)) > 0.6
+    assert len(rows) == docs.count() and {r.grade for r in rows} <= {0, 1, 2, 3}
+    assert all((r.grade > 0) <= r.toxic and 0 <= r.severity <= 3 for r in rows)
+    assert sum(r.toxic for r in rows if marks.get(r.doc_id) == 0) == 0
     few = spark.createDataFrame([(3, 1), (5, 0), (12, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.grade_documents(odd, few).count() == odd.count()
     assert toxicity.grade_documents(odd, few.limit(0)).filter("toxic").count() == 0
     assert toxicity.drop_toxic(none, few).columns == none.columns
 
 
+def test_toxicity_on_held_out_labels(spark):
+    if not os.path.isdir(LARGEST):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{LARGEST}/documents.parquet"), spark.read.parquet(f"{LARGEST}/labels.parquet")
+    out = langid.held_out(F.col("doc_id"))
+    found = {r.doc_id: r.toxic for r in toxicity.grade_documents(docs, labels.filter(~out)).collect()}
+    held = [(r.toxic, found[r.doc_id]) for r in labels.filter(out).collect() if r.doc_id in found]
+    bad, clean = [p for y, p in held if y == 1], [p for y, p in held if y == 0]
+    assert len(bad) > 100 and sum(bad) / len(bad) > 0.85 and sum(clean) / len(clean) < 0.02
+
+
+def test_labels_of_several_levels_are_learned(spark):
+    texts = ["plain calm words here", "mild stuff words", "mild stuff harsh tone", "harsh tone awful vile"]
+    rows = [(i, f"{texts[i % 4]} filler{i % 7} filler{i % 5}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4) for i in range(240)], "doc_id long, toxic int")
+    found = toxicity.grade_documents(docs, labels).collect()
+    assert sum(r.grade == r.doc_id % 4 for r in found) > 220
+    model = toxicity.train(docs, labels.withColumn("toxic", (F.col("toxic") > 0).cast("int")))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+
+
 # near duplicates
 
 
