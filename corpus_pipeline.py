@@ -42,8 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; a stage's tables in the shared folder go when the next one has read them."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.passing(spark) as keep:
+            docs = keep(common.materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if last is not None:
+            common.remove(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
