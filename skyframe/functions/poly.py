@@ -101,13 +101,16 @@ def distance2(a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
 def sign_intervals(c: np.ndarray, width: np.ndarray, deepest: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, low, high) of intervals of [0, width] that hold one sign change of the row's polynomial each.
 
-    Intervals are halved while their Bernstein coefficients change sign more than once; none is left where they don't.
+    Intervals are halved while their Bernstein coefficients change sign more than once; none is left where they don't. One that
+    still does after `deepest` halvings, which is as fine as numbers get, holds a root if its ends differ in sign.
     """
     n = c.shape[-1] - 1
     row, low, size = np.arange(len(c)), np.zeros(len(c)), np.array(width, float)
     found = []
     for depth in range(deepest):
         b = np_bernstein(np_translate(c[row], low), size)
+        # neighbours have to see the same sign where they meet
+        b[:, 0], b[:, -1] = np_horner(c[row], low), np_horner(c[row], low + size)
         s = np.sign(b)
         filled = s.copy()
         for k in range(1, n + 1):
@@ -124,7 +127,23 @@ def sign_intervals(c: np.ndarray, width: np.ndarray, deepest: int = 50) -> tuple
             break
         row, low, size = row[more], low[more], size[more] / 2
         row, low, size = np.concatenate([row, row]), np.concatenate([low, low + size]), np.concatenate([size, size])
-    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
+    else:
+        found.append(_unresolved(c, row, low, size))
+    row, low, high = (np.concatenate([x[k] for x in found]) for k in range(3))
+    once = np.unique(np.stack([row.astype(float), low, high]), axis=1, return_index=True)[1]  # a root at a left end is met at each depth
+    return row[once], low[once], high[once]
+
+
+def _unresolved(c: np.ndarray, row: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring intervals joined, as (row, low, high); those whose ends differ in sign."""
+    order = np.lexsort([low, row])
+    row, low, high = row[order], low[order], (low + size)[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (low[1:] > high[:-1] + 2 * size[order][1:])
+    start = np.flatnonzero(new)
+    row, low, high = row[start], low[start], np.maximum.reduceat(high, start)
+    turns = np.sign(np_horner(c[row], low)) * np.sign(np_horner(c[row], high)) < 0
+    return row[turns], low[turns], high[turns]
 
 
 def refine(c: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 80) -> np.ndarray:
@@ -146,9 +165,31 @@ def refine(c: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 80) -
             t = new
             break
         t = new
+    else:
+        late = np.flatnonzero(high - low > 1e-12 * np.maximum(1.0, np.abs(t)))
+        for _ in range(64):  # halving alone, for rows whose steps crept
+            mid = (low[late] + high[late]) / 2
+            left = np.sign(np_horner(c[late], mid)) == np.sign(f_low[late])
+            low[late], high[late] = np.where(left, mid, low[late]), np.where(left, high[late], mid)
+        t[late] = (low[late] + high[late]) / 2
     return t
 
 
+def real_roots(c: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, t): where in [0, width) the row's polynomial changes sign, or is 0 at the left end."""
+    row, low, high = sign_intervals(c, width)
+    return _apart(row, refine(c[row], low, high), width) if len(row) else (row, low)
+
+
+def _apart(row: np.ndarray, t: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Roots by row and place, each once: rounding may show one in two intervals that meet there."""
+    order = np.lexsort([t, row])
+    row, t = row[order], t[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (t[1:] - t[:-1] > 1e-11 * width[row[1:]])
+    return row[new], t[new]
+
+
 #: Minima this share of the width beyond an end count as at that end: rounding may put one at a seam of two windows outside both.
 SEAM = 1e-10
 
@@ -161,7 +202,7 @@ def minima(c: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row, low, high = sign_intervals(slope, width + 2 * beyond)
     if not len(row):
         return row, low
-    t = refine(slope[row], low, high)
+    row, t = _apart(row, refine(slope[row], low, high), width)
     bend = np_horner(slope[row][:, 1:] * np.arange(1, slope.shape[1]), t)
     ok = np.isfinite(t) & (bend > 0)
     row, t = row[ok], t[ok] - beyond[row[ok]]

@@ -20,6 +20,7 @@ from .. import runtime, schema
 from ..functions import poly
 
 AXES = ("x", "y", "z", "r")
+GRID = AXES[:3]
 NO_DATA = -1  # the bits of the highest unsigned code
 _F32 = np.float32
 
@@ -181,36 +182,40 @@ def _overlap(a: str, b: str) -> Column:
     return reduce(lambda p, q: p & q, tests)
 
 
-def collisions(coded: DataFrame, objects: DataFrame, cells: int = 32, most_cells: int = 64) -> DataFrame:
+def collisions(coded: DataFrame, objects: DataFrame, most_cells: int = 64) -> DataFrame:
     """(cd_idx, i, j), i < j: pairs whose box i overlaps the leaf of j, unless both are secondary or one is masked.
 
-    A grid over x and y of each step, `cells` a side and never finer than the boxes are on average, gives equality keys: boxes are
-    listed in each cell that they touch, and a hit counts in the cell of the larger lower corner only. Boxes in more than
+    A grid over x, y and z of each step, with about a box a cell and edges of 1.5 average boxes at least, gives equality keys:
+    boxes are listed in each cell that they touch, and a hit counts in the cell of the larger lower corner only. Boxes in more than
     `most_cells` cells go to a short list that meets all boxes of their step directly.
     """
     boxed = coded.select("cd_idx", "obj_idx", "mcode", *(F.col(f"{s}{a}").alias(f"o{s}{a}") for s in "lu" for a in AXES))
     boxed = boxed.join(objects.select("obj_idx", "otype"), "obj_idx").filter(F.col("otype") < schema.MASKED)
     leaf = leaves(coded).select("cd_idx", "mcode", *(F.col(f"{s}{a}").alias(f"t{s}{a}") for s in "lu" for a in AXES))
-    frame = coded.groupBy("cd_idx").agg(*(F.min(f"l{a}").alias(f"_l{a}") for a in "xy"), *(F.greatest((F.max(f"u{a}") - F.min(f"l{a}")) / cells, F.avg(F.col(f"u{a}") - F.col(f"l{a}")).cast("float")).cast("double").alias(f"_w{a}") for a in "xy"))
+    side = F.ceil(F.pow(F.count(F.lit(1)), F.lit(1 / 3)))
+    edge = {a: F.greatest((F.max(f"u{a}") - F.min(f"l{a}")) / side, 1.5 * F.avg(F.col(f"u{a}") - F.col(f"l{a}"))).cast("double") for a in GRID}
+    frame = coded.groupBy("cd_idx").agg(*(F.min(f"l{a}").alias(f"_l{a}") for a in GRID), *(edge[a].alias(f"_w{a}") for a in GRID))
 
     def cell(v: str, a: str) -> Column:
         return F.floor((F.col(v).cast("double") - F.col(f"_l{a}")) / F.col(f"_w{a}"))
 
     def listed(rows: DataFrame, p: str) -> DataFrame:
         rows = rows.join(frame, "cd_idx")
-        rows = rows.withColumns({f"{p}{e}{a}": cell(f"{p}{s}{a}", a) for s, e in (("l", "first_"), ("u", "last_")) for a in "xy"})
-        return rows.withColumn(f"{p}wide", (F.col(f"{p}last_x") - F.col(f"{p}first_x") + 1) * (F.col(f"{p}last_y") - F.col(f"{p}first_y") + 1) > most_cells)
+        rows = rows.withColumns({f"{p}{e}{a}": cell(f"{p}{s}{a}", a) for s, e in (("l", "first_"), ("u", "last_")) for a in GRID})
+        touched = reduce(lambda m, n: m * n, (F.col(f"{p}last_{a}") - F.col(f"{p}first_{a}") + 1 for a in GRID))
+        return rows.withColumn(f"{p}wide", touched > most_cells)
 
     def spread(rows: DataFrame, p: str) -> DataFrame:
-        rows = rows.withColumn("cx", F.explode(F.sequence(f"{p}first_x", f"{p}last_x")))
-        return rows.withColumn("cy", F.explode(F.sequence(f"{p}first_y", f"{p}last_y")))
+        for a in GRID:
+            rows = rows.withColumn(f"c{a}", F.explode(F.sequence(f"{p}first_{a}", f"{p}last_{a}")))
+        return rows
 
-    drop = ["_lx", "_ly", "_wx", "_wy"]
+    drop = [f"_{s}{a}" for s in "lw" for a in GRID]
     o, t = listed(boxed, "o").drop(*drop), listed(leaf, "t").drop(*drop).withColumnRenamed("mcode", "leaf")
     o_in, t_in = spread(o.filter("NOT owide"), "o"), spread(t.filter("NOT twide"), "t")
-    once = (F.col("cx") == F.greatest("ofirst_x", "tfirst_x")) & (F.col("cy") == F.greatest("ofirst_y", "tfirst_y"))
+    once = reduce(lambda p, q: p & q, (F.col(f"c{a}") == F.greatest(f"ofirst_{a}", f"tfirst_{a}") for a in GRID))
     keep = ["cd_idx", "obj_idx", "otype", "leaf"]
-    hits = o_in.join(t_in, ["cd_idx", "cx", "cy"]).filter(once & _overlap("o", "t")).select(*keep)
+    hits = o_in.join(t_in, ["cd_idx", *(f"c{a}" for a in GRID)]).filter(once & _overlap("o", "t")).select(*keep)
     wide_o = o.filter("owide").join(t, "cd_idx").filter(_overlap("o", "t")).select(*keep)
     wide_t = o.filter("NOT owide").join(t.filter("twide"), "cd_idx").filter(_overlap("o", "t")).select(*keep)
     hits = hits.unionByName(wide_o).unionByName(wide_t)
@@ -308,7 +313,13 @@ def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval:
 
 
 def detect(objects: DataFrame, segments: DataFrame, max_t: float, threshold: float, interval: float) -> DataFrame:
-    """All conjunctions of a store's tables: (cd_idx, i, j, tca, dca, states), unordered; order by cd_idx, tca, i, j for the usual listing."""
+    """All conjunctions of a store's tables: (cd_idx, i, j, tca, dca, states), by detection step, time and pair."""
     check_parameters(threshold, interval)
+    check_types(objects)
     coded = morton(aabbs(segments, max_t, interval, threshold))
-    return narrow_phase(collisions(coded, objects), segments, max_t, interval, threshold)
+    return listed(narrow_phase(collisions(coded, objects), segments, max_t, interval, threshold))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """Conjunctions in their usual order."""
+    return found.orderBy("cd_idx", "tca", "i", "j", "dca")

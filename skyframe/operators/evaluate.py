@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import runtime, schema
 from ..functions import poly
 
 
@@ -47,3 +51,36 @@ def select_objects(spark, chosen: list[int], times, n_objs: int) -> DataFrame:
         raise ValueError(f"{len(times)} times for {len(chosen)} objects")
     rows = [(p, int(i), k, float(t)) for p, (i, x) in enumerate(zip(chosen, times, strict=True)) for k, t in enumerate(x if isinstance(x, (list, tuple)) else [x])]
     return spark.createDataFrame(rows, "pos long, obj_idx long, k long, t double")
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def roots(rows: DataFrame) -> DataFrame:
+    """(obj_idx, root) from rows (obj_idx, c, width) of one order: the places in [0, width) where the polynomial c changes sign, in Arrow batches of all rows at once."""
+    runtime.ready(rows.sparkSession)
+    schema_out = pa.schema([("obj_idx", pa.int64()), ("root", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, t = poly.real_roots(_matrix(b, "c"), b.column("width").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(b.column("obj_idx").to_numpy()[row]), pa.array(t)], schema=schema_out)
+
+    return rows.select("obj_idx", "c", "width").mapInArrow(run, "obj_idx long, root double")
+
+
+def distances2(rows: DataFrame) -> DataFrame:
+    """(obj_idx, d2) from rows (obj_idx, i_x, i_y, i_z, j_x, j_y, j_z, width): the squared distance of two motions as a polynomial of their order on [0, width]."""
+    runtime.ready(rows.sparkSession)
+    schema_out = pa.schema([("obj_idx", pa.int64()), ("d2", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i, j = (np.stack([_matrix(b, f"{s}_{a}") for a in "xyz"], axis=1) for s in "ij")
+                d2 = poly.distance2(i, j, b.column("width").to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column("obj_idx"), pa.array(d2.tolist(), type=schema_out.field("d2").type)], schema=schema_out)
+
+    return rows.select("obj_idx", *(f"{s}_{a}" for s in "ij" for a in "xyz"), "width").mapInArrow(run, "obj_idx long, d2 array<double>")

@@ -42,6 +42,17 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").alias("obj_idx"), "step_idx", "t_begin", (F.col("t_begin") + 1).alias("t_end"), *(out[c].alias(c) for c in schema.COORDS))
 
 
+def curved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(objects, segments) of order 4: a pair a supplier, of which one rests and the other comes by twice on a parabola; pairs are far apart."""
+    k = "s_suppkey"
+    rows = table(spark, sf_dir, "supplier").withColumn("moves", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("obj_idx", F.expr(f"2*{k} + moves"))
+    objects = rows.select("obj_idx", F.lit(0).alias("status"), F.col("obj_idx").alias("norad_id"), F.lit(schema.PRIMARY).alias("otype"))
+    flat = lambda *c: F.array(*(F.expr(x) for x in c), *[F.lit(0.0)] * (5 - len(c)))
+    state = {"x": flat(f"moves*(1-({k}%5+1)/8.0D)", "moves*-2.0D", "moves*1.0D"), "y": flat(f"moves*({k}%3)/16.0D"), "z": flat(f"8.0D*{k}")}
+    state |= {"vx": flat("moves*-2.0D", "moves*2.0D"), "vy": flat("0.0D"), "vz": flat("0.0D"), "r": flat("1.0D")}
+    return objects, rows.select("obj_idx", F.lit(0).alias("step_idx"), F.lit(0.0).alias("t_begin"), F.lit(2.0).alias("t_end"), *(state[c].alias(c) for c in schema.COORDS))
+
+
 def gpes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plausible near-earth elements, one row a supplier."""
     k = "s_suppkey"

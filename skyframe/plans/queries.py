@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import poly, timescale
 from ..operators import conjunctions as cj
 from ..operators import evaluate, propagate
@@ -127,6 +128,40 @@ def _(spark, d):
     return _cubics(spark, d).select("obj_idx", _r(F.array_min(e), 9).alias("low"), _r(F.array_max(e), 9).alias("high"))
 
 
+_QUADRATIC = "SELECT c_custkey AS k, CAST((c_custkey%17-8)/4.0+0.03125 AS DOUBLE) AS c0, CAST((c_custkey%5-2)/2.0 AS DOUBLE) AS c1 FROM customer"
+
+
+@query("poly_roots", f"SELECT k AS obj_idx, ROUND(t,9)+0.0 AS root FROM (SELECT k, (-c1 + s*sqrt(c1*c1-4*c0))/2 AS t FROM ({_QUADRATIC}) q, (VALUES (-1), (1)) v(s) WHERE c1*c1-4*c0 > 0) r WHERE t >= 0 AND t < 2")
+def _(spark, d):
+    k = "c_custkey"
+    rows = b.table(spark, d, "customer").select(F.col(k).alias("obj_idx"), F.expr(f"array(({k}%17-8)/4.0D+0.03125D, ({k}%5-2)/2.0D, 1.0D, 0.0D)").alias("c"), F.lit(2.0).alias("width"))
+    return evaluate.roots(rows).select("obj_idx", _r("root", 9).alias("root"))
+
+
+_GAP = {a: f"(CAST({b.START[a].replace('k*', '(k+1)*')} AS DOUBLE) - CAST({b.START[a]} AS DOUBLE))" for a in "xyz"}
+_PACE = {a: f"(CAST({b.SPEED[a].replace('k*', '(k+1)*')} AS DOUBLE) - CAST({b.SPEED[a]} AS DOUBLE))" for a in "xyz"}
+_TIE = 1.23e-7  # keeps decimal ties away from rounding
+
+
+@query(
+    "dist2_poly",
+    "SELECT k AS obj_idx, "
+    + ", ".join(f"ROUND({' + '.join(t.format(g=_GAP[a], v=_PACE[a]) for a in 'xyz')} + {_TIE}, 6)+0.0 AS c{n}" for n, t in enumerate(("{g}*{g}", "2*{g}*{v}", "{v}*{v}")))
+    + ", CAST(0.0 AS DOUBLE) AS c3 FROM (SELECT c_custkey AS k FROM customer) c",
+)
+def _(spark, d):
+    rows = b.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    line = lambda fragment, speed: F.expr(f"array(CAST({fragment} AS DOUBLE), CAST({speed} AS DOUBLE), 0.0D, 0.0D)")
+    of = lambda a, text: text.replace("k*", "(k+1)*")
+    sides = {f"i_{a}": line(b.START[a], b.SPEED[a]) for a in "xyz"} | {f"j_{a}": line(of(a, b.START[a]), of(a, b.SPEED[a])) for a in "xyz"}
+    rows = rows.select(F.col("k").alias("obj_idx"), *(v.alias(c) for c, v in sides.items()), F.lit(1.5).alias("width"))
+    return _spread_near(evaluate.distances2(rows))
+
+
+def _spread_near(df: DataFrame) -> DataFrame:
+    return df.select("obj_idx", *(_r(F.col("d2")[k] + _TIE, 6).alias(f"c{k}") for k in range(3)), _r(F.col("d2")[3], 6).alias("c3"))
+
+
 # detection
 
 _STEPS = "SELECT i AS cd_idx, CAST(i*0.375 AS DOUBLE) AS cb, CAST(CASE WHEN i=7 THEN 2.75 ELSE (i+1)*0.375 END AS DOUBLE) AS ce FROM range(8) t(i)"
@@ -242,6 +277,15 @@ def _(spark, d):
     return cj.collisions_naive(_coded(spark, d), b.objects(spark, d))
 
 
+@query("collisions_otypes", f"{_COLLIDE} SELECT cd_idx, ti.otype AS type_i, tj.otype AS type_j, CAST(COUNT(*) AS BIGINT) AS n FROM hits JOIN typed ti ON ti.obj_idx = i JOIN typed tj ON tj.obj_idx = j GROUP BY cd_idx, ti.otype, tj.otype")
+def _(spark, d):
+    types = b.objects(spark, d).select("obj_idx", "otype")
+    rows = _pairs(spark, d)
+    for s in "ij":
+        rows = rows.join(types.withColumnsRenamed({"obj_idx": s, "otype": f"type_{s}"}), s)
+    return rows.groupBy("cd_idx", "type_i", "type_j").agg(F.count(F.lit(1)).alias("n"))
+
+
 _MOVING = "SELECT c_custkey AS k, " + ", ".join(f"CAST({b.START[a].replace('k*', 'c_custkey*')} AS DOUBLE) - CAST({b.SPEED[a].replace('k*', 'c_custkey*')} AS DOUBLE)*{b.SHIFT} AS {a}0, CAST({b.SPEED[a].replace('k*', 'c_custkey*')} AS DOUBLE) AS v{a}" for a in "xyz") + f", CAST((c_custkey%4)*0.25 AS DOUBLE) AS ta, CAST((c_custkey%4)*0.25+2 AS DOUBLE) AS tz, {b.OTYPE.replace('k%', 'c_custkey%')} AS otype FROM customer WHERE c_custkey%7<>0"
 _CONJ = (
     f"WITH m AS ({_MOVING}), p AS (SELECT i.k AS i, j.k AS j, " + ", ".join(f"i.{a}0-j.{a}0 AS d{a}, i.v{a}-j.v{a} AS w{a}" for a in "xyz") + ", GREATEST(i.ta, j.ta) AS a, LEAST(i.tz, j.tz) AS z FROM m i JOIN m j ON i.k < j.k AND i.otype + j.otype <= 3 AND i.tz > j.ta AND j.tz > i.ta), "
@@ -285,6 +329,36 @@ def _(spark, d):
     return rows.select("i", "j", F.substr(timescale.jd_to_iso((F.col("hi"), F.col("lo"))), F.lit(1), F.lit(19)).alias("tca_utc"))
 
 
+@query("conjunctions_boundary", f"{_CONJ} SELECT i, j, ROUND(tca,6)+0.0 AS tca, ROUND(dca,6)+0.0 AS dca, kind = 1 AS at_begin FROM conj WHERE kind > 0")
+def _(spark, d):
+    ends = b.segments(spark, d).groupBy("obj_idx").agg(F.min("t_begin").alias("born"), F.max("t_end").alias("dead"))
+    rows = _found(spark, d).select("i", "j", "tca", "dca")
+    for s in "ij":
+        rows = rows.join(ends.withColumnsRenamed({"obj_idx": s, "born": f"born_{s}", "dead": f"dead_{s}"}), s)
+    begin, end = (F.abs(F.col("tca") - edge) < 1e-9 for edge in (F.greatest("born_i", "born_j"), F.least("dead_i", "dead_j")))
+    return rows.filter(begin | end).select("i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"), begin.alias("at_begin"))
+
+
+_TYPES = "CASE WHEN {k}%3=0 THEN 1 WHEN {k}%3=1 THEN 2 ELSE 4 END"
+
+
+@query("conjunctions_otypes", f"{_CONJ.replace(b.OTYPE.replace('k%', 'c_custkey%'), _TYPES.format(k='c_custkey'))} SELECT cd_idx, i, j, ROUND(tca,6)+0.0 AS tca, ROUND(dca,6)+0.0 AS dca FROM conj")
+def _(spark, d):
+    objects = b.objects(spark, d).withColumn("otype", F.expr(_TYPES.format(k="obj_idx")))
+    return cj.detect(objects, b.segments(spark, d), b.MAX_T, b.THRESHOLD, b.INTERVAL).select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"))
+
+
+@query(
+    "conjunctions_curved",
+    "SELECT CAST(FLOOR(t/0.8) AS BIGINT) AS cd_idx, 2*k AS i, 2*k+1 AS j, ROUND(t,6)+0.0 AS tca, h AS dca, ROUND(2*(t-1),6)+0.0 AS vx FROM "
+    "(SELECT s_suppkey AS k, 1 + s*sqrt((s_suppkey%5+1)/8.0) AS t, CAST((s_suppkey%3)/16.0 AS DOUBLE) AS h FROM supplier, (VALUES (-1), (1)) v(s)) c",
+)
+def _(spark, d):
+    objects, segments = b.curved(spark, d)
+    found = cj.detect(objects, segments, 2.0, 0.25, 0.8)
+    return found.select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"), _r(F.col("vj")[0]).alias("vx"))
+
+
 @query("np_report")
 def _(spark, d):
     return cj.narrow_report(_pairs(spark, d), b.segments(spark, d), b.MAX_T, b.INTERVAL, b.THRESHOLD)
@@ -337,9 +411,12 @@ def _(spark, d):
     return df.select("norad_id", "n0", "name", "rms", F.when(F.col("_member"), "+").alias("ops_code"), F.when(~F.col("_member"), F.col("tle")).alias("tle"))
 
 
-@query("catalog_no_supgp", "SELECT c_custkey AS norad_id, CAST(NULL AS DOUBLE) AS rms, CAST(NULL AS VARCHAR) AS ops_code FROM customer")
+@query("catalog_no_supgp", "SELECT c_custkey AS norad_id, c_name AS name, c_acctbal AS n0, CAST(NULL AS DOUBLE) AS rms, CASE WHEN s_suppkey%3<>0 THEN 'D' END AS ops_code, s_acctbal AS rcs FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
 def _(spark, d):
-    return b.table(spark, d, "customer").select(F.col("c_custkey").alias("norad_id"), F.lit(None).cast("double").alias("rms"), F.lit(None).cast("string").alias("ops_code"))
+    rows = b.table(spark, d, "customer").select(F.col("c_custkey").alias("norad_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("n0"))
+    base = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.CATALOG.fields if f.name not in (*rows.columns, "rms", "ops_code", "rcs")})
+    known = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("norad_id"), F.col("s_acctbal").alias("rcs"), F.when(F.col("s_suppkey") % 3 != 0, "D").alias("status"))
+    return catalog.merge(base, None, known).select("norad_id", "name", "n0", "rms", "ops_code", "rcs")
 
 
 @query("satcat_override", "SELECT c_custkey AS norad_id, s.rcs AS rcs, CASE WHEN s.norad_id IS NOT NULL THEN s.status ELSE CASE WHEN c_custkey%2=0 THEN '+' END END AS ops_code FROM customer LEFT JOIN (SELECT s_suppkey AS norad_id, s_acctbal AS rcs, CASE WHEN s_suppkey%3<>0 THEN 'D' END AS status FROM supplier) s ON s.norad_id = c_custkey")

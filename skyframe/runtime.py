@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,19 @@ def ready(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a temporary one where that is unset and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="skyframe-")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,6 +5,7 @@ Files are read from landed JSON or CSV; fetching them over a network is left to
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.errors import AnalysisException
@@ -15,14 +16,20 @@ from .. import schema
 from ..functions import timescale
 
 #: The groups of supplemental elements.
-SUPPLEMENTAL_GROUPS = ("spacex", "oneweb", "planet", "iridium", "intelsat", "ses", "telesat", "orbcomm", "iss", "cpf", "gps", "glonass", "meteosat", "kuiper")
-#: Columns that make two rows the same elements: what the reference cuts out, from the epoch to the mean anomaly; bstar isn't among them.
+SUPPLEMENTAL_GROUPS = ("starlink", "oneweb", "planet", "iridium", "gps", "glonass", "intelsat", "ses", "telesat", "iss", "css", "cpf", "kuiper", "ast")
+#: Columns that make two rows the same elements, from the epoch to the mean anomaly; bstar isn't among them.
 SAME_ELEMENTS = ("epoch_jd1", "epoch_jd2", "n0", "e0", "i0", "node0", "omega0", "m0")
+#: Raw columns that propagation needs, and the conventions that all rows of a base catalog have to follow.
+NEEDED = ("NORAD_CAT_ID", "EPOCH", "MEAN_MOTION", "ECCENTRICITY", "INCLINATION", "ARG_OF_PERICENTER", "RA_OF_ASC_NODE", "MEAN_ANOMALY", "BSTAR")
+CONVENTIONS = {"TIME_SYSTEM": "UTC", "REF_FRAME": "TEME", "CENTER_NAME": "EARTH"}
 #: Raw names of a catalog's columns.
 RAW = {"NORAD_CAT_ID": "norad_id", "OBJECT_ID": "cospar_id", "OBJECT_NAME": "name", "EPOCH": "epoch", "MEAN_MOTION": "n0", "ECCENTRICITY": "e0", "INCLINATION": "i0", "RA_OF_ASC_NODE": "node0", "ARG_OF_PERICENTER": "omega0", "MEAN_ANOMALY": "m0", "BSTAR": "bstar"}
 REV_PER_DAY, DEGREE = 2 * math.pi / 1440, 2 * math.pi / 360
 
 
+LOG = logging.getLogger("skyframe")
+
+
 class CatalogError(ValueError):
     """A catalog breaks a rule that the cleaning relies on."""
 
@@ -36,15 +43,53 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+def read_group(spark: SparkSession, folder: str, group: str) -> DataFrame | None:
+    """One group's raw rows from folder/group.json; None, with a warning, where there is no such file or it isn't a list of elements."""
+    try:
+        rows = read_json(spark, f"{folder}/{group}.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        LOG.warning("no file of the supplemental group %s", group)
+        return None
+    if "_corrupt_record" in rows.columns or "NORAD_CAT_ID" not in rows.columns:
+        LOG.warning("the file of the supplemental group %s isn't a list of elements", group)
+        return None
+    return rows
+
+
 def read_groups(spark: SparkSession, folder: str, groups=SUPPLEMENTAL_GROUPS) -> DataFrame | None:
-    """All groups' files (folder/group.json) that exist, as one frame; None if none does."""
-    found = []
-    for g in groups:
-        try:
-            found.append(read_json(spark, f"{folder}/{g}.json"))
-        except AnalysisException:
-            continue
-    return concat(found)
+    """All groups' files that can be read, as one frame; None if none can."""
+    return concat([read_group(spark, folder, g) for g in groups])
+
+
+def load_base(spark: SparkSession, path: str) -> DataFrame:
+    """A landed base catalog, checked, cleaned, without repeated elements."""
+    raw = read_json(spark, path)
+    missing = [c for c in (*NEEDED, *CONVENTIONS) if c not in raw.columns]
+    if missing:
+        raise CatalogError(f"{path} has no {', '.join(missing)}")
+    return first_of_same(reformat(validate(raw, unique="NORAD_CAT_ID", required=list(NEEDED), constant=CONVENTIONS), clean_placeholders=True))
+
+
+def load_supplemental(spark: SparkSession, folder: str, groups=SUPPLEMENTAL_GROUPS) -> DataFrame | None:
+    """The supplemental elements of all groups, each checked and without repeats, one row an id and epoch; None without any group."""
+    found = [read_group(spark, folder, g) for g in groups]
+    parts = [first_of_same(reformat(validate(raw, required=list(NEEDED)), clean_placeholders=False)) for raw in found if raw is not None]
+    return lowest_rms(concat(parts)) if parts else None
+
+
+def load_satcat(spark: SparkSession, path: str) -> DataFrame:
+    """(norad_id, rcs, status) of a landed satellite catalog, whose ids have to be unique."""
+    raw = validate(read_csv(spark, path), unique="NORAD_CAT_ID", required=["NORAD_CAT_ID"])
+    number = F.col("NORAD_CAT_ID").cast("long")
+    return raw.select(number.alias("norad_id"), empty_to_null(F.col("RCS")).cast("double").alias("rcs"), F.col("OPS_STATUS_CODE").alias("status"))
+
+
+def load_catalog(spark: SparkSession, base: str, satcat: str, groups: str | None = None) -> DataFrame:
+    """The whole catalog from landed files, in order of id and epoch: a base JSON file, a satellite catalog in CSV, and the folder of supplemental groups, if any."""
+    extra = load_supplemental(spark, groups) if groups else None
+    return merge(load_base(spark, base), extra, load_satcat(spark, satcat)).orderBy("norad_id", "epoch_jd1", "epoch_jd2")
 
 
 def concat(frames: list[DataFrame | None]) -> DataFrame | None:
@@ -161,6 +206,29 @@ def to_gpes(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.GPE.fields))
 
 
+def check_elements(gpes: DataFrame) -> DataFrame:
+    """gpes, or a CatalogError: at least one row, all fields finite, and no epoch twice for an id."""
+    odd = lambda c: F.col(c).isNull() | (F.isnan(c) | (F.abs(c) == float("inf")) if c != "norad_id" else F.lit(False))
+    sums = gpes.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(odd(f.name)).alias(f.name) for f in schema.GPE.fields)).first()
+    if not sums["n"]:
+        raise CatalogError("there are no elements")
+    broken = [f.name for f in schema.GPE.fields if sums[f.name]]
+    if broken:
+        raise CatalogError(f"null or not finite: {', '.join(broken)}")
+    high, low = timescale.two_sum(F.col("epoch_jd1"), F.col("epoch_jd2"))
+    again = gpes.groupBy("norad_id", high.alias("_high"), low.alias("_low")).count().filter("count > 1").limit(1).collect()
+    if again:
+        raise CatalogError(f"an epoch of {again[0]['norad_id']} recurs")
+    return gpes
+
+
+def check_span(jd_begin: float, jd_end: float, reentry: float = 0.0, leave: float = math.inf) -> None:
+    if not (math.isfinite(jd_begin) and math.isfinite(jd_end) and jd_begin < jd_end):
+        raise ValueError(f"the dates {jd_begin} and {jd_end} aren't finite and ascending")
+    if math.isnan(reentry) or math.isnan(leave) or reentry >= leave:
+        raise ValueError(f"the radii {reentry} and {leave} aren't ascending")
+
+
 def norad_index(df: DataFrame) -> DataFrame:
     """(obj_idx, norad_id): ids in ascending order, numbered from 0 by parts and the parts' sizes."""
     ids = df.select("norad_id").distinct().repartitionByRange("norad_id").withColumn("_part", F.spark_partition_id())
@@ -172,6 +240,7 @@ def norad_index(df: DataFrame) -> DataFrame:
 
 def gpe_intervals(gpes: DataFrame, jd_begin: float, jd_end: float) -> DataFrame:
     """Adds begin and end, UTC dates between which each row of elements holds: from its epoch to the next one's, the earliest one from jd_begin on; rows without a share of [jd_begin, jd_end) go."""
+    check_span(jd_begin, jd_end)
     w = Window.partitionBy("norad_id").orderBy("epoch_jd1", "epoch_jd2")
     epoch = F.col("epoch_jd1") + F.col("epoch_jd2")
     rows = gpes.withColumns({"_next": F.lead(epoch).over(w), "_first": F.row_number().over(w) == 1})

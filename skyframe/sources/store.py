@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import runtime, schema
 
 VERSION = 1
 
@@ -93,7 +96,7 @@ class TrajectoryStore:
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, trajs, times, status, epoch: float = 0.0, epoch2: float = 0.0) -> TrajectoryStore:
-        """From one [steps, order + 1, 7] array, one [steps + 1] array and one status an object."""
+        """From one [steps, order + 1, 7] array, one [steps + 1] array and one status an object; for data that the driver holds, as in tests."""
         trajs, times, status = [np.asarray(t, float) for t in trajs], [np.asarray(t, float) for t in times], list(status)
         if not len(trajs) == len(times) == len(status):
             raise StoreError("trajectories, times and status differ in number")
@@ -109,35 +112,65 @@ class TrajectoryStore:
 
     @classmethod
     def from_datafiles(cls, spark: SparkSession, traj: str, time: str, order: int, offsets: pd.DataFrame, status, epoch: float = 0.0, epoch2: float = 0.0) -> TrajectoryStore:
-        """From raw files of doubles and (offset, n_steps) an object, contiguous from 0; for data of a size that one machine wrote."""
-        values, at = np.fromfile(traj), np.fromfile(time)
-        trajs, times, seen, t0 = [], [], 0, 0
-        for offset, n in offsets[["offset", "n_steps"]].itertuples(index=False):
-            if offset != seen:
-                raise StoreError("offsets have to begin at 0 and be contiguous")
-            size = n * (order + 1) * len(schema.COORDS)
-            trajs.append(values[seen : seen + size].reshape(n, order + 1, len(schema.COORDS)))
-            times.append(at[t0 : t0 + n + 1] if n else at[:0])
-            seen, t0 = seen + size, t0 + (n + 1 if n else 0)
-        if seen != len(values) or t0 != len(at):
+        """From raw files of doubles, which all executors can read, and (offset, n_steps) an object, contiguous from 0.
+
+        The driver checks offsets and sizes; tasks read the ranges of their own objects.
+        """
+        table = offsets[["offset", "n_steps"]].astype("int64").reset_index(drop=True)
+        width = (order + 1) * len(schema.COORDS)
+        if len(table) != len(list(status)):
+            raise StoreError("offsets and status differ in number")
+        size = table["n_steps"] * width
+        if (table["offset"] != size.cumsum() - size).any():
+            raise StoreError("offsets have to begin at 0 and be contiguous")
+        n_times = (table["n_steps"] + 1).where(table["n_steps"] > 0, 0)
+        if os.path.getsize(traj) != 8 * int(size.sum()) or os.path.getsize(time) != 8 * int(n_times.sum()):
             raise StoreError("file sizes don't match the offsets")
-        return cls.from_arrays(spark, trajs, times, status, epoch, epoch2)
+        table["time_offset"] = n_times.cumsum() - n_times
+        runtime.ready(spark)
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = []
+                for i, at, n, t0 in f[["obj_idx", "offset", "n_steps", "time_offset"]].itertuples(index=False):
+                    if n:
+                        c = np.fromfile(traj, float, n * width, offset=8 * at).reshape(n, order + 1, len(schema.COORDS))
+                        t = np.fromfile(time, float, n + 1, offset=8 * t0)
+                        rows += [(i, k, t[k], t[k + 1], *(c[k, :, d].tolist() for d in range(len(schema.COORDS)))) for k in range(n)]
+                yield pd.DataFrame(rows, columns=schema.SEGMENTS.fieldNames())
+
+        ranges = spark.createDataFrame(table.assign(obj_idx=range(len(table)))).select("obj_idx", "offset", "n_steps", "time_offset")
+        parts = max(1, min(len(table), 4 * spark.sparkContext.defaultParallelism))
+        segments = ranges.repartitionByRange(parts, "obj_idx").mapInPandas(read, schema.SEGMENTS)
+        objects = spark.createDataFrame([(i, int(s), None, schema.PRIMARY) for i, s in enumerate(status)], schema.OBJECTS)
+        return cls.from_frames(objects, segments, epoch, epoch2)
 
-    def save(self, path: str) -> TrajectoryStore:
-        """Writes the store; its metadata come last and make it complete."""
+    def save(self, path: str, persist: bool = True) -> TrajectoryStore:
+        """Writes the store; its metadata come last and make it complete. One that isn't to persist is deleted when it is detached."""
         self._open()
         self.objects.write.mode("errorifexists").parquet(f"{path}/objects")
         self.segments.repartition("obj_idx").sortWithinPartitions("obj_idx", "step_idx").write.parquet(f"{path}/segments")
-        self.spark.createDataFrame([(VERSION, True, self.n_objs, self.poly_order, self.max_t, *self.epoch)], "version int, persist boolean, n_objs long, poly_order int, maxT double, epoch double, epoch2 double").coalesce(1).write.parquet(f"{path}/traj_meta")
-        return self.mount(self.spark, path)
+        self.spark.createDataFrame([(VERSION, persist, self.n_objs, self.poly_order, self.max_t, *self.epoch)], "version int, persist boolean, n_objs long, poly_order int, maxT double, epoch double, epoch2 double").coalesce(1).write.parquet(f"{path}/traj_meta")
+        return self._opened(self.spark, path)
+
+    def save_temporary(self) -> TrajectoryStore:
+        """save() below the shared folder that spark.checkpoint.dir names, until the store is detached."""
+        return self.save(f"{runtime.scratch_root(self.spark)}/skyframe/store-{uuid.uuid4().hex}", persist=False)
 
     @classmethod
-    def mount(cls, spark: SparkSession, path: str) -> TrajectoryStore:
-        """Opens a store that save() wrote."""
+    def _opened(cls, spark: SparkSession, path: str) -> TrajectoryStore:
         meta = spark.read.parquet(f"{path}/traj_meta").first()
-        if meta is None or meta["version"] != VERSION or not meta["persist"]:
-            raise StoreError(f"{path} holds no persistent store of version {VERSION}")
-        return cls(spark, spark.read.parquet(f"{path}/objects"), spark.read.parquet(f"{path}/segments"), (meta["epoch"], meta["epoch2"]), meta["poly_order"], meta["maxT"], meta["n_objs"], path, True)
+        if meta is None or meta["version"] != VERSION:
+            raise StoreError(f"{path} holds no store of version {VERSION}")
+        return cls(spark, spark.read.parquet(f"{path}/objects"), spark.read.parquet(f"{path}/segments"), (meta["epoch"], meta["epoch2"]), meta["poly_order"], meta["maxT"], meta["n_objs"], path, meta["persist"])
+
+    @classmethod
+    def mount(cls, spark: SparkSession, path: str) -> TrajectoryStore:
+        """Opens a store that save() wrote to persist."""
+        found = cls._opened(spark, path)
+        if not found.persist:
+            raise StoreError(f"the store in {path} isn't persistent")
+        return found
 
     def _open(self) -> None:
         if self.detached:
@@ -163,6 +196,8 @@ class TrajectoryStore:
         if not self.detached:
             self.hint_release()
             self.detached = True
+            if self.path and not self.persist:
+                runtime.delete(self.spark, self.path)
 
     def __enter__(self) -> TrajectoryStore:
         return self

@@ -1,6 +1,7 @@
 """Stores, evaluation and detection on analytic inputs."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from skyframe import schema, streaming
 from skyframe.functions import poly
 from skyframe.operators import conjunctions as cj
-from skyframe.operators import evaluate, propagate
+from skyframe.operators import evaluate, propagate, results
 from skyframe.sources import catalog
 from skyframe.sources.store import StoreError, TrajectoryStore
 
@@ -150,7 +151,7 @@ def test_boxes_hold_positions_and_tree_is_whole(spark):
                 assert r["l" + a] <= np.polyval(bodies[i][0][s, ::-1, d], t - s * 0.5) <= r["u" + a]
     pairs = sorted(map(tuple, cj.collisions(coded, store.objects).collect()))
     assert pairs == sorted(map(tuple, cj.collisions_naive(coded, store.objects).collect())) and pairs
-    tight = sorted(map(tuple, cj.collisions(coded, store.objects, cells=64, most_cells=2).collect()))
+    tight = sorted(map(tuple, cj.collisions(coded, store.objects, most_cells=2).collect()))
     assert tight == pairs
     for step, nodes in cj.bvh_tree(coded).toPandas().groupby("cd_idx"):
         inner = nodes[nodes.left >= 0].set_index("node_idx")
@@ -213,7 +214,7 @@ def test_fit_follows_sgp4():
 def test_catalog_merge(spark, tmp_path):
     raw = '{"NORAD_CAT_ID": %d, "OBJECT_ID": "UNKNOWN", "OBJECT_NAME": "A", "EPOCH": "2024-11-01T06:00:00.500000", "MEAN_MOTION": 15.0, "ECCENTRICITY": 0.001, "INCLINATION": 90.0, "RA_OF_ASC_NODE": 1, "ARG_OF_PERICENTER": 2, "MEAN_ANOMALY": 3, "BSTAR": 0.1%s}'
     (tmp_path / "base.json").write_text("[" + ", ".join(raw % (k, ', "TLE_LINE1": "1", "TLE_LINE2": "2"') for k in (5, 6)) + "]")
-    (tmp_path / "spacex.json").write_text("[" + ", ".join(raw % (k, ', "RMS": "%s"' % r) for k, r in ((6, ""), (6, "0.5"), (7, "0.1"))) + "]")
+    (tmp_path / "starlink.json").write_text("[" + ", ".join(raw % (k, ', "RMS": "%s"' % r) for k, r in ((6, ""), (6, "0.5"), (7, "0.1"))) + "]")
     base = catalog.reformat(catalog.read_json(spark, str(tmp_path / "base.json")), clean_placeholders=True)
     extra = catalog.read_groups(spark, str(tmp_path))
     extra = catalog.lowest_rms(catalog.reformat(extra, clean_placeholders=False))
@@ -227,3 +228,81 @@ def test_catalog_merge(spark, tmp_path):
     assert catalog.read_groups(spark, str(tmp_path), ("none",)) is None
     with pytest.raises(catalog.CatalogError, match="recurs"):
         catalog.validate(extra.union(extra), unique="norad_id", required=["n0"])
+
+
+RAW = '{"NORAD_CAT_ID": %d, "OBJECT_ID": "UNKNOWN", "OBJECT_NAME": "A", "EPOCH": "2024-11-01T06:00:00.500000", "MEAN_MOTION": %s, "ECCENTRICITY": 0.001, "INCLINATION": 90.0, "RA_OF_ASC_NODE": 1, "ARG_OF_PERICENTER": 2, "MEAN_ANOMALY": 3, "BSTAR": 0.1%s}'
+BASE = ', "TIME_SYSTEM": "UTC", "REF_FRAME": "TEME", "CENTER_NAME": "EARTH", "TLE_LINE1": "1", "TLE_LINE2": "2"'
+
+
+def test_load_catalog(spark, tmp_path, caplog):
+    base, satcat, groups = tmp_path / "base.json", tmp_path / "satcat.csv", tmp_path / "groups"
+    groups.mkdir()
+    base.write_text("[" + ", ".join(RAW % (k, m, BASE) for k, m in ((9, 15.0), (5, 15.0), (6, 14.0))) + "]")
+    satcat.write_text("NORAD_CAT_ID,RCS,OPS_STATUS_CODE\n6,1.5,\n5,,D\n")
+    (groups / "starlink.json").write_text("[" + ", ".join(RAW % (k, m, f', "RMS": "{r}"') for k, m, r in ((6, 14.5, ""), (6, 14.25, "0.5"), (7, 13.0, "0.1"))) + "]")
+    (groups / "iss.json").write_text("Invalid query")
+    with caplog.at_level("WARNING", "skyframe"):
+        rows = catalog.load_catalog(spark, str(base), str(satcat), str(groups)).collect()
+    assert "iss isn't a list" in caplog.text.replace("supplemental group ", "") and "css" in caplog.text and "starlink" not in caplog.text
+    assert [r.norad_id for r in rows] == [5, 6, 7]  # 9 has the elements of 5
+    assert (rows[0].ops_code, rows[0].rcs, rows[0].tle_line1) == ("D", None, "1")
+    assert (rows[1].ops_code, rows[1].rcs, rows[1].rms, rows[1].tle_line1) == (None, 1.5, 0.5, None)
+    assert rows[2].ops_code == "+" and rows[2].n0 == pytest.approx(13 * 2 * math.pi / 1440)
+    plain = catalog.load_catalog(spark, str(base), str(satcat)).collect()
+    assert [r.norad_id for r in plain] == [5, 6] and all(r.rms is None for r in plain)
+    base.write_text("[" + (RAW % (5, 15.0, BASE.replace("UTC", "TAI"))) + "]")
+    with pytest.raises(catalog.CatalogError, match="TIME_SYSTEM"):
+        catalog.load_base(spark, str(base))
+    base.write_text("[" + (RAW % (5, 15.0, "")) + "]")
+    with pytest.raises(catalog.CatalogError, match="REF_FRAME"):
+        catalog.load_base(spark, str(base))
+    satcat.write_text("NORAD_CAT_ID,RCS,OPS_STATUS_CODE\n6,1.5,\n6,,D\n")
+    with pytest.raises(catalog.CatalogError, match="recurs"):
+        catalog.load_satcat(spark, str(satcat))
+
+
+def test_rules_of_elements(spark):
+    row = (5, 2460000.5, 0.25, 0.06, 0.001, 1.0, 1.0, 1.0, 1.0, 0.0)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema.GPE)
+    assert catalog.check_elements(frame(row, (6, *row[1:]))).count() == 2
+    for rows, said in (((), "no elements"), ((row, row), "recurs"), ((row, (5, 2460000.0, 0.75, *row[3:])), "recurs"), (((5, *row[1:3], float("nan"), *row[4:]),), "n0"), (((None, *row[1:]),), "norad_id")):
+        with pytest.raises(catalog.CatalogError, match=said):
+            catalog.check_elements(frame(*rows))
+    for span in ((1.0, 1.0), (2.0, 1.0), (float("nan"), 1.0), (0.0, 1.0, 5.0, 5.0), (0.0, 1.0, float("nan"))):
+        with pytest.raises(ValueError):
+            catalog.check_span(*span)
+
+
+def test_results_are_tables(spark, tmp_path):
+    store = store_of(spark, line(1, -1, 0, 2), line(-1, 1, 0, 2), line(5, 0, 0, 1))
+    made = results.Conjunctions.detect(store, 0.1, 0.75, str(tmp_path / "found"))
+    again = results.Conjunctions.mount(spark, str(tmp_path / "found"))
+    assert again.n_steps == 3 and [r.cd_end for r in again.steps.orderBy("cd_idx").collect()] == [0.75, 1.5, 2.0]
+    assert [(r.cd_idx, r.i, r.j, round(r.tca, 9)) for r in made.conjunctions.collect()] == [(1, 0, 1, 1.0)]
+    assert [tuple(r) for r in again.aabb_collisions(1).collect()] == [(0, 1)] and again.aabb_collisions(2).count() == 0
+    assert again.aabbs.count() == again.srt_aabbs.count() == 9 and again.mcodes.count() == 8 and again.global_aabbs.count() == 3
+    last = {r.obj_idx: (r.pos, r.lx) for r in again.srt_aabbs.filter("cd_idx = 2").collect()}
+    assert last[2] == (2, float("inf"))
+    assert again.leaves(0).count() == 3 and again.otypes.count() == 3
+    for k in (-1, 3):
+        with pytest.raises(IndexError):
+            again.aabb_collisions(k)
+    with pytest.raises(ValueError):
+        results.Conjunctions.detect(TrajectoryStore.from_frames(store.objects.withColumn("otype", F.lit(3)), store.segments), 0.1, 0.75, str(tmp_path / "other"))
+
+
+def test_temporary_stores_go(spark):
+    store = store_of(spark, line(1, -1, 0, 2)).save_temporary()
+    assert os.path.isdir(store.path) and store.segments.count() == 20
+    with pytest.raises(StoreError, match="persistent"):
+        TrajectoryStore.mount(spark, store.path)
+    store.detach()
+    assert not os.path.exists(store.path)
+
+
+def test_roots_closer_than_numbers_resolve():
+    third = np.poly1d([1, -0.3]) ** 3
+    row, low, high = poly.sign_intervals(third.coeffs[::-1][None].copy(), np.array([1.0]))
+    assert len(row) == 1 and low[0] <= 0.3 + 1e-6 and high[0] >= 0.3 - 1e-6
+    row, t = poly.real_roots(np.poly(np.array([0.25, 0.5, 0.75]))[::-1][None].copy(), np.array([1.0]))
+    assert np.allclose(np.sort(t), [0.25, 0.5, 0.75])
