@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import os
+import random
 import zlib
 
 import brute
@@ -429,6 +430,35 @@ def test_reply_tree(spark):
     assert chat.format_trees(tree.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("branches", [1, 3, None])
+def test_paths_of_random_trees(spark, branches):
+    draw = random.Random(5)
+    parents = {}
+    for tree in range(6):
+        for node in range(1, 40):
+            parents[tree, node] = draw.randrange(0, node) or None
+    parents[0, 7], parents[0, 8] = 8, 7  # a ring, with all that hangs on it
+    parents[1, 30] = 99  # a parent that isn't there
+    scores = {k: draw.choice([None, 0.5, 1.0, 2.25]) for k in parents}
+    rows = [(t, n, p, scores[t, n]) for (t, n), p in parents.items()]
+    rows += [(2, 5, parents[2, 5], 3.0), (3, None, 1, 9.0)]  # a repeated node, a null one
+    score = {k: v or 0.0 for k, v in scores.items()} | {(2, 5): ((scores[2, 5] or 0.0) + 3.0) / 2}
+    want = {}
+    for tree in range(6):
+        found = []
+        for leaf in set(range(1, 40)) - {p for (t, _), p in parents.items() if t == tree}:
+            path = [leaf]
+            while (up := parents.get((tree, path[-1]))) and (tree, up) in parents and len(path) < 50:
+                path.append(up)
+            if len(path) < 50:
+                found.append((-sum(score[tree, n] for n in path) / len(path), leaf, path))
+        for rank, (mean, leaf, path) in enumerate(sorted(found)[:branches], 1):
+            want |= {(tree, leaf, n): (rank, -mean, dist) for dist, n in enumerate(path)}
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    got = {(r.tree, r.leaf, r.node): (r["rank"], pytest.approx(r.score), r.dist) for r in chat.tree_paths(nodes, branches).collect()}
+    assert got == want
+
+
 def test_chat_digests(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet").collect()
     by = collections.defaultdict(list)
