@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,15 +127,31 @@ def morton(boxes: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     return boxes.join(bounds, "cd_idx").withColumn("mcode", code).drop(*(f"g{s}{a}" for s in "lu" for a in AXES))
 
 
+def _unsigned(code: Column) -> Column:
+    """A long whose signed order is the unsigned order of code."""
+    return code.bitwiseXOR(F.lit(-(2**63)))
+
+
+def _code_part(code: Column) -> Column:
+    """The code's top 12 bits: parts of a step in code order, so that no task sorts a whole step."""
+    return F.shiftrightunsigned(code, 52)
+
+
 def morton_order(coded: DataFrame, objects: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
-    """(cd_idx, pos, obj_idx, mcode): objects by unsigned code within each step, those without data last, ties by index."""
-    rows = coded.select("cd_idx", "obj_idx", "mcode", F.lit(False).alias("empty"))
+    """(cd_idx, pos, obj_idx, mcode): objects by unsigned code within each step, those without data last, ties by index.
+
+    Positions are row numbers within parts of a step, after the totals of the parts before.
+    """
+    rows = coded.select("cd_idx", "obj_idx", "mcode", _code_part(F.col("mcode")).alias("part"))
     if objects is not None:
         every = objects.select("obj_idx").crossJoin(F.broadcast(steps.select("cd_idx")))
         gaps = every.join(coded.select("cd_idx", "obj_idx"), ["cd_idx", "obj_idx"], "left_anti")
-        rows = rows.unionByName(gaps.select("cd_idx", "obj_idx", F.lit(NO_DATA).cast("long").alias("mcode"), F.lit(True).alias("empty")))
-    w = Window.partitionBy("cd_idx").orderBy("empty", F.col("mcode") < 0, "mcode", "obj_idx")
-    return rows.select("cd_idx", (F.row_number().over(w) - 1).cast("long").alias("pos"), "obj_idx", "mcode")
+        last = F.lit(1 << 12) + F.shiftright("obj_idx", 16)
+        rows = rows.unionByName(gaps.select("cd_idx", "obj_idx", F.lit(NO_DATA).cast("long").alias("mcode"), last.cast("long").alias("part")))
+    before = Window.partitionBy("cd_idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("cd_idx", "part").agg(F.count(F.lit(1)).alias("_n")).select("cd_idx", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("cd_idx", "part").orderBy(_unsigned(F.col("mcode")), "obj_idx")
+    return rows.join(parts, ["cd_idx", "part"]).select("cd_idx", (F.col("_before") + F.row_number().over(w) - 1).cast("long").alias("pos"), "obj_idx", "mcode")
 
 
 def leaves(coded: DataFrame) -> DataFrame:
@@ -144,37 +159,53 @@ def leaves(coded: DataFrame) -> DataFrame:
     return coded.groupBy("cd_idx", "mcode").agg(F.count(F.lit(1)).alias("n"), *(F.min(f"l{a}").alias(f"l{a}") for a in AXES), *(F.max(f"u{a}").alias(f"u{a}") for a in AXES))
 
 
+def _placed_leaves(coded: DataFrame) -> DataFrame:
+    """leaves() with begin and end, their places among a step's objects, and low, the lowest bit in which a neighbour's code differs (null: no neighbour)."""
+    leaf = leaves(coded).withColumn("part", _code_part(F.col("mcode")))
+    order = Window.partitionBy("cd_idx").orderBy("part")
+    ends = [f(F.struct(_unsigned(F.col("mcode")), "mcode"))["mcode"] for f in (F.min, F.max)]
+    parts = leaf.groupBy("cd_idx", "part").agg(F.sum("n").alias("_n"), ends[0].alias("_first"), ends[1].alias("_last"))
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("cd_idx", "part", before.alias("_before"), F.lag("_last").over(order).alias("_previous"), F.lead("_first").over(order).alias("_next"))
+    w = Window.partitionBy("cd_idx", "part").orderBy(_unsigned(F.col("mcode")))
+    begin = F.col("_before") + F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    beside = F.coalesce(F.lag("mcode").over(w), "_previous"), F.coalesce(F.lead("mcode").over(w), "_next")
+    low = F.least(*(F.length(F.bin(F.col("mcode").bitwiseXOR(other))) - 1 for other in beside))
+    rows = leaf.join(parts, ["cd_idx", "part"]).withColumns({"begin": begin, "low": low})
+    return rows.withColumn("end", F.col("begin") + F.col("n")).drop("part", "_before", "_previous", "_next")
+
+
 def bvh_tree(coded: DataFrame) -> DataFrame:
     """(cd_idx, node_idx, begin, end, left, right, lb, ub): a radix tree over each step's leaves in level order; -1: no child.
 
-    A node of several codes splits where the highest bit that differs among them turns on. One step's objects make one tree.
+    A node of several codes splits where the highest bit that differs among them turns on. The codes of a node are those with its
+    prefix, so that nodes are groups of leaves by prefix: each leaf counts for the prefixes above the lowest bit in which it differs
+    from a neighbour, about as many as the tree is deep, and a group that has both values of its bit is a node. Children follow in
+    the next level in the order of their parents, so that their numbers are counts.
     """
-    runtime.ready(coded.sparkSession)
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        codes = frame["mcode"].to_numpy().view(np.uint64)
-        order = np.lexsort([frame["obj_idx"].to_numpy(), codes])
-        codes = codes[order]
-        low = np.stack([frame[f"l{a}"].to_numpy()[order] for a in AXES], 1)
-        high = np.stack([frame[f"u{a}"].to_numpy()[order] for a in AXES], 1)
-        nodes, at = [[0, len(codes), -1, -1]], 0
-        while at < len(nodes):
-            b, e = nodes[at][:2]
-            if codes[b] != codes[e - 1]:
-                bit = int(codes[b] ^ codes[e - 1]).bit_length() - 1
-                split = b + int(np.searchsorted(codes[b:e] >> np.uint64(bit) & np.uint64(1), 1))
-                nodes[at][2:] = [len(nodes), len(nodes) + 1]
-                nodes += [[b, split, -1, -1], [split, e, -1, -1]]
-            at += 1
-        out = pd.DataFrame(nodes, columns=["begin", "end", "left", "right"])
-        out.insert(0, "node_idx", np.arange(len(out)))
-        out.insert(0, "cd_idx", frame["cd_idx"].iloc[0])
-        out["lb"] = [low[b:e].min(axis=0).tolist() for b, e, _, _ in nodes]
-        out["ub"] = [high[b:e].max(axis=0).tolist() for b, e, _, _ in nodes]
-        return out
-
-    columns = ["cd_idx", "obj_idx", "mcode", *(f"{s}{a}" for s in "lu" for a in AXES)]
-    return coded.select(*columns).groupBy("cd_idx").applyInPandas(build, "cd_idx long, node_idx long, begin long, end long, left long, right long, lb array<float>, ub array<float>")
+    sides = [f"{s}{a}" for s in "lu" for a in AXES]
+    leaf = _placed_leaves(coded)
+    above = leaf.withColumn("bit", F.explode(F.sequence("low", F.lit(63))))
+    above = above.withColumns({"prefix": F.expr("shiftrightunsigned(shiftrightunsigned(mcode, bit), 1)"), "one": F.expr("(shiftrightunsigned(mcode, bit) & 1) = 1")})
+    bounds = [F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in sides]
+    inner = above.groupBy("cd_idx", "bit", "prefix").agg(F.min("begin").alias("first"), F.max("end").alias("end"), F.min(F.when(F.col("one"), F.col("begin"))).alias("split"), *bounds).filter("split > first")
+
+    paths = above.select("cd_idx", "bit", "prefix", "begin").join(inner.select("cd_idx", "bit", "prefix", "first"), ["cd_idx", "bit", "prefix"])
+    depth = F.row_number().over(Window.partitionBy("cd_idx", "begin").orderBy(F.col("bit").desc())) - 1
+    paths = paths.withColumn("depth", depth)
+    inner = inner.join(paths.filter("begin = first").select("cd_idx", "bit", "prefix", "depth"), ["cd_idx", "bit", "prefix"])
+    depths = paths.groupBy("cd_idx", "begin").agg((F.max("depth") + 1).alias("depth"))
+    leaf = leaf.join(depths, ["cd_idx", "begin"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    nodes = inner.select("cd_idx", "depth", F.col("first").alias("begin"), "end", F.lit(1).alias("_inner"), *sides).unionByName(leaf.select("cd_idx", "depth", "begin", "end", F.lit(0).alias("_inner"), *sides))
+
+    earlier = Window.partitionBy("cd_idx").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    levels = nodes.groupBy("cd_idx", "depth").agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    level = Window.partitionBy("cd_idx", "depth").orderBy("begin")
+    parents = F.coalesce(F.sum("_inner").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    child = F.col("_at") + F.col("_n") + 2 * parents
+    children = [F.when(F.col("_inner") == 1, child + k).otherwise(F.lit(-1)).cast("long").alias(c) for k, c in enumerate(("left", "right"))]
+    corners = [F.array(*(f"{s}{a}" for a in AXES)).alias(f"{s}b") for s in "lu"]
+    return nodes.join(levels, ["cd_idx", "depth"]).select("cd_idx", (F.col("_at") + F.row_number().over(level) - 1).cast("long").alias("node_idx"), "begin", "end", *children, *corners)
 
 
 def _overlap(a: str, b: str) -> Column:

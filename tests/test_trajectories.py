@@ -135,6 +135,24 @@ def test_masks_and_parameters(spark):
         cj.check_types(store.objects.withColumn("otype", F.lit(3)))
 
 
+def plain_tree(codes):
+    """Begin, end, left and right of a radix tree's nodes in level order."""
+    codes, nodes = sorted(c % 2**64 for c in codes.tolist()), []
+    level = [(0, len(codes))]
+    while level:
+        below, after = [], len(nodes) + len(level)
+        for begin, end in level:
+            bit = (codes[begin] ^ codes[end - 1]).bit_length() - 1
+            if bit < 0:
+                nodes.append([begin, end, -1, -1])
+                continue
+            split = next(k for k in range(begin, end) if codes[k] >> bit & 1)
+            nodes.append([begin, end, after + len(below), after + len(below) + 1])
+            below += [(begin, split), (split, end)]
+        level = below
+    return nodes
+
+
 def test_boxes_hold_positions_and_tree_is_whole(spark):
     draw = np.random.default_rng(3)
     bodies = []
@@ -153,6 +171,19 @@ def test_boxes_hold_positions_and_tree_is_whole(spark):
     assert pairs == sorted(map(tuple, cj.collisions_naive(coded, store.objects).collect())) and pairs
     tight = sorted(map(tuple, cj.collisions(coded, store.objects, most_cells=2).collect()))
     assert tight == pairs
+    odd = coded.unionByName(coded.filter("obj_idx < 4").withColumn("obj_idx", F.col("obj_idx") + 100))  # equal codes
+    odd = odd.unionByName(coded.filter("cd_idx = 0 AND obj_idx = 3").withColumn("cd_idx", F.lit(90).cast("long")))  # a step of one object
+    rows = cj.bvh_tree(odd).toPandas()
+    assert set(rows.cd_idx) == {*range(7), 90}
+    for step, frame in odd.toPandas().groupby("cd_idx"):
+        mine = rows[rows.cd_idx == step].sort_values("node_idx")
+        assert mine.node_idx.tolist() == list(range(len(mine)))
+        assert mine[["begin", "end", "left", "right"]].to_numpy().tolist() == plain_tree(frame.mcode.to_numpy())
+    order = cj.morton_order(coded, store.objects.limit(30), cj.cd_steps(spark, 2.5, 0.4)).toPandas()
+    for step, frame in order.groupby("cd_idx"):
+        frame = frame.sort_values("pos")
+        assert frame.pos.tolist() == list(range(len(frame))) and frame.obj_idx.is_unique
+        assert frame.mcode.to_numpy().view(np.uint64).tolist() == sorted(frame.mcode.to_numpy().view(np.uint64).tolist())
     for step, nodes in cj.bvh_tree(coded).toPandas().groupby("cd_idx"):
         inner = nodes[nodes.left >= 0].set_index("node_idx")
         by = nodes.set_index("node_idx")
