@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: bytes.split() without arguments cuts at exactly these six characters.
 SPACES = b" \t\n\x0b\x0c\r"
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
-#: The paths made in each open block of passing().
-_scopes: list[list[str]] = []
+#: The paths made in each open block of passing(), from the outermost in; every thread has blocks of its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -45,8 +47,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage: lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._skyframe_path = path
     return table
@@ -62,13 +64,14 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(table._skyframe_path)
         return table
 
-    _scopes.append(made)
+    outer = _scopes.get()
+    _scopes.set((*outer, made))
     try:
         yield keep
     finally:
-        _scopes.pop()
-        if _scopes:
-            _scopes[-1].extend(kept)
+        _scopes.set(outer)
+        if outer:
+            outer[-1].extend(kept)
         _delete(spark, [p for p in made if p not in kept])
 
 
@@ -122,6 +125,67 @@ def arrow_rows(
     return run
 
 
+def byte_table(separators: bytes | range, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, whether it belongs to a word, and what stands for it in the word (A-Z lower-cased on request)."""
+    solid, as_is = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+    solid[list(separators)] = False
+    if lower:
+        as_is[65:91] += 32
+    return solid, as_is
+
+
+def word_table(texts: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """The words of a batch of UTF-8 texts (binary, without nulls) in order: the position of each one's text, and the words as bytes.
+
+    Works on the batch's bytes as a whole, without an object for each word; separators are ASCII, so that no character is cut.
+    """
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    solid = table[0][raw]
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[ends] = True
+    begins[1:-1] |= ~solid[:-1]
+    begins[-1] = True
+    first = np.flatnonzero(solid & begins[:-1])
+    after = np.ones(len(raw), bool)
+    after[:-1] = ~solid[1:]
+    last = np.flatnonzero(solid & (after | _borders(ends, len(raw))))
+    starts = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts), pa.py_buffer(table[1][raw[solid]])])
+    return np.searchsorted(ends, first, side="right") - 1, words
+
+
+def _borders(ends: np.ndarray, n: int) -> np.ndarray:
+    """Whether a text ends behind each of n bytes."""
+    out = np.zeros(n, bool)
+    out[ends[ends > 0] - 1] = True
+    return out
+
+
+def merged_runs(tables: Iterable[pa.Table], keys: list[str], sums: list[str], most: int = 400_000) -> Iterator[pa.Table]:
+    """The tables with rows of equal keys added up, as far as they meet within about `most` rows: a combiner of bounded memory."""
+
+    def merge(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+        return pa.table({c: found[c] for c in keys} | {c: found[f"{c}_sum"] for c in sums})
+
+    held, rows = [], 0
+    for t in tables:
+        held.append(t)
+        rows += t.num_rows
+        if rows > most:
+            one = merge(held)
+            held, rows = [one], one.num_rows
+            if rows > most // 2:
+                yield one
+                held, rows = [], 0
+    if held:
+        yield merge(held)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     name, taken = base, {c.lower() for c in df.columns}

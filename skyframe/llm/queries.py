@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes, binary, chat, common, fingerprint, langid, mixing, neardup, packing, rules, toxicity
+from . import bayes, binary, bpe, chat, common, divergence, fingerprint, langid, mixing, neardup, packing, rules, runs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,18 @@ def op4_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

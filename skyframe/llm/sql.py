@@ -30,6 +30,23 @@ g AS (SELECT conv_id, COUNT(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST({len(chat.BEGIN)} + chars AS BIGINT) AS formatted_chars FROM g"""
 
 
+def _divergence(least: int = 10, top: int = 10) -> str:
+    f = "({p} - {q}) * ({p} - {q}) // ({p} + {q})"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, translate(COALESCE(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+t AS (SELECT lang, term, COUNT(*) AS c FROM w GROUP BY lang, term HAVING COUNT(DISTINCT id) >= {least}),
+c AS (SELECT lang, source, term, COUNT(*) AS c FROM w SEMI JOIN t USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, COUNT(*) AS v, SUM(c) AS n FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, SUM(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, t.term, COALESCE(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (COALESCE(c.c, 0) + 2) // (COALESCE(n.n, 0) + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (t.c + 2) // (v.n + 2 * v.v) AS q FROM g JOIN t USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, SUM({f.format(p='a.p', q='b.p')}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, {f.format(p='p', q='q')} FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) x WHERE part = 'pair' OR rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name. The others fit models, draw by hashes or call tokenizers; tests hold them against plain versions."""
-    return {"op8_near_duplicates": _near_duplicates(), "op9_chat": _chat()}
+    return {"op8_near_duplicates": _near_duplicates(), "op9_chat": _chat(), "op12_source_divergence": _divergence()}
