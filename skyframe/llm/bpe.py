@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -38,7 +39,7 @@ _shared: dict[str, ForcedBoundaries] = {}
 class ForcedBoundaries:
     """A byte-level vocabulary. limit: the most fragments that are remembered."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -72,12 +73,13 @@ class ForcedBoundaries:
         self.bytes = np.frombuffer(flat, np.uint8)
         self.length = np.array([len(t) for t in self.token], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.length)])[:-1]
-        self.limit, self.known = limit, {}
+        self.limit, self.known = limit, {}  # ids as bytes, 4 each
 
-    def fragment(self, raw: bytes) -> list[int]:
-        """The ids of a fragment: its bytes, merged by rank, the leftmost of equal ranks first."""
+    def fragment(self, raw: bytes) -> bytes:
+        """The ids of a fragment, 4 bytes each: its bytes, merged by rank, the leftmost of equal ranks first."""
         if (ids := self.known.get(raw)) is None:
-            ids = self._merge([self.single[b] for b in raw]) if len(raw) <= SHORT else self._merge_long([self.single[b] for b in raw])
+            merge = self._merge if len(raw) <= SHORT else self._merge_long
+            ids = np.array(merge([self.single[b] for b in raw]), tokens.U32).tobytes()
             if len(raw) <= SHORT:
                 if len(self.known) >= self.limit:
                     self.known = {}
@@ -173,11 +175,11 @@ class ForcedBoundaries:
         ids = [self.fragment(f) for f in distinct]
         marks = np.flatnonzero(np.concatenate(special)) if special else np.zeros(0, np.int64)
         for k in marks.tolist():  # the bytes of an added token stand for it here
-            ids.append([self.added[distinct[code[k]].decode()]])
+            ids.append(np.array([self.added[distinct[code[k]].decode()]], tokens.U32).tobytes())
             code[k] = len(ids) - 1
-        length = np.array([len(x) for x in ids], np.int64)
-        begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(ids), tokens.U32)
         out, at = [], 0
         for n in sizes:
             out.append(flat[_ranges(begin[code[at : at + n]], length[code[at : at + n]])])
@@ -206,39 +208,44 @@ def encoder(path: str | None = None) -> ForcedBoundaries:
     return _shared[key]
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids) of each row's whole text. vocabulary: a file that all executors find."""
-    common.ready(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def ids_of(text: Column, vocabulary: str | None = None) -> Column:
+    """The ids of a whole text, an array of ints. vocabulary: a file that all executors find."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(vocabulary)
-        for b in batches:
-            found = known.encode_batch(b.column("text").to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], schema=schema)
+    def run(texts: pa.Array) -> pa.Array:
+        known, parts = encoder(vocabulary), []
+        for b in common.small_batches([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            found = known.encode_batch(b.column(0).to_pylist())
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return F.arrow_udf(run, "array<int>")(F.coalesce(text, F.lit("")))
 
 
-def _lists(column: pa.Array) -> Iterator[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-    for k in range(len(column)):
-        yield flat[ends[k] : ends[k + 1]]
+_READ = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("text", pa.string())])
 
 
-def decode(encoded: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, text) of rows (doc_id, ids): the decoded text, and the digest of the ids as little-endian unsigned 32-bit integers."""
-    common.ready(encoded.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("text", pa.string())])
+def read_back(ids: Column, vocabulary: str | None = None) -> Column:
+    """A struct of the number of ids, their digest as little-endian unsigned 32-bit integers, and the text that they decode to; null counts as no ids."""
+
+    def run(column: pa.Array) -> pa.Array:
+        known, flat = encoder(vocabulary), column.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *pc.fill_null(column.value_lengths(), 0).to_pylist()])
+        lists = [flat[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
+        digests = [hashlib.sha256(x.astype(tokens.U32).tobytes()).hexdigest() for x in lists]
+        parts = [pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array([known.decode(x) for x in lists], pa.string())]
+        return pa.StructArray.from_arrays(parts, fields=list(_READ))
+
+    return F.arrow_udf(run, "struct<n_tokens: bigint, ids_sha256: string, text: string>")(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(vocabulary)
-        for b in batches:
-            ids = list(_lists(b.column("ids")))
-            digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array([known.decode(x) for x in ids], pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids) of each row's whole text."""
+    common.ready(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), ids_of(F.col(text), vocabulary).alias("ids"))
+
+
+def decode(encoded: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, text) of rows (doc_id, ids), by read_back()."""
+    common.ready(encoded.sparkSession)
+    return encoded.select("doc_id", read_back(F.col("ids"), vocabulary).alias("r")).select("doc_id", "r.*")

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +159,18 @@ def word_table(texts: pa.Array, table: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return np.searchsorted(ends, first, side="right") - 1, words
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose texts have about `most` bytes together, a row at least; a worker that waits keeps no freed memory."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()
+        part = np.cumsum(lengths, dtype=np.int64) // most
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if low < high:
+                yield b.slice(low, high - low)
+        pa.default_memory_pool().release_unused()
+
+
 def _borders(ends: np.ndarray, n: int) -> np.ndarray:
     """Whether a text ends behind each of n bytes."""
     out = np.zeros(n, bool)
@@ -165,7 +178,7 @@ def _borders(ends: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def merged_runs(tables: Iterable[pa.Table], keys: list[str], sums: list[str], most: int = 400_000) -> Iterator[pa.Table]:
+def merged_runs(tables: Iterable[pa.Table], keys: list[str], sums: list[str], most: int = 100_000) -> Iterator[pa.Table]:
     """The tables with rows of equal keys added up, as far as they meet within about `most` rows: a combiner of bounded memory."""
 
     def merge(held: list[pa.Table]) -> pa.Table:

@@ -184,8 +184,8 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     named = [F.coalesce(F.col(c), F.lit("")).cast("string").alias(n) for c, n in ((lang, "lang"), (source, "source"))]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.merged_runs(map(partial_runs, batches), ["lang", "term", "source"], ["n_docs", "n"]):
-            yield from t.cast(_PARTIAL).combine_chunks().to_batches(max_chunksize=1 << 16)
+        for t in common.merged_runs(map(partial_runs, common.small_batches(batches)), ["lang", "term", "source"], ["n_docs", "n"]):
+            yield from t.cast(_PARTIAL).combine_chunks().to_batches(max_chunksize=1 << 14)
 
     partial = docs.select(*named, common.utf8(F.col(text)).alias("text")).mapInArrow(read, _ddl(_PARTIAL))
     kept = common.materialise(kept_terms(partial, least), "kept-terms")

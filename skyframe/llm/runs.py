@@ -178,7 +178,7 @@ def find_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", le
     common.ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.small_batches(batches):
             n_words, found, collapsed = _search(b.column("text"), least, times)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(found, _RUNS), collapsed], schema=_OUT)
 
