@@ -1,19 +1,30 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Each document has some base counts and five ratios (the last: words equal to the word before). The ratios go into mergeable quantile sketches (log-spaced buckets with
-counts: sketches merge by adding, quantiles are within 1 %, and the order of rows can't change them), one per language and source.
-Only documents that pass the base rules are measured. POINTS quantiles of its language are added to a group's sketch, WEIGHT rows
-each, and as many of all documents to a language's, so that small groups go over into those around them smoothly. A document stays if no ratio lies
-beyond its group's fence, high + width * (high - median), by more than what chance does in a text of that length.
+Each document has some base counts and five ratios (the last: words equal to the word before). The ratios of the documents that pass
+the base rules go into mergeable quantile sketches, one per language and source: log-spaced buckets with the number of their documents
+and of the words or lines that those have. Sketches merge by adding, quantiles are within 1 %, and the order of rows can't change
+them. A group's sketch becomes one row, from which array functions take quantiles and the base rate: what the lower part KEEP of the
+documents has, and one unit for each of the others that has any, over all words. POINTS quantiles of the language count in a group's sketch,
+as WEIGHT documents, and as many of all documents in a language's, so that small groups go over into those around them smoothly.
+
+A document stays if each of its counts is likely enough at its group's rate: the greater one of the base rate and of the quantile fence
+high + WIDTH * (high - median). For k units where a text of that length would have r, k ln(k / r) - k + r bounds the negative logarithm of
+the chance to have so many (Chernoff's bound of a Poisson tail); it may be EVIDENCE at most. The mean word length has quantile fences.
+
+Words are [^\\x20\\x09-\\x0D]+. Null and empty texts have no words and fail the base rules; null languages and sources are groups too; a
+row is a document, so that repeated rows count as often; extra columns and their names don't matter; an empty table gives an empty
+one. Texts are counted whole, in about 100 bytes a word of the longest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,9 +32,12 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 SPAN = 8
 GAMMA = 1.02
-#: So many quantiles of the group around count in a group's sketch, as so many rows each.
-POINTS, WEIGHT = 25, 2
-LOW, HIGH, WIDTH, DEVIATIONS = 0.2, 0.8, 3.0, 2.0
+LOW, HIGH, WIDTH = 0.2, 0.8, 3.0
+KEEP, EVIDENCE = 0.95, 16.0
+#: So many quantiles of the group around, as so many documents together, count in a group's sketch.
+POINTS, WEIGHT = 100, 50
+#: The bucket of zeros.
+ZERO = -(2**31)
 #: ratio -> (what it is counted over, units that come at once by chance); symbols come in pairs, and a passage of SPAN words counts twice
 FENCES = {"symbol_ratio": ("n_words", 2), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 2 * SPAN), "echo_ratio": ("n_words", 1)}
 #: The mean word length has a lower fence too, and strays by so much / sqrt(n) over n words.
@@ -32,53 +46,55 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) | 1 for k in range(SPAN)], np.uint64)
 
 
-def repeated_words(ids: np.ndarray, span: int = SPAN) -> int:
-    """How many words lie in windows of `span` (a power of two) that occur twice or more; ids: an integer per word, from 0."""
-    n = len(ids) - span + 1
-    if n < 2:
-        return 0
+_WORDS, _LINES = common.byte_table(common.SPACES), common.byte_table(b"\n")
+
+
+def repeated_words(doc: np.ndarray, ids: np.ndarray, n_docs: int, span: int = SPAN) -> np.ndarray:
+    """For each text, how many of its words lie in windows of `span` that occur in it twice or more; ids: an integer from 0 for each word, doc: its text, ascending."""
+    n = max(0, len(ids) - span + 1)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     key = reduce(np.add, (np.right_shift(mixed[k : k + n], np.uint64(k)) * _MIX[k % SPAN] for k in range(span)))
-    order = np.sort(key)
-    if not (order[1:] == order[:-1]).any():
-        return 0  # equal windows have equal keys
-    names = ids.astype(np.int64)
-    width = 1
-    while width < span:  # exact names of windows of double the width
-        pairs = names[:-width] * (int(names.max()) + 1) + names[width:]
-        names = np.unique(pairs, return_inverse=True)[1]
-        width *= 2
-    again = np.bincount(names)[names] > 1
+    key ^= (doc[:n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    inside = np.flatnonzero(doc[:n] == doc[span - 1 : span - 1 + n])
+    inside = inside[np.argsort(key[inside], kind="stable")]
+    same = key[inside[1:]] == key[inside[:-1]]
+    at = inside[np.append(same, False) | np.append(False, same)] if len(inside) else inside  # equal windows have equal keys
     covered = np.zeros(len(ids) + 1, np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(covered, at, 1)
-    np.subtract.at(covered, at + span, 1)
-    return int((np.cumsum(covered) > 0).sum())
-
-
-def text_counts(raw: bytes) -> tuple[int, ...]:
-    """The counts of _COUNTS for a UTF-8 text."""
-    words = raw.split()
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    solid = raw.translate(None, common.SPACES)
-    chars = len(solid) if solid.isascii() else len(solid.decode())
-    lines, dup, n_lines = set(), 0, 0
-    for line in raw.split(b"\n"):
-        if line and not line.isspace():
-            n_lines += 1
-            dup += line in lines
-            lines.add(line)
-    echoes = int((ids[1:] == ids[:-1]).sum())
-    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(ids), n_lines, echoes
+    if len(at):
+        rows = np.column_stack([doc[at], *(ids[at + k] for k in range(span))])
+        order = np.lexsort(rows.T[::-1])
+        same = (rows[order[1:]] == rows[order[:-1]]).all(axis=1)
+        at = at[order[np.append(same, False) | np.append(False, same)]]
+        np.add.at(covered, at, 1)
+        np.subtract.at(covered, at + span, 1)
+    return np.bincount(doc[np.cumsum(covered[:-1]) > 0], minlength=n_docs)
+
+
+def batch_counts(texts: pa.Array) -> list[np.ndarray]:
+    """The counts of _COUNTS for a batch of UTF-8 texts (binary, without nulls)."""
+    n = len(texts)
+    doc, words = common.word_table(texts, _WORDS)
+    ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = np.bincount(doc, pc.utf8_length(words.cast(pa.large_string())).to_numpy(zero_copy_only=False), n).astype(np.int64)
+    line_doc, lines = common.word_table(texts, _LINES)
+    solid = pc.binary_length(pc.ascii_trim_whitespace(lines.cast(pa.large_string()))).to_numpy(zero_copy_only=False) > 0
+    line_doc, lines = line_doc[solid], lines.filter(pa.array(solid)).dictionary_encode()
+    key = np.sort(line_doc * max(1, len(lines.dictionary)) + lines.indices.to_numpy(zero_copy_only=False))
+    again = key[1:][key[1:] == key[:-1]] // max(1, len(lines.dictionary))
+    echo = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
+    symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts.to_pylist()], np.int64)
+    per = lambda at: np.bincount(at, minlength=n)
+    return [per(doc), chars, symbols, per(again), repeated_words(doc, ids, n), per(line_doc), per(doc[1:][echo])]
 
 
 _STRUCT = pa.struct([(c, pa.int64()) for c in _COUNTS])
 
 
 def _counts_of(texts: pa.Array) -> pa.Array:
-    out = [text_counts(b) for at in range(0, len(texts), 256) for b in texts.slice(at, 256).to_pylist()]
-    return pa.array([dict(zip(_COUNTS, x, strict=True)) for x in out], type=_STRUCT)
+    parts = []
+    for b in common.small_batches([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        parts.append(pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in batch_counts(b.column(0))], fields=list(_STRUCT)))
+    return pa.concat_arrays(parts) if parts else pa.array([], _STRUCT)
 
 
 def counts(text: Column) -> Column:
@@ -90,59 +106,82 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
+def _over(name: str) -> Column:
+    return F.greatest(F.col(FENCES[name][0] if name in FENCES else "n_words"), F.lit(1).cast("long"))
+
+
 def _ratios() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "symbol_ratio": F.col("n_symbols") / words,
-        "word_length": F.col("word_chars") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_ratio": F.col("n_repeat_words") / words,
-        "echo_ratio": F.col("n_echoes") / words,
-    }
-
-
-def sketches(rows: DataFrame, by: list[str], ratios: dict[str, Column]) -> DataFrame:
-    """(by..., ratio, bucket, n): a count for each log-spaced bucket; bucket null holds zeros."""
-    pair = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("x")) for k, v in ratios.items())))
-    flat = rows.select(*by, pair.alias("_p")).select(*by, "_p.ratio", F.when(F.col("_p.x") > 0, F.ceil(F.log(F.col("_p.x")) / float(np.log(GAMMA)))).cast("int").alias("bucket"))
-    return flat.groupBy(*by, "ratio", "bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
-def quantiles(sketch: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches: (by..., ratio, total, one column for each of `at`)."""
-    sketch = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by, "ratio")
-    run = F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()))
-    x = F.when(F.col("bucket").isNull(), 0.0).otherwise(2.0 / (GAMMA + 1) * F.pow(F.lit(GAMMA), F.col("bucket")))
-    ranked = sketch.withColumns({"_run": run, "_total": F.sum("n").over(w), "_x": x})
-    wanted = [F.min(F.when(F.col("_run") >= F.ceil(q * F.col("_total")), F.col("_x"))).alias(name) for name, q in at.items()]
-    return ranked.groupBy(*by, "ratio").agg(F.first("_total").alias("total"), *wanted)
-
-
-def points(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches of POINTS * WEIGHT rows (by..., ratio, bucket, n) with the distributions of the given ones."""
-    at = {f"_q{k}": (k + 0.5) / POINTS for k in range(POINTS)}
-    flat = quantiles(sketch, by, at).select(*by, "ratio", F.explode(F.array(*at)).alias("_x"))
-    bucket = F.when(F.col("_x") > 0, F.round(F.log(F.col("_x") * ((GAMMA + 1) / 2.0)) / float(np.log(GAMMA)))).cast("int")
-    return flat.select(*by, "ratio", bucket.alias("bucket"), F.lit(WEIGHT).cast("long").alias("n"))
-
-
-def _drawn(sketch: DataFrame, by: list[str], around: DataFrame, outer: list[str]) -> DataFrame:
-    """The sketches by `by`, each with the points of the group around it, by `outer`, added."""
-    names = {c: f"_{c}" for c in [*outer, "ratio"]}
-    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(d)) for c, d in names.items()))
-    groups = sketch.select(*by, "ratio").distinct().join(around.withColumnsRenamed(names), match)
-    return sketch.select(*by, "ratio", "bucket", "n").unionByName(groups.select(*by, "ratio", "bucket", "n"))
+    counted = {"symbol_ratio": "n_symbols", "word_length": "word_chars", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words", "echo_ratio": "n_echoes"}
+    return {name: F.col(c) / _over(name) for name, c in counted.items()}
+
+
+def sketches(rows: DataFrame, by: list[str], ratios: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(by..., ratio, bucket, n, over) for ratios (value, what it is counted over): documents of each log-spaced bucket, and the sum of what theirs are counted over."""
+    pair = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), v.cast("double").alias("x"), over.cast("long").alias("over")) for k, (v, over) in ratios.items())))
+    bucket = F.when(F.col("_p.x") > 0, F.ceil(F.log(F.col("_p.x")) / float(np.log(GAMMA)))).otherwise(ZERO).cast("int")
+    flat = rows.select(*by, pair.alias("_p")).select(*by, "_p.ratio", bucket.alias("bucket"), "_p.over")
+    return flat.groupBy(*by, "ratio", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("over").alias("over"))
+
+
+def _value(bucket: Column) -> Column:
+    return F.when(bucket == ZERO, 0.0).otherwise(2.0 / (GAMMA + 1) * F.pow(F.lit(GAMMA), bucket))
+
+
+def summary(entries: Column, unit: float) -> Column:
+    """A struct of docs, over, num (what the base rate counts), lo, mid, hi and points (buckets at POINTS even steps) of a sketch: an array of (bucket, n, over), in order of buckets."""
+    whole = F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["n"])
+    zero = F.lit(0.0)
+    names = ("over", "num", "run", "lo", "mid", "hi")
+    start = F.struct(whole.alias("docs"), *(zero.alias(c) for c in names), F.array().cast("array<int>").alias("points"))
+
+    def step(s: Column, e: Column) -> Column:
+        x, run, docs = _value(e["bucket"]), s["run"] + e["n"], s["docs"]
+        at = lambda q, name: F.when((s["run"] < q * docs) & (run >= q * docs), x).otherwise(s[name]).alias(name)
+        passed = lambda r: F.floor(r * POINTS / docs + 0.5).cast("int")
+        num = F.when(run <= F.ceil(KEEP * docs), x * e["over"]).when(x > 0, unit * e["n"]).otherwise(0.0)
+        points = F.concat(s["points"], F.array_repeat(e["bucket"], passed(run) - passed(s["run"])))
+        return F.struct(docs.alias("docs"), (s["over"] + e["over"]).alias("over"), (s["num"] + num).alias("num"), run.alias("run"), at(LOW, "lo"), at(0.5, "mid"), at(HIGH, "hi"), points.alias("points"))
+
+    return F.aggregate(entries, start, step)
+
+
+def _of_ratio(name: str) -> Callable[[Column], Column]:
+    return lambda e: e["ratio"] == name
+
+
+def _level(leaf: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group: its sketch of each ratio, e_<ratio>, an array of (bucket, n, over)."""
+    merged = leaf.groupBy(*by, "ratio", "bucket").agg(F.sum("n").cast("double").alias("n"), F.sum("over").cast("double").alias("over"))
+    rows = merged.groupBy(*by).agg(F.collect_list(F.struct("ratio", "bucket", "n", "over")).alias("_e"))
+    plain = lambda e: F.struct(e["bucket"].alias("bucket"), e["n"].alias("n"), e["over"].alias("over"))
+    return rows.select(*by, *(F.sort_array(F.transform(F.filter("_e", _of_ratio(k)), plain)).alias(f"e_{k}") for k in _ratios()))
+
+
+def _drawn(own: str, outer: str) -> Column:
+    """The sketch `own` with WEIGHT documents that have the distribution and the average length of the summary `outer`."""
+    s, share = F.col(outer), WEIGHT / POINTS
+    entry = lambda b: F.struct(b.alias("bucket"), F.lit(share).alias("n"), (s["over"] / s["docs"] * share).alias("over"))
+    return F.sort_array(F.concat(own, F.transform(s["points"], entry)))
 
 
 def fences(rows: DataFrame, by: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """Per group, a struct lo/mid/hi of quantiles for each ratio, drawn towards those of the groups around it."""
-    at, outer = {"lo": LOW, "mid": 0.5, "hi": HIGH}, [by[0]]
-    leaf = common.materialise(sketches(rows, list(by), _ratios()), "sketches")
-    middle = _drawn(leaf, outer, points(leaf, []), [])
-    found = quantiles(_drawn(leaf, list(by), points(middle, outer), outer), list(by), at)
-    each = [F.max(F.when(F.col("ratio") == k, F.struct(*at))).alias(f"q_{k}") for k in _ratios()]
-    return found.groupBy(*by).agg(*each)
+    """Per group, a struct lo, mid, hi, rate for each ratio, q_<ratio>, of its sketch with those around it; rows: documents that pass the base rules.
+
+    A rate is one unit in all that was measured at least, so that none is 0.
+    """
+    units = {k: float(FENCES.get(k, (0, 1))[1]) for k in _ratios()}
+    leaf = common.materialise(sketches(rows, list(by), {k: (v, _over(k)) for k, v in _ratios().items()}), "sketches")
+    told = lambda df, keep: df.select(*keep, *(summary(F.col(f"e_{k}"), u).alias(f"s_{k}") for k, u in units.items()))
+    mixed = lambda df, keep: df.select(*keep, *(_drawn(f"e_{k}", f"t_{k}").alias(f"e_{k}") for k in units))
+    least = [f"least_{k}" for k in units]
+    top = told(_level(leaf.withColumn("_one", F.lit(1)), ["_one"]), ["_one"]).withColumnsRenamed({f"s_{k}": f"t_{k}" for k in units})
+    top = top.select("*", *((u / F.col(f"t_{k}")["over"]).alias(f"least_{k}") for k, u in units.items()))
+    middle = _level(leaf, [by[0]]).withColumn("_one", F.lit(1)).join(top, "_one")
+    middle = told(mixed(middle, [by[0], *least]), [F.col(by[0]).alias("_outer"), *least]).withColumnsRenamed({f"s_{k}": f"t_{k}" for k in units})
+    found = _level(leaf, list(by)).join(middle, F.col(by[0]).eqNullSafe(F.col("_outer")))
+    found = told(mixed(found, [*by, *least]), [*by, *least])
+    last = lambda k: F.struct(*(F.col(f"s_{k}")[c].alias(c) for c in ("lo", "mid", "hi")), F.greatest(F.col(f"s_{k}")["num"] / F.col(f"s_{k}")["over"], f"least_{k}").alias("rate")).alias(f"q_{k}")
+    return found.select(*by, *map(last, units))
 
 
 def within(prefix: str = "q_") -> Column:
@@ -151,10 +190,10 @@ def within(prefix: str = "q_") -> Column:
     q, x = F.col(prefix + "word_length"), ratios["word_length"]
     slack = LENGTH_SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     ok = (x <= q["hi"] + WIDTH * (q["hi"] - q["mid"]) + slack) & (x >= q["lo"] - WIDTH * (q["mid"] - q["lo"]) - slack)
-    for name, (over, unit) in FENCES.items():
-        q, one = F.col(prefix + name), F.lit(float(unit)) / F.greatest(F.col(over), F.lit(1))
-        most = q["hi"] + WIDTH * (q["hi"] - q["mid"]) + one
-        ok &= ratios[name] <= most + DEVIATIONS * F.sqrt(one * most)
+    for name, (_, unit) in FENCES.items():
+        q, units = F.col(prefix + name), _over(name) / F.lit(float(unit))
+        k, r = ratios[name] * units, F.greatest(q["rate"], q["hi"] + WIDTH * (q["hi"] - q["mid"])) * units
+        ok &= (k <= r) | (k * F.log(k / r) - k + r <= EVIDENCE)
     return ok
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import os
 import random
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,16 +157,101 @@ def test_mixing(odd, none):
 # quality rules
 
 
-@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e", "\n", "a b c d e f g h", "é#"]), max_size=80))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", "e", "\n", "\x0b\n", "a b c d e f g h", "é#\x1c", "a b c d e f g h\na b"]), max_size=60), min_size=1, max_size=4))
 @settings(max_examples=80, deadline=None)
-def test_text_counts(parts):
-    text = " ".join(parts)
+def test_text_counts(batch):
+    texts = [" ".join(parts) for parts in batch]
+    got = [tuple(int(c[k]) for c in rules.batch_counts(pa.array([t.encode() for t in texts], pa.binary()))) for k in range(len(texts))]
+    assert got == [plain_counts(t) for t in texts]
+
+
+def plain_counts(text):
     w = brute.words(text)
     lines, seen, dup = [x for x in text.split("\n") if brute.words(x)], set(), 0
     for line in lines:
         dup += line in seen
         seen.add(line)
-    assert rules.text_counts(text.encode())[:6] == (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, brute.repeated_words(w), len(lines))
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, brute.repeated_words(w), len(lines), sum(x == y for x, y in zip(w, w[1:], strict=False))
+
+
+def plain_kept(rows):
+    """rows: (lang, source, counts of _COUNTS); the verdict on each, by a plain version of the fences."""
+    base = [c[0] < 20 or 100 * c[4] > 30 * c[0] for _, _, c in rows]
+    kinds = {"symbol": (2, 0, 2), "length": (1, 0, 1), "dup": (3, 5, 1), "repeat": (4, 0, 16), "echo": (6, 0, 1)}
+
+    def sketch(members, kind):
+        at, over, _ = kinds[kind]
+        seen = collections.defaultdict(lambda: [0, 0])
+        for c in members:
+            x, n = c[at] / max(1, c[over]), max(1, c[over])
+            b = math.ceil(math.log(x) / math.log(1.02)) if x > 0 else -math.inf
+            seen[b][0] += 1
+            seen[b][1] += n
+        return sorted((b, n, o) for b, (n, o) in seen.items())
+
+    def told(entries, kind):
+        docs, over, run, num, q, points = sum(n for _, n, _ in entries), sum(o for *_, o in entries), 0.0, 0.0, {}, []
+        for b, n, o in entries:
+            x = 2 / 2.02 * 1.02**b if b > -math.inf else 0.0
+            points += [b] * (math.floor((run + n) * 100 / docs + 0.5) - math.floor(run * 100 / docs + 0.5))
+            run += n
+            num += x * o if run <= math.ceil(0.95 * docs) else kinds[kind][2] * n if x else 0
+            for name, p in (("lo", 0.2), ("mid", 0.5), ("hi", 0.8)):
+                if run >= p * docs:
+                    q.setdefault(name, x)
+        return q | {"rate": num / over, "length": over / docs, "points": points, "over": over}
+
+    def drawn(entries, outer):
+        return sorted([*entries, *((b, 0.5, 0.5 * outer["length"]) for b in outer["points"])])
+
+    good = [r for r, b in zip(rows, base, strict=True) if not b]
+    fence = {}
+    for kind, (_, _, unit) in kinds.items() if good else ():
+        top = told(sketch([c for *_, c in good], kind), kind)
+        for lang in {r[0] for r in good}:
+            middle = told(drawn(sketch([c for x, _, c in good if x == lang], kind), top), kind)
+            for source in {s for x, s, _ in good if x == lang}:
+                q = told(drawn(sketch([c for x, s, c in good if (x, s) == (lang, source)], kind), middle), kind)
+                fence[lang, source, kind] = q | {"rate": max(q["rate"], unit / top["over"])}
+    out = []
+    for (lang, source, c), failed in zip(rows, base, strict=True):
+        ok = not failed
+        for kind, (at, over, unit) in kinds.items() if ok else ():
+            q, x = fence[lang, source, kind], c[at] / max(1, c[over])
+            high = q["hi"] + 3 * (q["hi"] - q["mid"])
+            if kind == "length":
+                ok &= q["lo"] - 3 * (q["mid"] - q["lo"]) - 4 / c[0] ** 0.5 <= x <= high + 4 / c[0] ** 0.5
+            else:
+                k, r = x * max(1, c[over]) / unit, max(q["rate"], high) * max(1, c[over]) / unit
+                ok &= k <= r or k * math.log(k / r) - k + r <= 16
+        out.append((failed, ok))
+    return out
+
+
+def test_verdicts_are_those_of_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op3_quality_rules(spark, small).collect()}
+    counts = [plain_counts(d.text or "") for d in docs]
+    for d, c, verdict in zip(docs, counts, plain_kept([(d.lang, d.source, c) for d, c in zip(docs, counts, strict=True)]), strict=True):
+        r = got[d.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == c[:5]
+        assert (r.base_failed, r.kept) == verdict
+    assert len(got) == len(docs) and 0 < sum(not r.kept for r in got.values()) < len(docs)
+
+
+def test_all_fences_move_between_sparse_groups(spark):
+    """Two groups in which most documents have none of what is counted, one five times as often as the other."""
+    names = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_echoes long"
+    rows = []
+    for source, every, length in (("few", 60, 4), ("some", 12, 6)):
+        for k in range(900):
+            one = int(k % every == 0)
+            rows.append(("en", source, 400, 400 * length + k % 40, 2 * one, one, 16 * one, 30, one))
+    got = {r.source: r for r in rules.fences(spark.createDataFrame(rows, names)).collect()}
+    for ratio in rules.FENCES:
+        few, some = (got[s][f"q_{ratio}"] for s in ("few", "some"))
+        assert few.hi == some.hi == 0 and 0 < 3 * few.rate < some.rate
+    assert got["few"].q_word_length.hi < got["some"].q_word_length.lo
 
 
 def test_quality_rules(odd, none):
@@ -185,8 +272,10 @@ def test_quality_rules(odd, none):
 
 def test_sketch_quantiles(spark):
     rows = spark.range(1, 1001).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
-    q = rules.quantiles(rules.sketches(rows, ["g"], {"x": F.col("x")}), [], {"mid": 0.5, "top": 1.0}).first()
-    assert q.total == 1000 and q.mid == pytest.approx(500, rel=0.011) and q.top == pytest.approx(1000, rel=0.011)
+    merged = rules.sketches(rows, ["g"], {"x": (F.col("x"), F.lit(2))}).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("over").alias("over"))
+    q = merged.agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "over"))).alias("e")).select(rules.summary(F.col("e"), 1.0).alias("s")).first().s
+    assert (q.docs, q.over) == (1000, 2000) and q.lo == pytest.approx(200, rel=0.011) and q.mid == pytest.approx(500, rel=0.011) and q.hi == pytest.approx(800, rel=0.011)
+    assert q.num == pytest.approx(2 * 950 * 951 / 2 + 50, rel=0.011)
 
 
 def test_rules_find_junk(spark, small):
