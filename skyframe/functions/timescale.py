@@ -32,18 +32,35 @@ def dl_add(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column,
     return two_sum(s, e + f)
 
 
-def iso_to_jd(text: Column) -> tuple[Column, Column]:
-    """An ISO date and time with up to microseconds as (midnight's Julian date, fraction of the day), normalised."""
-    ts = F.to_timestamp(text)
-    micros = F.unix_micros(ts)
-    day = F.floor(micros / 86_400_000_000)
-    return two_sum(day.cast("double") + F.lit(2440587.5), (micros - day * 86_400_000_000).cast("double") / F.lit(86400e6))
+def pair(jd: tuple[Column, Column]) -> Column:
+    """A normalised pair as a struct (high, low), which orders as dates do: for lead(), least() and greatest()."""
+    return F.struct(jd[0].alias("high"), jd[1].alias("low"))
+
 
+def parts(struct: Column) -> tuple[Column, Column]:
+    return struct["high"], struct["low"]
 
-def jd_to_iso(jd: tuple[Column, Column]) -> Column:
-    """The ISO time to the millisecond of a UTC pair."""
-    millis = F.round((jd[0] - F.lit(2440587.5)) * 86400e3 + jd[1] * 86400e3).cast("long")
-    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+def iso_to_jd(text: Column) -> tuple[Column, Column]:
+    """An ISO date and time of UTC, with up to nine digits of a second and with or without Z, as a normalised pair; null for null. Whatever the session's time zone is."""
+    day = F.unix_date(F.to_date(F.substr(text, F.lit(1), F.lit(10))))
+    clock = F.split(F.rtrim(F.substr(text, F.lit(12)), F.lit("Z")), "[:.]")
+    number = lambda k: F.coalesce(F.nullif(F.get(clock, F.lit(k)), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    fraction = F.rpad(F.coalesce(F.get(clock, F.lit(3)), F.lit("0")), 9, "0").cast("long")
+    nanos = ((number(0) * 60 + number(1)) * 60 + number(2)) * F.lit(10**9) + fraction
+    return two_sum(day.cast("double") + F.lit(2440587.5), nanos.cast("double") / F.lit(86400e9))
+
+
+def jd_to_iso(jd: tuple[Column, Column], digits: int = 3) -> Column:
+    """The ISO time of a UTC pair, to `digits` (0 to 9) digits of a second, whatever the session's time zone is."""
+    unit, per_day = 10**digits, 86400 * 10**digits
+    whole = F.floor(jd[0] - F.lit(2440587.5))
+    ticks = F.round(((jd[0] - F.lit(2440587.5) - whole) + jd[1]) * F.lit(float(per_day))).cast("long")
+    day, rest = whole + F.floor(ticks / F.lit(per_day)), F.pmod(ticks, F.lit(per_day))
+    part = lambda seconds, size: F.lpad(F.pmod(F.floor(rest / F.lit(unit * seconds)), F.lit(size)).cast("string"), 2, "0")
+    clock = F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+    fraction = F.concat(F.lit("."), F.lpad(F.pmod(rest, F.lit(unit)).cast("string"), digits, "0")) if digits else F.lit("")
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string"), F.lit("T"), clock, fraction)
 
 
 def _offset(day: Column, days: list[tuple[float, int]]) -> Column:
@@ -56,6 +73,19 @@ def utc_to_tai(jd: tuple[Column, Column]) -> tuple[Column, Column]:
     return dl_add(jd, (_offset(jd[0] + jd[1], LEAP_SECONDS) / F.lit(86400.0), F.lit(0.0)))
 
 
+def with_tai(df: DataFrame, high: str, low: str, to_high: str, to_low: str) -> DataFrame:
+    """Adds the TAI pair of the UTC pair in two columns; its offset is a column of its own, so that it is looked up once."""
+    df = df.withColumn("_offset", _offset(F.col(high) + F.col(low), LEAP_SECONDS) / F.lit(86400.0))
+    return with_pair(df, dl_add((F.col(high), F.col(low)), (F.col("_offset"), F.lit(0.0))), to_high, to_low).drop("_offset")
+
+
+def tai_of(jd: float) -> tuple[float, float]:
+    """The TAI pair of one UTC date from 1972 on."""
+    if not jd >= LEAP_SECONDS[0][0]:
+        raise ValueError(f"{jd} is before 1972")
+    return dl_add((jd, 0.0), (max(s for day, s in LEAP_SECONDS if day <= jd) / 86400.0, 0.0))
+
+
 def tai_to_utc(jd: tuple[Column, Column]) -> tuple[Column, Column]:
     """The inverse of utc_to_tai(); within a leap second, the second after it."""
     days = [(first + seconds / 86400.0, seconds) for first, seconds in LEAP_SECONDS]

@@ -213,48 +213,51 @@ def _overlap(a: str, b: str) -> Column:
     return reduce(lambda p, q: p & q, tests)
 
 
-def collisions(coded: DataFrame, objects: DataFrame, most_cells: int = 64) -> DataFrame:
+#: Boxes of a smaller extent than this power of two are listed like boxes of it.
+LEAST_LEVEL = -64
+
+
+def collisions(coded: DataFrame, objects: DataFrame) -> DataFrame:
     """(cd_idx, i, j), i < j: pairs whose box i overlaps the leaf of j, unless both are secondary or one is masked.
 
-    A grid over x, y and z of each step, with about a box a cell and edges of 1.5 average boxes at least, gives equality keys:
-    boxes are listed in each cell that they touch, and a hit counts in the cell of the larger lower corner only. Boxes in more than
-    `most_cells` cells go to a short list that meets all boxes of their step directly.
+    Cells come from a hierarchy of cubic grids over x, y and z, an octree whose depth follows the boxes: a level's cells have an edge of
+    2^level, and a box is at home on the level that is just as large as its longest edge, so that it touches two cells an axis at most.
+    It also visits the levels of larger boxes that its step has. Two boxes meet on the level of the larger one, where one of them is
+    at home, by equality of cells, and count in the cell of the larger lower corner only. So cells are as small as boxes wherever
+    these are, however unevenly they lie and however far the others reach.
     """
     boxed = coded.select("cd_idx", "obj_idx", "mcode", *(F.col(f"{s}{a}").alias(f"o{s}{a}") for s in "lu" for a in AXES))
     boxed = boxed.join(objects.select("obj_idx", "otype"), "obj_idx").filter(F.col("otype") < schema.MASKED)
-    leaf = leaves(coded).select("cd_idx", "mcode", *(F.col(f"{s}{a}").alias(f"t{s}{a}") for s in "lu" for a in AXES))
-    side = F.ceil(F.pow(F.count(F.lit(1)), F.lit(1 / 3)))
-    edge = {a: F.greatest((F.max(f"u{a}") - F.min(f"l{a}")) / side, 1.5 * F.avg(F.col(f"u{a}") - F.col(f"l{a}"))).cast("double") for a in GRID}
-    frame = coded.groupBy("cd_idx").agg(*(F.min(f"l{a}").alias(f"_l{a}") for a in GRID), *(edge[a].alias(f"_w{a}") for a in GRID))
-
-    def cell(v: str, a: str) -> Column:
-        return F.floor((F.col(v).cast("double") - F.col(f"_l{a}")) / F.col(f"_w{a}"))
-
-    def listed(rows: DataFrame, p: str) -> DataFrame:
-        rows = rows.join(frame, "cd_idx")
-        rows = rows.withColumns({f"{p}{e}{a}": cell(f"{p}{s}{a}", a) for s, e in (("l", "first_"), ("u", "last_")) for a in GRID})
-        touched = reduce(lambda m, n: m * n, (F.col(f"{p}last_{a}") - F.col(f"{p}first_{a}") + 1 for a in GRID))
-        return rows.withColumn(f"{p}wide", touched > most_cells)
-
-    def spread(rows: DataFrame, p: str) -> DataFrame:
-        for a in GRID:
-            rows = rows.withColumn(f"c{a}", F.explode(F.sequence(f"{p}first_{a}", f"{p}last_{a}")))
-        return rows
-
-    drop = [f"_{s}{a}" for s in "lw" for a in GRID]
-    o, t = listed(boxed, "o").drop(*drop), listed(leaf, "t").drop(*drop).withColumnRenamed("mcode", "leaf")
-    o_in, t_in = spread(o.filter("NOT owide"), "o"), spread(t.filter("NOT twide"), "t")
+    leaf = leaves(coded).select("cd_idx", F.col("mcode").alias("leaf"), *(F.col(f"{s}{a}").alias(f"t{s}{a}") for s in "lu" for a in AXES))
+    o, t = _at_home(boxed, "o"), _at_home(leaf, "t")
+    levels = o.select("cd_idx", F.col("ohome").alias("level")).unionByName(t.select("cd_idx", F.col("thome").alias("level")))
+    levels = levels.groupBy("cd_idx").agg(F.collect_set("level").alias("levels"))
     once = reduce(lambda p, q: p & q, (F.col(f"c{a}") == F.greatest(f"ofirst_{a}", f"tfirst_{a}") for a in GRID))
-    keep = ["cd_idx", "obj_idx", "otype", "leaf"]
-    hits = o_in.join(t_in, ["cd_idx", *(f"c{a}" for a in GRID)]).filter(once & _overlap("o", "t")).select(*keep)
-    wide_o = o.filter("owide").join(t, "cd_idx").filter(_overlap("o", "t")).select(*keep)
-    wide_t = o.filter("NOT owide").join(t.filter("twide"), "cd_idx").filter(_overlap("o", "t")).select(*keep)
-    hits = hits.unionByName(wide_o).unionByName(wide_t)
+    met = _cells(o, levels, "o").join(_cells(t, levels, "t"), ["cd_idx", "level", *(f"c{a}" for a in GRID)])
+    hits = met.filter((F.greatest("ohome", "thome") == F.col("level")) & once & _overlap("o", "t")).select("cd_idx", "obj_idx", "otype", "leaf")
     members = boxed.select("cd_idx", F.col("mcode").alias("leaf"), F.col("obj_idx").alias("j"), F.col("otype").alias("otype_j"))
     pairs = hits.join(members, ["cd_idx", "leaf"]).filter((F.col("obj_idx") < F.col("j")) & (F.col("otype") + F.col("otype_j") <= 3))
     return pairs.select("cd_idx", F.col("obj_idx").alias("i"), "j")
 
 
+def _at_home(rows: DataFrame, p: str) -> DataFrame:
+    """Adds the level of a box: the power of two that its longest edge doesn't go beyond."""
+    longest = F.greatest(*(F.col(f"{p}u{a}").cast("double") - F.col(f"{p}l{a}") for a in GRID))
+    level = F.when(longest > 0, F.ceil(F.log2(longest))).otherwise(LEAST_LEVEL)
+    return rows.withColumn(f"{p}home", F.greatest(level, F.lit(LEAST_LEVEL)).cast("int"))
+
+
+def _cells(rows: DataFrame, levels: DataFrame, p: str) -> DataFrame:
+    """Each box once for every cell that it touches on its own level and on the larger ones of its step, with the first cell of each axis."""
+    above = F.filter("levels", lambda x: x >= F.col(f"{p}home"))
+    rows = rows.join(levels, "cd_idx").withColumn("level", F.explode(above)).drop("levels")
+    cell = lambda side, a: F.floor(F.col(f"{p}{side}{a}").cast("double") * F.pow(F.lit(2.0), -F.col("level")))
+    rows = rows.withColumns({f"{p}first_{a}": cell("l", a) for a in GRID} | {f"{p}last_{a}": cell("u", a) for a in GRID})
+    for a in GRID:
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(f"{p}first_{a}", f"{p}last_{a}")))
+    return rows.drop(*(f"{p}last_{a}" for a in GRID))
+
+
 def collisions_naive(coded: DataFrame, objects: DataFrame) -> DataFrame:
     """The same by testing all pairs of a step, to check collisions() on small inputs."""
     boxed = coded.select("cd_idx", F.col("obj_idx").alias("i"), *(F.col(f"{s}{a}").alias(f"o{s}{a}") for s in "lu" for a in AXES))
@@ -271,17 +274,51 @@ _CONJ = pa.schema([("cd_idx", pa.int64()), ("i", pa.int64()), ("j", pa.int64()),
 _REPORT = pa.schema([("cd_idx", pa.int64())] + [(c, pa.int64()) for c in _COUNTERS])
 
 
-def windows(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float) -> DataFrame:
-    """Candidate pairs with the segments of both that overlap in a step: (cd_idx, i, j, begin, end, and for either side its segment's begin, its trajectory's ends, its coefficients)."""
+_LISTED = ("b", "e", "t_begin", *schema.COORDS[:6])
+
+
+def listed_segments(segments: DataFrame, max_t: float, interval: float) -> DataFrame:
+    """(cd_idx, obj_idx, born, dead, parts): for each object in each detection step its trajectory's ends and the segments that overlap the step, in order of time."""
     ends = segments.groupBy("obj_idx").agg(F.min("t_begin").alias("born"), F.max("t_end").alias("dead"))
-    rows = in_steps(segments, max_t, interval).join(ends, "obj_idx")
-    rows = rows.select("cd_idx", "obj_idx", F.greatest("cd_begin", "t_begin").alias("b"), F.least("cd_end", "t_end").alias("e"), "t_begin", "born", "dead", *schema.COORDS[:6])
+    rows = in_steps(segments, max_t, interval).select("cd_idx", "obj_idx", F.struct(F.greatest("cd_begin", "t_begin").alias("b"), F.least("cd_end", "t_end").alias("e"), "t_begin", *schema.COORDS[:6]).alias("part"))
+    rows = rows.groupBy("cd_idx", "obj_idx").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return rows.join(ends, "obj_idx").select("cd_idx", "obj_idx", "born", "dead", "parts")
+
+
+def paired_segments(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float) -> DataFrame:
+    """Candidate pairs with both sides' lists of segments in their step; swept() makes windows of them."""
+    rows = listed_segments(segments, max_t, interval)
+    for s in "ij":
+        pairs = pairs.join(rows.select("cd_idx", F.col("obj_idx").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("born", "dead", "parts"))), ["cd_idx", s])
+    return pairs
+
 
-    def side(s: str, key: str) -> DataFrame:
-        return rows.withColumnsRenamed({c: f"{s}_{c}" for c in rows.columns if c not in ("cd_idx", "obj_idx")} | {"obj_idx": key})
+def swept(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The windows of a batch of paired_segments(): where both sides have a segment, and which (cd_idx, i, j, begin, end, and for either side its segment's begin, its trajectory's ends, its coefficients).
 
-    joined = pairs.join(side("i", "i"), ["cd_idx", "i"]).join(side("j", "j"), ["cd_idx", "j"]).filter("i_e > j_b AND i_b < j_e")
-    return joined.withColumns({"begin": F.greatest("i_b", "j_b"), "end": F.least("i_e", "j_e")}).drop("i_b", "i_e", "j_b", "j_e")
+    The begins of both sides' segments are merged in order of time; each opens a window with the last segment of either side that began, if
+    that one isn't over. Windows are as many as segments at most.
+    """
+    flat = {s: b.column(f"{s}_parts").flatten() for s in "ij"}
+    row = {s: np.repeat(np.arange(b.num_rows), b.column(f"{s}_parts").value_lengths().to_numpy(zero_copy_only=False)) for s in "ij"}
+    get = lambda s, c: flat[s].field(c).to_numpy(zero_copy_only=False)
+    n = {s: len(row[s]) for s in "ij"}
+    rows = np.concatenate([row["i"], row["j"]])
+    order = np.lexsort((np.concatenate([get("i", "b"), get("j", "b")]), rows))
+    side = np.repeat([0, 1], [n["i"], n["j"]])[order]
+    rows = rows[order]
+    at = np.concatenate([np.arange(n["i"]), np.arange(n["j"])])[order]
+    last = [np.maximum.accumulate(np.where(side == k, at, -1)) if len(at) else at for k in (0, 1)]
+    ok = np.all([(x >= 0) & (row[s][x] == rows) if n[s] else np.zeros(len(x), bool) for s, x in zip("ij", last, strict=True)], axis=0)
+    i, j, rows = last[0][ok], last[1][ok], rows[ok]
+    begin, end = np.maximum(get("i", "b")[i], get("j", "b")[j]), np.minimum(get("i", "e")[i], get("j", "e")[j])
+    ok = begin < end
+    i, j, rows = i[ok], j[ok], pa.array(rows[ok])
+    found = {c: b.column(c).take(rows) for c in ("cd_idx", "i", "j")} | {"begin": pa.array(begin[ok]), "end": pa.array(end[ok])}
+    for s, k in (("i", pa.array(i)), ("j", pa.array(j))):
+        found |= {f"{s}_{c}": b.column(f"{s}_{c}").take(rows) for c in ("born", "dead")}
+        found |= {f"{s}_{c}": flat[s].field(c).take(k) for c in _LISTED[2:]}
+    return pa.RecordBatch.from_pydict(found)
 
 
 def _approaches(b: pa.RecordBatch, threshold: float) -> tuple[dict, dict[str, int]]:
@@ -314,19 +351,23 @@ def _approaches(b: pa.RecordBatch, threshold: float) -> tuple[dict, dict[str, in
     return ids | {"tca": begin[row] + t, "dca": np.sqrt((gap**2).sum(axis=1)), "ri": found["i"][:, :3], "vi": found["i"][:, 3:], "rj": found["j"][:, :3], "vj": found["j"][:, 3:]}, n
 
 
+def _same(found: DataFrame, interval: float) -> DataFrame:
+    """One row of each minimum: at the seam of two windows it is found in both."""
+    earlier = F.lag("tca").over(Window.partitionBy("i", "j").orderBy("tca", "cd_idx"))
+    return found.withColumn("_earlier", earlier).filter(F.col("_earlier").isNull() | (F.col("tca") - F.col("_earlier") > 10 * poly.SEAM * interval)).drop("_earlier")
+
+
 def narrow_phase(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
     """The conjunctions of the candidate pairs: minima of the squared distance below the threshold, within windows or at the ends of trajectories."""
     runtime.ready(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, _ = _approaches(b, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(found[f.name].tolist(), type=f.type) for f in _CONJ], schema=_CONJ)
+        for b in map(swept, batches):
+            if b.num_rows:
+                found, _ = _approaches(b, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(found[f.name].tolist(), type=f.type) for f in _CONJ], schema=_CONJ)
 
-    found = windows(pairs, segments, max_t, interval).mapInArrow(run, schema.CONJUNCTIONS)
-    earlier = F.lag("tca").over(Window.partitionBy("i", "j").orderBy("tca", "cd_idx"))
-    # a minimum at the seam of two windows is found in both
-    return found.withColumn("_earlier", earlier).filter(F.col("_earlier").isNull() | (F.col("tca") - F.col("_earlier") > 10 * poly.SEAM * interval)).drop("_earlier")
+    return _same(paired_segments(pairs, segments, max_t, interval).mapInArrow(run, schema.CONJUNCTIONS), interval)
 
 
 def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
@@ -334,12 +375,12 @@ def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval:
     runtime.ready(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in map(swept, batches):
             for k in np.unique(b.column("cd_idx").to_numpy()).tolist():
                 _, n = _approaches(b.filter(pa.compute.equal(b.column("cd_idx"), k)), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([n[c]]) for c in _COUNTERS)], schema=_REPORT)
 
-    rows = windows(pairs, segments, max_t, interval).mapInArrow(run, "cd_idx long, " + ", ".join(f"{c} long" for c in _COUNTERS))
+    rows = paired_segments(pairs, segments, max_t, interval).mapInArrow(run, "cd_idx long, " + ", ".join(f"{c} long" for c in _COUNTERS))
     return rows.groupBy("cd_idx").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
 
 

@@ -6,28 +6,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import runtime, schema
 from ..functions import poly
 
 
+#: A time range holds so many of the longest segments.
+RANGE = 64
+
+
+def range_width(segments: DataFrame) -> DataFrame:
+    """One row: the width of a time range."""
+    return segments.agg(F.coalesce(RANGE * F.max(F.col("t_end") - F.col("t_begin")), F.lit(1.0)).alias("_width"))
+
+
+def _place(t: str) -> Column:
+    return F.floor(F.col(t) / F.col("_width"))
+
+
+def _points(wanted: DataFrame, width: DataFrame) -> DataFrame:
+    """(_key, _range, _t, _p): each row of wanted as a struct, with its object and time range. A time that isn't finite is an error."""
+    bad = F.isnull("t") | F.isnan("t") | (F.abs(F.col("t")) == float("inf"))
+    t = F.when(bad, F.raise_error(F.lit("evaluation times have to be finite"))).otherwise(F.col("t")).cast("double")
+    rows = wanted.select(F.col("obj_idx").alias("_key"), t.alias("_t"), F.struct(*wanted.columns).alias("_p"))
+    return rows.join(F.broadcast(width)).withColumn("_range", _place("_t")).drop("_width")  # one row on the right
+
+
+def _begun(segments: DataFrame, width: DataFrame) -> DataFrame:
+    """(_key, _range, _t, _since, _until, _s): each segment as a struct, once for every time range that it touches; _t: where it begins in the range; _since, _until: its ends."""
+    rows = segments.select(F.col("obj_idx").alias("_key"), "t_begin", "t_end", *schema.COORDS).join(F.broadcast(width))
+    rows = rows.withColumn("_range", F.explode(F.sequence(_place("t_begin"), _place("t_end"))))
+    t = F.greatest("t_begin", F.col("_range") * F.col("_width"))
+    return rows.select("_key", "_range", t.alias("_t"), F.col("t_begin").alias("_since"), F.col("t_end").alias("_until"), F.struct("t_begin", "t_end", *schema.COORDS).alias("_s"))
+
+
+def _states(met: DataFrame, order: int) -> DataFrame:
+    """The columns of _p and the seven variables that _s has at _t, NaN without one."""
+    h = F.col("_t") - F.col("_s.t_begin")
+    values = [F.coalesce(poly.horner(F.col(f"_s.{c}"), h, order), F.lit(float("nan"))).alias(c) for c in schema.COORDS]
+    return met.select("_p.*", *values)
+
+
 def state_eval(segments: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
-    """Adds the seven variables to each row of wanted (obj_idx, t, ...): a temporal join of times with half-open segments.
+    """Adds the seven variables to each row of wanted (obj_idx, t, ...): a merge of times with half-open segments.
 
     Every row of wanted comes back once: NaN where the object has no segment with t_begin <= t < t_end. A time that isn't finite is
-    an error. Segments join by object; objects have few segments beside the points asked for, so the time test runs on joined rows.
+    an error. Points and segments meet by object and time range, and each point takes the last segment that began: rows are read once
+    each, whatever the number of segments and points of an object. A segment is listed in every range that it touches, so that ranges
+    need nothing of each other. Segments of an object don't overlap; if they do, the one that began last counts.
     """
-    bad = F.isnull("t") | F.isnan("t") | (F.abs(F.col("t")) == float("inf"))
-    t = F.when(bad, F.raise_error(F.lit("evaluation times have to be finite"))).otherwise(F.col("t"))
-    keyed = wanted.withColumn("t", t.cast("double"))
-    mine = segments.select(F.col("obj_idx").alias("_obj"), F.col("t_begin").alias("_begin"), F.col("t_end").alias("_end"), *(F.col(c).alias(f"_{c}") for c in schema.COORDS))
-    hit = (F.col("obj_idx") == F.col("_obj")) & (F.col("t") >= F.col("_begin")) & (F.col("t") < F.col("_end"))
-    joined = keyed.join(mine, hit, "left")
-    h = F.col("t") - F.col("_begin")
-    values = [F.coalesce(poly.horner(F.col(f"_{c}"), h, order), F.lit(float("nan"))).alias(c) for c in schema.COORDS]
-    return joined.select(*wanted.columns, *values)
+    width = range_width(segments)
+    both = _begun(segments, width).drop("_until").unionByName(_points(wanted, width), allowMissingColumns=True)
+    earlier = Window.partitionBy("_key", "_range").orderBy("_t", F.col("_p").isNotNull(), "_since").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_last", F.last("_s", True).over(earlier)).filter("_p IS NOT NULL")
+    return _states(met.select("_t", "_p", F.when(F.col("_t") < F.col("_last.t_end"), F.col("_last")).alias("_s")), order)
+
+
+def state_join(segments: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
+    """state_eval() as an equality join on object and time range, for streams of points, which can't be sorted: each point meets about RANGE segments."""
+    width = range_width(segments)
+    begun = _begun(segments, width).select(F.col("_key").alias("_obj"), F.col("_range").alias("_at"), "_since", "_until", "_s")
+    hit = (F.col("_key") == F.col("_obj")) & (F.col("_range") == F.col("_at")) & (F.col("_t") >= F.col("_since")) & (F.col("_t") < F.col("_until"))
+    return _states(_points(wanted, width).join(begun, hit, "left"), order)
 
 
 def at_time(objects: DataFrame, t: float) -> DataFrame:

@@ -14,6 +14,8 @@ from .. import schema
 ORDER, MAX_T, INTERVAL, THRESHOLD, SHIFT = 3, 2.75, 0.375, 1.1, 0.013671875
 START = {"x": "((k*37)%1009-504)/32.0", "y": "((k*53)%1013-506)/32.0", "z": "((k*71)%1019-509)/32.0", "r": "20+((k*7)%11)/64.0"}
 SPEED = {"x": "((k*13)%17-8)/16.0", "y": "((k*29)%19-9)/16.0", "z": "((k*31)%23-11)/16.0"}
+#: Most objects of a clustered set lie in a small part of the space, the others far away.
+CLUSTERED = START | {a: f"CASE WHEN k%8<>0 THEN ({START[a]})/16.0 ELSE ({START[a]})*8.0 END" for a in "xyz"}
 BEGIN = "(k%4)*0.25"
 MOVES = "k%7<>0"
 OTYPE = "CASE WHEN k%10=0 THEN 4 WHEN k%10<=6 THEN 1 ELSE 2 END"
@@ -28,17 +30,17 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").alias("obj_idx"), F.expr("IF(k%7=0, 13, 0)").alias("status"), (F.col("k") + 40000).alias("norad_id"), F.expr(OTYPE).alias("otype"))
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str, begins: dict[str, str] = START) -> DataFrame:
     """Two steps of a day each for all objects that move."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter(MOVES)
     rows = rows.withColumn("step_idx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("t_begin", F.expr(f"CAST({BEGIN} AS DOUBLE)") + F.col("step_idx"))
     zero = F.lit(0.0)
     out = {}
     for a in "xyz":
-        start, speed = F.expr(f"CAST({START[a]} AS DOUBLE)"), F.expr(f"CAST({SPEED[a]} AS DOUBLE)")
+        start, speed = F.expr(f"CAST({begins[a]} AS DOUBLE)"), F.expr(f"CAST({SPEED[a]} AS DOUBLE)")
         out[a] = F.array(start + speed * (F.col("t_begin") - SHIFT), speed, zero, zero)
         out["v" + a] = F.array(speed, zero, zero, zero)
-    out["r"] = F.array(F.expr(f"CAST({START['r']} AS DOUBLE)"), zero, zero, zero)
+    out["r"] = F.array(F.expr(f"CAST({begins['r']} AS DOUBLE)"), zero, zero, zero)
     return rows.select(F.col("k").alias("obj_idx"), "step_idx", "t_begin", (F.col("t_begin") + 1).alias("t_end"), *(out[c].alias(c) for c in schema.COORDS))
 
 

@@ -168,18 +168,22 @@ _STEPS = "SELECT i AS cd_idx, CAST(i*0.375 AS DOUBLE) AS cb, CAST(CASE WHEN i=7
 _NEXT = "nextafter(CAST({v} AS FLOAT), CAST('{s}infinity' AS FLOAT))"
 
 
-def _at(a: str, t: str) -> str:
-    return f"(CAST({b.START[a]} AS DOUBLE) + CAST({b.SPEED[a]} AS DOUBLE) * ({t} - {b.SHIFT}))" if a != "r" else f"CAST({b.START['r']} AS DOUBLE)"
+def _at(a: str, t: str, begins: dict[str, str]) -> str:
+    return f"(CAST({begins[a]} AS DOUBLE) + CAST({b.SPEED[a]} AS DOUBLE) * ({t} - {b.SHIFT}))" if a != "r" else f"CAST({begins['r']} AS DOUBLE)"
 
 
 _HALF = "0.55"
-_BOX = (
-    f"SELECT cd_idx, k AS obj_idx, "
-    + ", ".join(f"MIN({_NEXT.format(v=f'LEAST({_at(a, 'lo')}, {_at(a, 'hi')}) - CAST({_HALF} AS DOUBLE)', s='-')}) AS l{a}" for a in "xyzr")
-    + ", "
-    + ", ".join(f"MAX({_NEXT.format(v=f'GREATEST({_at(a, 'lo')}, {_at(a, 'hi')}) + CAST({_HALF} AS DOUBLE)', s='')}) AS u{a}" for a in "xyzr")
-    + f" FROM (SELECT cd_idx, k, GREATEST(cb, tb) AS lo, LEAST(ce, te) AS hi FROM ({_SEG}) s JOIN ({_STEPS}) c ON tb < ce AND te > cb) GROUP BY cd_idx, k"
-)
+def _boxes_of(begins: dict[str, str]) -> str:
+    return (
+        f"SELECT cd_idx, k AS obj_idx, "
+        + ", ".join(f"MIN({_NEXT.format(v=f'LEAST({_at(a, 'lo', begins)}, {_at(a, 'hi', begins)}) - CAST({_HALF} AS DOUBLE)', s='-')}) AS l{a}" for a in "xyzr")
+        + ", "
+        + ", ".join(f"MAX({_NEXT.format(v=f'GREATEST({_at(a, 'lo', begins)}, {_at(a, 'hi', begins)}) + CAST({_HALF} AS DOUBLE)', s='')}) AS u{a}" for a in "xyzr")
+        + f" FROM (SELECT cd_idx, k, GREATEST(cb, tb) AS lo, LEAST(ce, te) AS hi FROM ({_SEG}) s JOIN ({_STEPS}) c ON tb < ce AND te > cb) GROUP BY cd_idx, k"
+    )
+
+
+_BOX = _boxes_of(b.START)
 _SIDES = [s + a for s in "lu" for a in "xyzr"]
 _GLOBAL = "SELECT cd_idx, " + ", ".join(f"MIN(l{a}) AS gl{a}" for a in "xyzr") + ", " + ", ".join(f"MAX(u{a}) AS gu{a}" for a in "xyzr") + " FROM box GROUP BY cd_idx"
 
@@ -194,13 +198,17 @@ def _bits(v: str) -> str:
     return " + ".join(f"(CAST(({v} >> {i}) & 1 AS HUGEINT) * {2 ** (4 * i)})" for i in range(16))
 
 
-_CODED = (
-    f"WITH box AS ({_BOX}), span AS ({_GLOBAL}), cells AS (SELECT box.*, " + ", ".join(f"{_cell(a)} AS c{a}" for a in "xyzr") + " FROM box JOIN span USING (cd_idx)), "
-    "sums AS (SELECT *, " + " + ".join(f"({_bits('c' + a)}) * {2**k}" for k, a in enumerate("xyzr")) + " AS code FROM cells), "
-    "coded AS (SELECT cd_idx, obj_idx, " + ", ".join(_SIDES) + ", CAST(CASE WHEN code >= 9223372036854775808 THEN code - 18446744073709551616 ELSE code END AS BIGINT) AS mcode FROM sums), "
-    "leaf AS (SELECT cd_idx, mcode, COUNT(*) AS n, " + ", ".join(f"MIN(l{a}) AS l{a}" for a in "xyzr") + ", " + ", ".join(f"MAX(u{a}) AS u{a}" for a in "xyzr") + " FROM coded GROUP BY cd_idx, mcode), "
-    f"typed AS (SELECT k AS obj_idx, {b.OTYPE} AS otype FROM (SELECT c_custkey AS k FROM customer))"
-)
+def _codes_of(begins: dict[str, str]) -> str:
+    return (
+        f"WITH box AS ({_boxes_of(begins)}), span AS ({_GLOBAL}), cells AS (SELECT box.*, " + ", ".join(f"{_cell(a)} AS c{a}" for a in "xyzr") + " FROM box JOIN span USING (cd_idx)), "
+        "sums AS (SELECT *, " + " + ".join(f"({_bits('c' + a)}) * {2**k}" for k, a in enumerate("xyzr")) + " AS code FROM cells), "
+        "coded AS (SELECT cd_idx, obj_idx, " + ", ".join(_SIDES) + ", CAST(CASE WHEN code >= 9223372036854775808 THEN code - 18446744073709551616 ELSE code END AS BIGINT) AS mcode FROM sums), "
+        "leaf AS (SELECT cd_idx, mcode, COUNT(*) AS n, " + ", ".join(f"MIN(l{a}) AS l{a}" for a in "xyzr") + ", " + ", ".join(f"MAX(u{a}) AS u{a}" for a in "xyzr") + " FROM coded GROUP BY cd_idx, mcode), "
+        f"typed AS (SELECT k AS obj_idx, {b.OTYPE} AS otype FROM (SELECT c_custkey AS k FROM customer))"
+    )
+
+
+_CODED = _codes_of(b.START)
 
 
 def _boxes(spark, d) -> DataFrame:
@@ -217,7 +225,7 @@ def _pairs(spark, d) -> DataFrame:
 
 @query("cd_steps", f"SELECT cd_idx, cb AS cd_begin, ce AS cd_end FROM ({_STEPS})")
 def _(spark, d):
-    return cj.cd_steps(spark, b.MAX_T, b.INTERVAL)
+    return cj.cd_steps(spark, b.segments(spark, d).agg(F.max("t_end")).first()[0], b.INTERVAL)
 
 
 @query("aabbs", f"SELECT cd_idx, obj_idx, {', '.join(_SIDES)} FROM ({_BOX})")
@@ -264,7 +272,8 @@ def _(spark, d):
 
 
 _HIT = " AND ".join(f"o.u{a} >= l.l{a} AND o.l{a} <= l.u{a}" for a in "xyzr")
-_COLLIDE = f"{_CODED}, hits AS (SELECT o.cd_idx, o.obj_idx AS i, m.obj_idx AS j FROM coded o JOIN leaf l ON o.cd_idx = l.cd_idx AND {_HIT} JOIN coded m ON m.cd_idx = l.cd_idx AND m.mcode = l.mcode AND o.obj_idx < m.obj_idx JOIN typed ti ON ti.obj_idx = o.obj_idx JOIN typed tj ON tj.obj_idx = m.obj_idx WHERE ti.otype + tj.otype <= 3)"
+_HITS = f", hits AS (SELECT o.cd_idx, o.obj_idx AS i, m.obj_idx AS j FROM coded o JOIN leaf l ON o.cd_idx = l.cd_idx AND {_HIT} JOIN coded m ON m.cd_idx = l.cd_idx AND m.mcode = l.mcode AND o.obj_idx < m.obj_idx JOIN typed ti ON ti.obj_idx = o.obj_idx JOIN typed tj ON tj.obj_idx = m.obj_idx WHERE ti.otype + tj.otype <= 3)"
+_COLLIDE = _CODED + _HITS
 
 
 @query("aabb_collisions", f"{_COLLIDE} SELECT cd_idx, i, j FROM hits")
@@ -277,6 +286,12 @@ def _(spark, d):
     return cj.collisions_naive(_coded(spark, d), b.objects(spark, d))
 
 
+@query("collisions_clustered", f"{_codes_of(b.CLUSTERED)}{_HITS} SELECT cd_idx, i, j FROM hits")
+def _(spark, d):
+    boxes = cj.aabbs(b.segments(spark, d, b.CLUSTERED), b.MAX_T, b.INTERVAL, b.THRESHOLD)
+    return cj.collisions(cj.morton(boxes), b.objects(spark, d))
+
+
 @query("collisions_otypes", f"{_COLLIDE} SELECT cd_idx, ti.otype AS type_i, tj.otype AS type_j, CAST(COUNT(*) AS BIGINT) AS n FROM hits JOIN typed ti ON ti.obj_idx = i JOIN typed tj ON tj.obj_idx = j GROUP BY cd_idx, ti.otype, tj.otype")
 def _(spark, d):
     types = b.objects(spark, d).select("obj_idx", "otype")
@@ -437,7 +452,27 @@ _EPOCHS = "SELECT DISTINCT user_id AS norad_id, 2460000.5 + CAST(event_id%512 AS
 @query("gpe_intervals", f"WITH e AS ({_EPOCHS}), n AS (SELECT norad_id, epoch, LEAD(epoch) OVER w AS nx, ROW_NUMBER() OVER w AS k FROM e WINDOW w AS (PARTITION BY norad_id ORDER BY epoch)), v AS (SELECT norad_id, epoch, CASE WHEN k=1 THEN CAST(2460001.5 AS DOUBLE) ELSE GREATEST(epoch, CAST(2460001.5 AS DOUBLE)) END AS b0, LEAST(COALESCE(nx, CAST(2460005.5 AS DOUBLE)), CAST(2460005.5 AS DOUBLE)) AS e0 FROM n) SELECT norad_id, epoch, b0 AS begin_jd, e0 AS end_jd FROM v WHERE b0 < e0")
 def _(spark, d):
     rows = b.table(spark, d, "events").select(F.col("user_id").alias("norad_id"), F.lit(2460000.5).alias("epoch_jd1"), ((F.col("event_id") % 512).cast("double") / 64).alias("epoch_jd2")).distinct()
-    return catalog.gpe_intervals(rows, 2460001.5, 2460005.5).select("norad_id", (F.col("epoch_jd1") + F.col("epoch_jd2")).alias("epoch"), F.col("begin").alias("begin_jd"), F.col("end").alias("end_jd"))
+    return catalog.gpe_intervals(rows, 2460001.5, 2460005.5).select("norad_id", (F.col("epoch_jd1") + F.col("epoch_jd2")).alias("epoch"), (F.col("begin_jd1") + F.col("begin_jd2")).alias("begin_jd"), (F.col("end_jd1") + F.col("end_jd2")).alias("end_jd"))
+
+
+# epochs from the last day of 2016 on, which ends with a leap second, in steps of 1e-9 days: as whole steps in SQL
+_STEPS_OF = "SELECT DISTINCT user_id AS norad_id, (event_id%3)*CAST(1000000000 AS BIGINT) + event_id*7%1000 AS u FROM events"
+_TAI_NS = "(({u} - 500000000)*86400 + CASE WHEN {u} >= 1000000000 THEN 1000000000 ELSE 0 END)"
+
+
+@query(
+    "gpe_intervals_exact",
+    f"WITH e AS ({_STEPS_OF}), n AS (SELECT norad_id, u, LEAD(u) OVER w AS nx, ROW_NUMBER() OVER w AS k FROM e WINDOW w AS (PARTITION BY norad_id ORDER BY u)), "
+    "v AS (SELECT norad_id, u, CASE WHEN k=1 THEN 500000000 ELSE GREATEST(u, 500000000) END AS b, LEAST(COALESCE(nx, 2250000000), 2250000000) AS e FROM n) "
+    f"SELECT norad_id, u AS epoch, CAST(b AS BIGINT) AS begin_step, CAST(e AS BIGINT) AS end_step, CAST({_TAI_NS.format(u='b')} AS BIGINT) AS begin_ns, CAST({_TAI_NS.format(u='e')} AS BIGINT) AS end_ns FROM v WHERE b < e",
+)
+def _(spark, d):
+    step = F.lit(1e-9)
+    rows = b.table(spark, d, "events").select(F.col("user_id").alias("norad_id"), (F.lit(2457753.5) + F.col("event_id") % 3).alias("epoch_jd1"), ((F.col("event_id") * 7 % 1000) * step).alias("epoch_jd2")).distinct()
+    found = catalog.gpe_intervals(rows, 2457754.0, 2457755.75)
+    steps = lambda c: F.round(((F.col(f"{c}_jd1") - 2457753.5) + F.col(f"{c}_jd2")) / step).cast("long")
+    found = found.withColumn("epoch", F.round(((F.col("epoch_jd1") - 2457753.5) + F.col("epoch_jd2")) / step).cast("long"))
+    return found.select("norad_id", "epoch", *(steps(c).alias(f"{c}_step") for c in ("begin", "end")), *(F.round(F.col(c) * 86400e9).cast("long").alias(f"{c}_ns") for c in ("begin", "end")))
 
 
 @query("pair_canonical", "SELECT l_orderkey, l_linenumber, LEAST(l_partkey, l_suppkey) AS a, GREATEST(l_partkey, l_suppkey) AS b FROM lineitem")

@@ -66,7 +66,7 @@ def read_groups(spark: SparkSession, folder: str, groups=SUPPLEMENTAL_GROUPS) ->
 def load_base(spark: SparkSession, path: str) -> DataFrame:
     """A landed base catalog, checked, cleaned, without repeated elements."""
     raw = read_json(spark, path)
-    missing = [c for c in (*NEEDED, *CONVENTIONS) if c not in raw.columns]
+    missing = [c for c in (*RAW, "TLE_LINE1", "TLE_LINE2", *CONVENTIONS) if c not in raw.columns]
     if missing:
         raise CatalogError(f"{path} has no {', '.join(missing)}")
     return first_of_same(reformat(validate(raw, unique="NORAD_CAT_ID", required=list(NEEDED), constant=CONVENTIONS), clean_placeholders=True))
@@ -207,21 +207,29 @@ def to_gpes(df: DataFrame) -> DataFrame:
 
 
 def check_elements(gpes: DataFrame) -> DataFrame:
-    """gpes, or a CatalogError: at least one row, all fields finite, and no epoch twice for an id."""
+    """gpes, or a CatalogError: at least one row, all element columns that it has finite, and no epoch twice for an id."""
     odd = lambda c: F.col(c).isNull() | (F.isnan(c) | (F.abs(c) == float("inf")) if c != "norad_id" else F.lit(False))
-    sums = gpes.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(odd(f.name)).alias(f.name) for f in schema.GPE.fields)).first()
+    fields = [f.name for f in schema.GPE.fields if f.name in gpes.columns]
+    missing = [c for c in ("norad_id", "epoch_jd1", "epoch_jd2") if c not in fields]
+    if missing:
+        raise CatalogError(f"there is no {', '.join(missing)}")
+    sums = gpes.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(odd(c)).alias(c) for c in fields)).first()
     if not sums["n"]:
         raise CatalogError("there are no elements")
-    broken = [f.name for f in schema.GPE.fields if sums[f.name]]
+    broken = [c for c in fields if sums[c]]
     if broken:
         raise CatalogError(f"null or not finite: {', '.join(broken)}")
-    high, low = timescale.two_sum(F.col("epoch_jd1"), F.col("epoch_jd2"))
-    again = gpes.groupBy("norad_id", high.alias("_high"), low.alias("_low")).count().filter("count > 1").limit(1).collect()
+    again = gpes.groupBy("norad_id", _utc(gpes).alias("_epoch")).count().filter("count > 1").limit(1).collect()
     if again:
         raise CatalogError(f"an epoch of {again[0]['norad_id']} recurs")
     return gpes
 
 
+def _utc(gpes: DataFrame) -> Column:
+    """The epoch of elements as an ordered pair."""
+    return timescale.pair(timescale.two_sum(gpes["epoch_jd1"].cast("double"), gpes["epoch_jd2"].cast("double")))
+
+
 def check_span(jd_begin: float, jd_end: float, reentry: float = 0.0, leave: float = math.inf) -> None:
     if not (math.isfinite(jd_begin) and math.isfinite(jd_end) and jd_begin < jd_end):
         raise ValueError(f"the dates {jd_begin} and {jd_end} aren't finite and ascending")
@@ -238,15 +246,30 @@ def norad_index(df: DataFrame) -> DataFrame:
     return ids.join(sizes.select("_part", before.alias("_before")), "_part").select((F.col("_before") + inside).cast("long").alias("obj_idx"), "norad_id")
 
 
-def gpe_intervals(gpes: DataFrame, jd_begin: float, jd_end: float) -> DataFrame:
-    """Adds begin and end, UTC dates between which each row of elements holds: from its epoch to the next one's, the earliest one from jd_begin on; rows without a share of [jd_begin, jd_end) go."""
+def gpe_intervals(gpes: DataFrame, jd_begin: float, jd_end: float, check: bool = True) -> DataFrame:
+    """Adds the interval in which each row of elements holds: from its epoch to the next one's, the earliest one from jd_begin on; rows without a share of [jd_begin, jd_end) go.
+
+    Epochs and ends are double-length pairs throughout. They are turned into TAI before they are compared, so that intervals over a
+    leap second are as long as they are: begin and end are days of TAI since jd_begin, begin_jd1, begin_jd2, end_jd1 and
+    end_jd2 the UTC pairs. check: whether the rules of elements are tested first.
+    """
     check_span(jd_begin, jd_end)
-    w = Window.partitionBy("norad_id").orderBy("epoch_jd1", "epoch_jd2")
-    epoch = F.col("epoch_jd1") + F.col("epoch_jd2")
-    rows = gpes.withColumns({"_next": F.lead(epoch).over(w), "_first": F.row_number().over(w) == 1})
-    begin = F.when(F.col("_first"), F.lit(float(jd_begin))).otherwise(F.greatest(epoch, F.lit(float(jd_begin))))
-    rows = rows.withColumns({"begin": begin, "end": F.least(F.coalesce("_next", F.lit(float(jd_end))), F.lit(float(jd_end)))})
-    return rows.filter("begin < end").drop("_next", "_first")
+    rows = check_elements(gpes) if check else gpes
+    utc = timescale.two_sum(F.col("epoch_jd1").cast("double"), F.col("epoch_jd2").cast("double"))
+    rows = timescale.with_tai(timescale.with_pair(rows, utc, "_utc1", "_utc2"), "_utc1", "_utc2", "_tai1", "_tai2")
+    # dates order by TAI and carry their UTC along
+    dated = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("tai1", "tai2", "utc1", "utc2"), strict=True)))
+    first, last = (dated(*map(F.lit, (*timescale.tai_of(float(jd)), float(jd), 0.0))) for jd in (jd_begin, jd_end))
+    rows = rows.withColumn("_epoch", dated(*map(F.col, ("_tai1", "_tai2", "_utc1", "_utc2"))))
+    w = Window.partitionBy("norad_id").orderBy("_epoch")
+    rows = rows.withColumns({"_next": F.lead("_epoch").over(w), "_first": F.row_number().over(w) == 1})
+    begin = F.when(F.col("_first"), first).otherwise(F.greatest("_epoch", first))
+    rows = rows.withColumns({"_begin": begin, "_end": F.least(F.coalesce("_next", last), last)}).filter("_begin < _end")
+    since, zero = {}, tuple(F.lit(-x) for x in timescale.tai_of(float(jd_begin)))
+    for c in ("begin", "end"):
+        high, low = timescale.dl_add((F.col(f"_{c}.tai1"), F.col(f"_{c}.tai2")), zero)
+        since |= {c: high + low, f"{c}_jd1": F.col(f"_{c}.utc1"), f"{c}_jd2": F.col(f"_{c}.utc2")}
+    return rows.withColumns(since).drop("_utc1", "_utc2", "_tai1", "_tai2", "_epoch", "_next", "_first", "_begin", "_end")
 
 
 def canonical_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.evaluate import state_eval
+from ..operators.evaluate import state_join
 
 
 def stream_states(points: DataFrame, segments: DataFrame, order: int) -> DataFrame:
-    """state_eval() for a streaming DataFrame of points: a stream-static join, without state or watermark."""
+    """state_join() for a streaming DataFrame of points: a stream-static join, without state or watermark."""
     if not points.isStreaming:
         raise ValueError("points have to be a stream")
-    return state_eval(segments, points, order)
+    return state_join(segments, points, order)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyframe import schema, streaming
-from skyframe.functions import poly
+from skyframe.functions import poly, timescale
 from skyframe.operators import conjunctions as cj
 from skyframe.operators import evaluate, propagate, results
 from skyframe.sources import catalog
@@ -169,8 +169,6 @@ def test_boxes_hold_positions_and_tree_is_whole(spark):
                 assert r["l" + a] <= np.polyval(bodies[i][0][s, ::-1, d], t - s * 0.5) <= r["u" + a]
     pairs = sorted(map(tuple, cj.collisions(coded, store.objects).collect()))
     assert pairs == sorted(map(tuple, cj.collisions_naive(coded, store.objects).collect())) and pairs
-    tight = sorted(map(tuple, cj.collisions(coded, store.objects, most_cells=2).collect()))
-    assert tight == pairs
     odd = coded.unionByName(coded.filter("obj_idx < 4").withColumn("obj_idx", F.col("obj_idx") + 100))  # equal codes
     odd = odd.unionByName(coded.filter("cd_idx = 0 AND obj_idx = 3").withColumn("cd_idx", F.lit(90).cast("long")))  # a step of one object
     rows = cj.bvh_tree(odd).toPandas()
@@ -337,3 +335,128 @@ def test_roots_closer_than_numbers_resolve():
     assert len(row) == 1 and low[0] <= 0.3 + 1e-6 and high[0] >= 0.3 - 1e-6
     row, t = poly.real_roots(np.poly(np.array([0.25, 0.5, 0.75]))[::-1][None].copy(), np.array([1.0]))
     assert np.allclose(np.sort(t), [0.25, 0.5, 0.75])
+
+
+def test_boxes_of_many_sizes(spark):
+    """Crowds of small boxes, some large ones, and one that holds everything."""
+    draw = np.random.default_rng(11)
+    rows = []
+    for step in range(2):
+        for i in range(300):
+            size = 10.0 ** draw.integers(-3, 3) if i else 1e4
+            middle = draw.normal(size=4) * (1 if i % 5 else 200)
+            low, high = (middle + s * size * draw.uniform(0.2, 1, 4) for s in (-1, 1))
+            rows.append((step, i, *low.tolist(), *high.tolist()))
+    boxes = spark.createDataFrame(rows, cj.BOX_DDL)
+    objects = spark.createDataFrame([(i, (1, 2, 4)[i % 3]) for i in range(300)], "obj_idx long, otype int")
+    coded = cj.morton(boxes)
+    found = sorted(map(tuple, cj.collisions(coded, objects).collect()))
+    assert found == sorted(map(tuple, cj.collisions_naive(coded, objects).collect())) and len(found) > 500
+
+
+def test_cells_are_no_larger_than_boxes_need(spark):
+    """A crowd in a small part of a wide space: joined rows stay within twice those of cells of the size of boxes."""
+    draw = np.random.default_rng(12)
+    middle = np.concatenate([draw.uniform(0, 20, (4000, 4)), draw.uniform(-1e4, 1e4, (200, 4))])
+    rows = [(0, i, *(m - 0.5).tolist(), *(m + 0.5).tolist()) for i, m in enumerate(middle)]
+    coded = cj.morton(spark.createDataFrame(rows, cj.BOX_DDL))
+    objects = spark.createDataFrame([(i, 1) for i in range(len(rows))], "obj_idx long, otype int")
+    o = cj._at_home(coded.select("cd_idx", "obj_idx", *(F.col(f"{s}{a}").alias(f"o{s}{a}") for s in "lu" for a in cj.AXES)), "o")
+    levels = o.groupBy("cd_idx").agg(F.collect_set("ohome").alias("levels"))
+    per = cj._cells(o, levels, "o").groupBy("cd_idx", "level", "cx", "cy", "cz").count()
+    met = per.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    cells = {}
+    for m in middle:  # cells with edges of 1.5 boxes
+        for x, y, z in {tuple(np.floor((m[:3] + s) / 1.5).astype(int)) for s in np.array(np.meshgrid(*[[-0.5, 0.5]] * 3)).T.reshape(-1, 3)}:
+            cells[x, y, z] = cells.get((x, y, z), 0) + 1
+    assert met < 2 * sum(n * n for n in cells.values())
+    assert cj.collisions(coded, objects).count() == cj.collisions_naive(coded, objects).count()
+
+
+def plain_windows(i, j):
+    return sorted((max(a[0], b[0]), min(a[1], b[1]), a[2], b[2]) for a in i for b in j if max(a[0], b[0]) < min(a[1], b[1]))
+
+
+def test_windows_are_swept(spark):
+    draw = np.random.default_rng(13)
+
+    def segments(n, gaps):
+        times = np.sort(draw.integers(0, 60, 2 * n)).tolist() if gaps else np.sort(draw.choice(60, n + 1, replace=False)).tolist()
+        pairs = list(zip(times[::2], times[1::2], strict=True)) if gaps else list(zip(times, times[1:], strict=False))
+        return [(float(a), float(b), float(a)) for a, b in pairs if a < b]
+
+    sides = [(segments(draw.integers(1, 12), k % 2), segments(draw.integers(1, 12), k % 3 == 0)) for k in range(60)]
+    coefficients = [[0.0, 0.0]] * 6
+    part = lambda s: (*s, *coefficients)
+    ddl = "array<struct<b: double, e: double, t_begin: double, " + ", ".join(f"{c}: array<double>" for c in schema.COORDS[:6]) + ">>"
+    rows = [(k, 0, 1, 0.0, 60.0, [part(s) for s in i], 0.0, 60.0, [part(s) for s in j]) for k, (i, j) in enumerate(sides)]
+    listed = spark.createDataFrame(rows, f"cd_idx long, i long, j long, i_born double, i_dead double, i_parts {ddl}, j_born double, j_dead double, j_parts {ddl}")
+    got = {k: [] for k in range(60)}
+    for b in listed.toArrow().to_batches():
+        for r in cj.swept(b).to_pylist():
+            got[r["cd_idx"]].append((r["begin"], r["end"], r["i_t_begin"], r["j_t_begin"]))
+    for k, (i, j) in enumerate(sides):
+        assert sorted(got[k]) == plain_windows(i, j)
+    long = [[part((float(t), t + 1.0, float(t))) for t in range(n)] for n in (20_000, 10_000)]
+    one = cj.swept(spark.createDataFrame([(0, 0, 1, 0.0, 2e4, long[0], 0.0, 1e4, long[1])], listed.schema).toArrow().combine_chunks().to_batches()[0])
+    assert one.num_rows == 10_000
+
+
+def test_points_meet_segments_by_merge(spark):
+    """Ten thousand segments and points of one object: no row for each two of them."""
+    n = 10_000
+    one = F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("obj_idx"), F.col("id").cast("int").alias("step_idx"), (F.col("id") / 8).alias("t_begin"), ((F.col("id") + 1) / 8).alias("t_end"), *(one.alias(c) for c in schema.COORDS))
+    rows = rows.filter("step_idx % 1000 <> 5")
+    points = spark.range(n).select(F.lit(7).cast("long").alias("obj_idx"), (F.col("id") / 7 - 50).alias("t"), F.col("id").alias("_t"), F.lit("x").alias("_begin"))
+    points = points.unionByName(points.limit(3)).unionByName(points.limit(1).withColumn("obj_idx", F.lit(None).cast("long")))
+    for state in (evaluate.state_eval, evaluate.state_join):
+        found = state(rows, points, 3)
+        assert found.columns == [*points.columns, *schema.COORDS]
+        seen = 0
+        for r in found.collect():
+            k = math.floor(r.t * 8)
+            if r.obj_idx is not None and 0 <= k < n and k % 1000 != 5:
+                assert r.x == pytest.approx(1 + r.t - k / 8)
+                seen += 1
+            else:
+                assert math.isnan(r.x)
+        assert found.count() == n + 4 and seen > 8000
+    assert evaluate.state_eval(rows.limit(0), points, 3).filter(F.isnan("x")).count() == n + 4
+
+
+def test_dates_know_no_session_zone(spark):
+    rows = spark.createDataFrame([("2024-07-05T12:00:00.123456789",), ("2024-07-05T12:00:00Z",), ("2017-01-01",), ("2016-12-31T23:59:59.9996",), (None,)], "iso string")
+    for zone in ("Asia/Tokyo", "America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            dated = timescale.with_pair(rows, timescale.iso_to_jd(F.col("iso")), "a", "b")
+            out = dated.select("a", "b", *(timescale.jd_to_iso((F.col("a"), F.col("b")), k).alias(f"d{k}") for k in (0, 3, 9))).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        day = 2460496.5
+        assert ((out[0].a - day) + out[0].b) * 86400 == pytest.approx(43200.123456789, abs=1e-10)
+        assert (out[1].a, out[1].b, out[2].a) == (2460497.0, 0.0, 2457754.5)
+        assert [tuple(r)[2:] for r in out] == [
+            ("2024-07-05T12:00:00", "2024-07-05T12:00:00.123", "2024-07-05T12:00:00.123456789"),
+            ("2024-07-05T12:00:00", "2024-07-05T12:00:00.000", "2024-07-05T12:00:00.000000000"),
+            ("2017-01-01T00:00:00", "2017-01-01T00:00:00.000", "2017-01-01T00:00:00.000000000"),
+            ("2017-01-01T00:00:00", "2017-01-01T00:00:00.000", "2016-12-31T23:59:59.999600000"),
+            (None, None, None),
+        ]
+
+
+def test_intervals_of_elements(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "norad_id long, epoch_jd1 double, epoch_jd2 double, bstar double")
+    gpes = frame((1, 2457754.5, -1e-9, 0.0), (1, 2457754.0, 0.5, 0.0), (1, 2457753.0, 0.0, 0.0), (2, 2457755.0, 0.0, 0.0), (3, 2457760.0, 0.0, 0.0), (3, 2457761.0, 0.0, 0.0))
+    rows = {(r.norad_id, r.epoch_jd1): r for r in catalog.gpe_intervals(gpes, 2457754.0, 2457756.0).collect()}
+    assert set(rows) == {(1, 2457753.0), (1, 2457754.5), (1, 2457754.0), (2, 2457755.0), (3, 2457760.0)}
+    # the last epoch before the leap second, and the one a nanoday later behind it
+    a, b = rows[1, 2457754.5], rows[1, 2457754.0]
+    assert (a.end - a.begin) * 86400 == pytest.approx(86400e-9 + 1, abs=1e-9) and (b.begin_jd1, b.begin_jd2) == (2457754.5, 0.0)
+    assert (a.begin_jd1 - 2457754.5) + a.begin_jd2 == pytest.approx(-1e-9, abs=1e-18)
+    assert rows[2, 2457755.0].begin == 0.0 and rows[2, 2457755.0].end * 86400 == pytest.approx(2 * 86400 + 1, abs=1e-9)
+    for broken, said in ((frame((1, 2457754.0, 0.5, 0.0), (1, 2457754.5, 0.0, 0.0)), "recurs"), (frame((1, 2457754.0, 0.0, float("nan"))), "bstar"), (frame(), "no elements"), (gpes.drop("epoch_jd2"), "epoch_jd2")):
+        with pytest.raises(catalog.CatalogError, match=said):
+            catalog.gpe_intervals(broken, 2457754.0, 2457756.0)
+    assert catalog.gpe_intervals(frame((1, 2457754.0, 0.0, float("nan"))), 2457754.0, 2457756.0, check=False).count() == 1
