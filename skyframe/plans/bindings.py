@@ -15,7 +15,7 @@ ORDER, MAX_T, INTERVAL, THRESHOLD, SHIFT = 3, 2.75, 0.375, 1.1, 0.013671875
 START = {"x": "((k*37)%1009-504)/32.0", "y": "((k*53)%1013-506)/32.0", "z": "((k*71)%1019-509)/32.0", "r": "20+((k*7)%11)/64.0"}
 SPEED = {"x": "((k*13)%17-8)/16.0", "y": "((k*29)%19-9)/16.0", "z": "((k*31)%23-11)/16.0"}
 #: Most objects of a clustered set lie in a small part of the space, the others far away.
-CLUSTERED = START | {a: f"CASE WHEN k%8<>0 THEN ({START[a]})/16.0 ELSE ({START[a]})*8.0 END" for a in "xyz"}
+CLUSTERED = START | {a: f"CASE WHEN k%8<>0 THEN ({START[a]})/2.0 ELSE ({START[a]})*8.0 END" for a in "xyz"}
 BEGIN = "(k%4)*0.25"
 MOVES = "k%7<>0"
 OTYPE = "CASE WHEN k%10=0 THEN 4 WHEN k%10<=6 THEN 1 ELSE 2 END"
