@@ -481,11 +481,22 @@ def _(spark, d):
     return catalog.canonical_pairs(rows, "a", "b")
 
 
-@query("asof_nearest", "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, event_id, ROW_NUMBER() OVER (PARTITION BY o_orderkey ORDER BY ABS(rt - t), rt, event_id) AS n FROM (SELECT o_orderkey, o_custkey, CAST(o_orderkey%1000 AS DOUBLE) AS t FROM orders) o LEFT JOIN (SELECT event_id, user_id, CAST(event_id*7%1000 AS DOUBLE) AS rt FROM events) e ON user_id = o_custkey) WHERE n = 1")
-def _(spark, d):
+_NEAREST = "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, event_id, ROW_NUMBER() OVER (PARTITION BY o_orderkey ORDER BY ABS(rt - t), rt, event_id) AS n FROM (SELECT o_orderkey, o_custkey, CAST(o_orderkey%1000 AS DOUBLE) AS t FROM orders) o LEFT JOIN (SELECT event_id, user_id, CAST(event_id*7%1000 AS DOUBLE) AS rt FROM events) e ON user_id = o_custkey) WHERE n = 1"
+
+
+def _dated(spark, d) -> tuple[DataFrame, DataFrame]:
     left = b.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 1000).cast("double").alias("t"))
-    right = b.table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 7 % 1000).cast("double").alias("t"))
-    return catalog.asof_nearest(left, right, ["user_id"], "t", ["event_id"], "event_id").select("o_orderkey", "event_id")
+    return left, b.table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 7 % 1000).cast("double").alias("t"))
+
+
+@query("asof_nearest", _NEAREST)
+def _(spark, d):
+    return catalog.asof_nearest(*_dated(spark, d), ["user_id"], "t", ["event_id"], "event_id").select("o_orderkey", "event_id")
+
+
+@query("asof_nearest_ranges", _NEAREST)
+def _(spark, d):
+    return catalog.asof_nearest(*_dated(spark, d), ["user_id"], "t", ["event_id"], "event_id", parts=16).select("o_orderkey", "event_id")
 
 
 @query("dl_add", "SELECT l_orderkey, l_linenumber, l_extendedprice + l_tax AS hi, (l_extendedprice - ((l_extendedprice + l_tax) - ((l_extendedprice + l_tax) - l_extendedprice))) + (l_tax - ((l_extendedprice + l_tax) - l_extendedprice)) AS lo FROM lineitem")

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import logging
 import math
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import runtime, schema
 from ..functions import timescale
 
 #: The groups of supplemental elements.
@@ -276,19 +277,56 @@ def canonical_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: list[str], tie: str) -> DataFrame:
+def _parted(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """rows with _part, a range of (keys, _t, _side, _tie) in ascending order; written, so that parts stay what they are."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(parts, *keys, "_t", "_side", "_tie").withColumn("_part", F.spark_partition_id())
+    path = f"{runtime.scratch_root(spark)}/skyframe/asof-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: list[str], tie: str, parts: int | None = None) -> DataFrame:
     """Each left row with the values of the right row of its keys that is nearest in t (the earlier one of two, then the least `tie`), null if none is.
 
-    Right rows are dealt to left rows by a merge in time: the last right row at or before, and the first at or after, come from
-    two running windows over the union of both sides, so that no key's rows meet pairwise.
+    Both sides are merged in time, so that no key's rows meet pairwise: the last right row at or before, and the first at or after, come
+    from running windows. With `parts`, rows are dealt by ranges of key and time instead of by key, so that a key of any size is
+    shared among tasks: windows run within a range, and what they would have had from the ranges before and behind comes from a
+    table with one row for each key and range, scanned in turn. That costs a written table in the shared folder, which is the
+    caller's to delete with it.
     """
-    right_rows = right.select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("rt"), F.col(tie).alias("tie"), *value).alias("_r"))
+    right_rows = right.select(*keys, F.col(t).alias("_t"), F.col(tie).alias("_tie"), F.struct(F.col(t).alias("_at"), F.col(tie).alias("_by"), *value).alias("_r"))
     left_rows = left.select(*keys, F.col(t).alias("_t"), F.struct(*left.columns).alias("_l"))
-    both = left_rows.withColumn("_r", F.lit(None).cast(right_rows.schema["_r"].dataType)).unionByName(right_rows.withColumn("_l", F.lit(None).cast(left_rows.schema["_l"].dataType)))
-    side = F.col("_l").isNotNull().cast("int")
-    back = Window.partitionBy(*keys).orderBy("_t", side, F.col("_r.tie").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), side, F.col("_r.tie").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left_rows.unionByName(right_rows, allowMissingColumns=True).withColumn("_side", F.col("_l").isNotNull().cast("int"))
+    within = keys
+    if parts:
+        both, within = _parted(both, keys, parts), [*keys, "_part"]
+    # of right rows of one time the least tie is met last, whichever way the window runs
+    back = Window.partitionBy(*within).orderBy("_t", "_side", F.col("_tie").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*within).orderBy(F.col("_t").desc(), "_side", F.col("_tie").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumns({"_before": F.last("_r", True).over(back), "_after": F.last("_r", True).over(ahead)}).filter("_l IS NOT NULL")
-    gap = lambda r: F.abs(F.col("_t").cast("double") - F.col(f"{r}.rt").cast("double"))
+    if parts:
+        found = _carried(found, both, keys)
+    gap = lambda r: F.abs(F.col("_t").cast("double") - F.col(f"{r}._at").cast("double"))
     best = F.when(F.col("_before").isNull() | (gap("_after") < gap("_before")), F.col("_after")).otherwise(F.col("_before"))
     return found.withColumn("_best", best).select("_l.*", *(F.col(f"_best.{v}").alias(v) for v in value))
+
+
+def _carried(found: DataFrame, both: DataFrame, keys: list[str]) -> DataFrame:
+    """found with the last right row of earlier ranges of its key, and the first one of later ranges.
+
+    A time may go over several ranges, so that of equally near rows the one with the least tie is taken.
+    """
+    order = lambda sign: F.struct((sign * F.col("_t").cast("double")).alias("at"), F.col("_tie").alias("tie"))
+    ends = both.groupBy(*keys, "_part").agg(F.min_by(F.when(F.col("_side") == 0, F.struct("_r", "_t")), F.when(F.col("_side") == 0, order(-1))).alias("last"), F.min_by(F.when(F.col("_side") == 0, F.struct("_r", "_t")), F.when(F.col("_side") == 0, order(1))).alias("first"))
+    nearest = lambda column, sign: F.struct((sign * F.col(f"{column}._t").cast("double")).alias("at"), F.col(f"{column}._r._by").alias("tie"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    pick = lambda column, sign, w: F.min_by(F.col(f"{column}._r"), F.when(F.col(column).isNotNull(), nearest(column, sign))).over(w)
+    ends = ends.select(*(F.col(k).alias(f"_{n}") for n, k in enumerate(keys)), F.col("_part").alias("_p"), pick("last", -1, earlier).alias("_prior"), pick("first", 1, later).alias("_coming"))
+    match = F.col("_part") == F.col("_p")
+    for n, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"_{n}"))
+    found = found.join(ends, match, "left")
+    nearer = lambda own, other: F.when(F.col(own).isNull() | ((F.col(own)["_at"] == F.col(other)["_at"]) & (F.col(other)["_by"] < F.col(own)["_by"])), F.col(other)).otherwise(F.col(own))
+    return found.withColumns({"_before": nearer("_before", "_prior"), "_after": nearer("_after", "_coming")})

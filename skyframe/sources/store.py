@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import uuid
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,7 +59,13 @@ def offsets(segments: DataFrame) -> DataFrame:
     return out.select("obj_idx", "n_steps", (F.col("v0") + F.coalesce(F.sum("values").over(inside), F.lit(0))).alias("traj_offset"), (F.col("t0") + F.coalesce(F.sum("times").over(inside), F.lit(0))).alias("time_offset"))
 
 
-@dataclass
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder while the session can; what a stopped session leaves goes with its shared folder."""
+    if spark.sparkContext._jsc is not None:
+        runtime.delete(spark, path)
+
+
+@dataclass(eq=False)
 class TrajectoryStore:
     """Objects with piecewise polynomial trajectories. Close it, or use it in a with statement, to drop what isn't persisted."""
 
@@ -72,6 +79,12 @@ class TrajectoryStore:
     path: str | None = None
     persist: bool = False
     detached: bool = field(default=False, init=False)
+    #: Deletes a temporary store's folder: when it is detached, when nothing refers to it any more, or when the program ends.
+    _drop: weakref.finalize | None = field(default=None, init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        if self.path and not self.persist:
+            self._drop = weakref.finalize(self, _drop_folder, self.spark, self.path)
 
     @classmethod
     def from_frames(cls, objects: DataFrame, segments: DataFrame, epoch: float = 0.0, epoch2: float = 0.0, check: bool = True) -> TrajectoryStore:
@@ -196,8 +209,8 @@ class TrajectoryStore:
         if not self.detached:
             self.hint_release()
             self.detached = True
-            if self.path and not self.persist:
-                runtime.delete(self.spark, self.path)
+            if self._drop:
+                self._drop()
 
     def __enter__(self) -> TrajectoryStore:
         return self

@@ -460,3 +460,47 @@ def test_intervals_of_elements(spark):
         with pytest.raises(catalog.CatalogError, match=said):
             catalog.gpe_intervals(broken, 2457754.0, 2457756.0)
     assert catalog.gpe_intervals(frame((1, 2457754.0, 0.0, float("nan"))), 2457754.0, 2457756.0, check=False).count() == 1
+
+
+def test_nearest_rows_of_a_hot_key(spark):
+    """A key with most rows, many of one time, shared among ranges of time."""
+    draw = np.random.default_rng(14)
+    keys = lambda n: [None if k == 3 else int(k) for k in np.where(draw.random(n) < 0.9, 1, draw.integers(0, 5, n))]
+    left = [(k, int(x), n) for n, (k, x) in enumerate(zip(keys(600), draw.integers(-20, 120, 600), strict=True))]
+    right = [(k, int(x), n % 7, n) for n, (k, x) in enumerate(zip(keys(300), np.where(draw.random(300) < 0.3, 50, draw.integers(0, 100, 300)), strict=True))]
+    a, b = spark.createDataFrame(left, "k int, t int, n int"), spark.createDataFrame(right, "k int, t int, tie int, v int")
+    want = {}
+    for k, t, n in left:
+        near = min(((abs(r[1] - t), r[1], r[2]) for r in right if r[0] == k), default=None)
+        want[n] = near
+    for parts in (None, 1, 7, 40):
+        rows = catalog.asof_nearest(a, b.withColumn("u", F.col("t")), ["k"], "t", ["u", "tie"], "tie", parts).collect()
+        assert len(rows) == len(left)
+        for r in rows:
+            assert (None if r.u is None else (abs(r.u - r.t), r.u, r.tie)) == want[r.n]
+    ranged = catalog._parted(a.select("k", F.col("t").alias("_t"), F.lit(0).alias("_side"), F.col("n").alias("_tie")), ["k"], 8)
+    assert max(r["count"] for r in ranged.groupBy("_part").count().collect()) < 0.3 * len(left)
+
+
+def test_temporary_stores_go_with_what_refers_to_them(spark, tmp_path):
+    import gc
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    store = store_of(spark, line(1, -1, 0, 2)).save_temporary()
+    path = store.path
+    del store
+    gc.collect()
+    assert not os.path.exists(path)
+    say = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "%s").getOrCreate()
+from skyframe.sources.store import TrajectoryStore
+import numpy as np
+store = TrajectoryStore.from_arrays(spark, [np.ones((1, 3, 7))], [np.array([0.0, 1.0])], [0]).save_temporary()
+import os
+print(os.path.isdir(store.path))
+""" % tmp_path
+    out = subprocess.run([sys.executable, "-c", say], env=os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1])}, capture_output=True, text=True, check=True, timeout=300)
+    assert "True" in out.stdout and not list((tmp_path / "skyframe").glob("store-*"))
