@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import re
+import threading
 import zlib
 from fractions import Fraction
 
@@ -246,3 +248,28 @@ def test_encoding_query(spark, small, library):
         text = library.decode(ids, skip_special_tokens=False)
         assert got.pop(d["doc_id"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert not got
+
+
+# scratch tables
+
+
+def test_threads_delete_only_their_own_tables(spark):
+    """A block that ends in one thread leaves the tables of a block that is open in another."""
+    opened, ended, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with common.passing(spark):
+            table = common.materialise(spark.range(3), "mine")
+            opened.set()
+            ended.wait(60)
+            seen.append(table.count())
+        seen.append(os.path.exists(table._skyframe_path))
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    opened.wait(60)
+    with common.passing(spark) as keep:
+        kept, gone = keep(common.materialise(spark.range(2), "kept")), common.materialise(spark.range(1), "gone")
+    ended.set()
+    thread.join()
+    assert seen == [3, False] and kept.count() == 2 and not os.path.exists(gone._skyframe_path)
