@@ -11,7 +11,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -271,7 +270,9 @@ def collisions_naive(coded: DataFrame, objects: DataFrame) -> DataFrame:
 
 _COUNTERS = ("windows", "fast_rejected", "kept_windows", "roots", "hits", "end_hits", "begin_hits")
 _CONJ = pa.schema([("cd_idx", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("tca", pa.float64()), ("dca", pa.float64())] + [(c, pa.list_(pa.float64())) for c in ("ri", "vi", "rj", "vj")])
-_REPORT = pa.schema([("cd_idx", pa.int64())] + [(c, pa.int64()) for c in _COUNTERS])
+_FOUND = pa.schema([("report", pa.bool_()), *_CONJ, *((c, pa.int64()) for c in _COUNTERS)])
+REPORT_DDL = "cd_idx long, " + ", ".join(f"{c} long" for c in _COUNTERS)
+FOUND_DDL = f"report boolean, {schema.CONJUNCTIONS}, " + ", ".join(f"{c} long" for c in _COUNTERS)
 
 
 _LISTED = ("b", "e", "t_begin", *schema.COORDS[:6])
@@ -321,8 +322,8 @@ def swept(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(found)
 
 
-def _approaches(b: pa.RecordBatch, threshold: float) -> tuple[dict, dict[str, int]]:
-    """The conjunctions of a batch of windows, and the counters."""
+def _approaches(b: pa.RecordBatch, threshold: float) -> tuple[dict, dict[str, np.ndarray]]:
+    """The conjunctions of a batch of windows, and for each counter the windows that it counts, once for each time."""
     begin, end = b.column("begin").to_numpy(), b.column("end").to_numpy()
     width, limit = end - begin, threshold * threshold
     state = {}
@@ -335,14 +336,14 @@ def _approaches(b: pa.RecordBatch, threshold: float) -> tuple[dict, dict[str, in
     row, t = poly.minima(d2[at], width[at])
     row = at[row]
     ok = poly.np_horner(d2[row], t) < limit
-    n = {"windows": len(begin), "kept_windows": len(at), "fast_rejected": len(begin) - len(at), "roots": len(row), "hits": int(ok.sum())}
+    n = {"windows": np.arange(len(begin)), "kept_windows": at, "fast_rejected": np.flatnonzero(~near), "roots": row, "hits": row[ok]}
     slope = d2[at, 1:] * np.arange(1, d2.shape[1])
     last = np.nextafter(width[at], -1.0)
     ends = {s: b.column(f"{s}_dead").to_numpy()[at] == end[at] for s in "ij"}
     starts = {s: b.column(f"{s}_born").to_numpy()[at] == begin[at] for s in "ij"}
     out_end = (ends["i"] | ends["j"]) & (poly.np_horner(slope, last) < 0) & (poly.np_horner(d2[at], last) < limit)
     out_begin = (starts["i"] | starts["j"]) & (slope[:, 0] > 0) & (d2[at, 0] < limit)
-    n |= {"end_hits": int(out_end.sum()), "begin_hits": int(out_begin.sum())}
+    n |= {"end_hits": at[out_end], "begin_hits": at[out_begin]}
     row = np.concatenate([row[ok], at[out_end], at[out_begin]])
     t = np.concatenate([t[ok], last[out_end], np.zeros(int(out_begin.sum()))])
     found = {s: poly.np_horner(state[s][row], t[:, None]) for s in "ij"}
@@ -357,31 +358,46 @@ def _same(found: DataFrame, interval: float) -> DataFrame:
     return found.withColumn("_earlier", earlier).filter(F.col("_earlier").isNull() | (F.col("tca") - F.col("_earlier") > 10 * poly.SEAM * interval)).drop("_earlier")
 
 
-def narrow_phase(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
-    """The conjunctions of the candidate pairs: minima of the squared distance below the threshold, within windows or at the ends of trajectories."""
+def narrow_found(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
+    """What the narrow phase finds, in one pass: conjunctions, and where `report` is true the counters of a batch in a detection step.
+
+    conjunctions_of() and report_of() tell them apart; write this first where both are wanted.
+    """
     runtime.ready(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in map(swept, batches):
-            if b.num_rows:
-                found, _ = _approaches(b, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(found[f.name].tolist(), type=f.type) for f in _CONJ], schema=_CONJ)
+            if not b.num_rows:
+                continue
+            found, counted = _approaches(b, threshold)
+            steps, step = np.unique(b.column("cd_idx").to_numpy(), return_inverse=True)
+            found |= {"report": np.zeros(len(found["tca"]), bool)}
+            counters = {c: np.bincount(step[rows], minlength=len(steps)) for c, rows in counted.items()} | {"cd_idx": steps, "report": np.ones(len(steps), bool)}
+            for rows in (found, counters):
+                n = len(rows["report"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name].tolist(), type=f.type) if f.name in rows else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
 
-    return _same(paired_segments(pairs, segments, max_t, interval).mapInArrow(run, schema.CONJUNCTIONS), interval)
+    return paired_segments(pairs, segments, max_t, interval).mapInArrow(run, FOUND_DDL)
 
 
-def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
-    """What the narrow phase did in each detection step."""
-    runtime.ready(pairs.sparkSession)
+def conjunctions_of(found: DataFrame, interval: float) -> DataFrame:
+    """The conjunctions among the rows of narrow_found()."""
+    return _same(found.filter("NOT report").select(*_CONJ.names), interval)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in map(swept, batches):
-            for k in np.unique(b.column("cd_idx").to_numpy()).tolist():
-                _, n = _approaches(b.filter(pa.compute.equal(b.column("cd_idx"), k)), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([n[c]]) for c in _COUNTERS)], schema=_REPORT)
 
-    rows = paired_segments(pairs, segments, max_t, interval).mapInArrow(run, "cd_idx long, " + ", ".join(f"{c} long" for c in _COUNTERS))
-    return rows.groupBy("cd_idx").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
+def report_of(found: DataFrame) -> DataFrame:
+    """(cd_idx, counters): what the narrow phase did in each detection step that has windows, from the rows of narrow_found()."""
+    return found.filter("report").groupBy("cd_idx").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
+
+
+def narrow_phase(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
+    """The conjunctions of the candidate pairs: minima of the squared distance below the threshold, within windows or at the ends of trajectories."""
+    return conjunctions_of(narrow_found(pairs, segments, max_t, interval, threshold), interval)
+
+
+def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval: float, threshold: float) -> DataFrame:
+    """What the narrow phase does in each detection step, without keeping what it finds; results.Conjunctions has it from the pass that finds."""
+    return report_of(narrow_found(pairs, segments, max_t, interval, threshold))
 
 
 def detect(objects: DataFrame, segments: DataFrame, max_t: float, threshold: float, interval: float) -> DataFrame:

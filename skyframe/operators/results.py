@@ -1,21 +1,36 @@
-"""A detection's results as tables: every stage is written once, and read from there by all that follows."""
+"""A detection's results as tables: every stage is written once, and read from there by all that follows.
+
+Stages with a detection step lie in one folder a step, so that what asks for a step reads its folder only. Steps are dealt by a
+rebalancing hint: small ones share a task, and a large one is split over several tasks and files.
+"""
 
 from __future__ import annotations
 
 import logging
 import math
 import time
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime, schema
 from ..sources.store import TrajectoryStore
 from . import conjunctions as cj
 
 LOG = logging.getLogger("skyframe")
-VERSION = 1
+VERSION = 2
+#: The columns of all stages; a stage without rows has no files to tell them.
+STAGES = {
+    "objects": "obj_idx long, otype int",
+    "aabbs": f"{cj.BOX_DDL}, mcode long",
+    "collisions": "cd_idx long, i long, j long",
+    "found": cj.FOUND_DDL,
+    "conjunctions": schema.CONJUNCTIONS,
+    "report": cj.REPORT_DDL,
+}
+#: Stages in folders by step, with the order within a file.
+BY_STEP = {"aabbs": ["mcode", "obj_idx"], "collisions": ["i", "j"], "conjunctions": ["tca", "i", "j"]}
 
 
 @dataclass
@@ -35,17 +50,25 @@ class Conjunctions:
         cj.check_types(store.objects)
         spark, made = store.spark, cls(store.spark, path, threshold, interval, store.max_t)
 
-        def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        def stage(name: str, rows: DataFrame) -> DataFrame:
             began = time.monotonic()
-            make().write.parquet(f"{path}/{name}")
+            rows = rows.select(*spark.createDataFrame([], STAGES[name]).columns)
+            if name in BY_STEP:
+                rows.hint("rebalance", "cd_idx").sortWithinPartitions("cd_idx", *BY_STEP[name]).write.partitionBy("cd_idx").parquet(f"{path}/{name}")
+            else:
+                rows.write.parquet(f"{path}/{name}")
             LOG.info("%s: %.1f s", name, time.monotonic() - began)
-            return spark.read.parquet(f"{path}/{name}")
-
-        objects = stage("objects", lambda: store.objects.select("obj_idx", "otype"))
-        coded = stage("aabbs", lambda: cj.morton(cj.aabbs(store.segments, store.max_t, interval, threshold)))
-        pairs = stage("collisions", lambda: cj.collisions(coded, objects))
-        stage("conjunctions", lambda: cj.narrow_phase(pairs, store.segments, store.max_t, interval, threshold))
-        stage("meta", lambda: spark.createDataFrame([(VERSION, threshold, interval, store.max_t)], "version int, threshold double, interval double, max_t double").coalesce(1))
+            return made._table(name)
+
+        objects = stage("objects", store.objects)
+        coded = stage("aabbs", cj.morton(cj.aabbs(store.segments, store.max_t, interval, threshold)))
+        pairs = stage("collisions", cj.collisions(coded, objects))
+        found = stage("found", cj.narrow_found(pairs, store.segments, store.max_t, interval, threshold))
+        stage("conjunctions", cj.conjunctions_of(found, interval))
+        stage("report", cj.report_of(found))
+        runtime.delete(spark, f"{path}/found")
+        meta = "version int, threshold double, interval double, max_t double"
+        spark.createDataFrame([(VERSION, threshold, interval, store.max_t)], meta).coalesce(1).write.parquet(f"{path}/meta")
         return made
 
     @classmethod
@@ -57,7 +80,8 @@ class Conjunctions:
         return cls(spark, path, meta["threshold"], meta["interval"], meta["max_t"])
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        rows = self.spark.read.schema(STAGES[name]).parquet(f"{self.path}/{name}")
+        return rows.select(*self.spark.createDataFrame([], STAGES[name]).columns)
 
     def _step(self, k: int) -> int:
         if not 0 <= k < self.n_steps:
@@ -114,3 +138,12 @@ class Conjunctions:
     def conjunctions(self) -> DataFrame:
         """All conjunctions by detection step, time and pair."""
         return cj.listed(self._table("conjunctions"))
+
+    def conjunctions_in(self, k: int) -> DataFrame:
+        """The conjunctions of a step, in order."""
+        return cj.listed(self._table("conjunctions").filter(F.col("cd_idx") == self._step(k)))
+
+    @property
+    def report(self) -> DataFrame:
+        """(cd_idx, counters): what the narrow phase did in each step that has windows, counted when it ran."""
+        return self._table("report")

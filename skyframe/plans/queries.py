@@ -302,9 +302,12 @@ def _(spark, d):
 
 
 _MOVING = "SELECT c_custkey AS k, " + ", ".join(f"CAST({b.START[a].replace('k*', 'c_custkey*')} AS DOUBLE) - CAST({b.SPEED[a].replace('k*', 'c_custkey*')} AS DOUBLE)*{b.SHIFT} AS {a}0, CAST({b.SPEED[a].replace('k*', 'c_custkey*')} AS DOUBLE) AS v{a}" for a in "xyz") + f", CAST((c_custkey%4)*0.25 AS DOUBLE) AS ta, CAST((c_custkey%4)*0.25+2 AS DOUBLE) AS tz, {b.OTYPE.replace('k%', 'c_custkey%')} AS otype FROM customer WHERE c_custkey%7<>0"
+_PAIRED = (
+    f"m AS ({_MOVING}), p AS (SELECT i.k AS i, j.k AS j, " + ", ".join(f"i.{a}0-j.{a}0 AS d{a}, i.v{a}-j.v{a} AS w{a}" for a in "xyz") + ", GREATEST(i.ta, j.ta) AS a, LEAST(i.tz, j.tz) AS z FROM m i JOIN m j ON i.k < j.k AND i.otype + j.otype <= 3 AND i.tz > j.ta AND j.tz > i.ta), "
+    "q AS (SELECT *, wx*wx+wy*wy+wz*wz AS qa, dx*wx+dy*wy+dz*wz AS qb FROM p)"
+)
 _CONJ = (
-    f"WITH m AS ({_MOVING}), p AS (SELECT i.k AS i, j.k AS j, " + ", ".join(f"i.{a}0-j.{a}0 AS d{a}, i.v{a}-j.v{a} AS w{a}" for a in "xyz") + ", GREATEST(i.ta, j.ta) AS a, LEAST(i.tz, j.tz) AS z FROM m i JOIN m j ON i.k < j.k AND i.otype + j.otype <= 3 AND i.tz > j.ta AND j.tz > i.ta), "
-    "q AS (SELECT *, wx*wx+wy*wy+wz*wz AS qa, dx*wx+dy*wy+dz*wz AS qb FROM p), "
+    f"WITH {_PAIRED}, "
     "c AS (SELECT i, j, -qb/qa AS tca, dx, dy, dz, wx, wy, wz, 0 AS kind FROM q WHERE qa > 0 AND -qb/qa > a AND -qb/qa < z "
     "UNION ALL SELECT i, j, a, dx, dy, dz, wx, wy, wz, 1 FROM q WHERE qa*a+qb > 0 UNION ALL SELECT i, j, z, dx, dy, dz, wx, wy, wz, 2 FROM q WHERE qa*z+qb < 0), "
     "e AS (SELECT i, j, tca, kind, wx, wy, wz, sqrt((dx+wx*tca)*(dx+wx*tca)+(dy+wy*tca)*(dy+wy*tca)+(dz+wz*tca)*(dz+wz*tca)) AS dca FROM c), "
@@ -379,6 +382,25 @@ def _(spark, d):
     return cj.narrow_report(_pairs(spark, d), b.segments(spark, d), b.MAX_T, b.INTERVAL, b.THRESHOLD)
 
 
+_D2 = " + ".join("(d{0}+w{0}*({{t}}))*(d{0}+w{0}*({{t}}))".format(a) for a in "xyz")
+_NEAR = "{} < 1.1*1.1"
+_WINDOWS = (
+    f"{_COLLIDE}, {_PAIRED}, "
+    "piece AS (SELECT c_custkey AS k, (c_custkey%4)*0.25 + s AS tb FROM customer, (VALUES (0), (1)) v(s) WHERE c_custkey%7<>0), "
+    f"win AS (SELECT h.cd_idx, q.*, CAST(GREATEST(e.tb, f.tb, cb) AS DOUBLE) AS w0, CAST(LEAST(e.tb+1, f.tb+1, ce) AS DOUBLE) AS w1 FROM hits h JOIN ({_STEPS}) s ON s.cd_idx = h.cd_idx JOIN piece e ON e.k = h.i JOIN piece f ON f.k = h.j JOIN q ON q.i = h.i AND q.j = h.j)"
+)
+
+
+@query(
+    "np_counts",
+    f"{_WINDOWS} SELECT cd_idx, COUNT(*) AS windows, COUNT(*) FILTER (qa > 0 AND -qb/qa > w0 AND -qb/qa < w1 AND {_NEAR.format(_D2.format(t='-qb/qa'))}) AS hits, "
+    f"COUNT(*) FILTER (w1 = z AND qa*w1+qb < 0 AND {_NEAR.format(_D2.format(t='w1'))}) AS end_hits, COUNT(*) FILTER (w0 = a AND qa*w0+qb > 0 AND {_NEAR.format(_D2.format(t='w0'))}) AS begin_hits FROM win WHERE w0 < w1 GROUP BY cd_idx",
+)
+def _(spark, d):
+    report = cj.narrow_report(_pairs(spark, d), b.segments(spark, d), b.MAX_T, b.INTERVAL, b.THRESHOLD)
+    return report.select("cd_idx", "windows", "hits", "end_hits", "begin_hits")
+
+
 # catalogs
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import os
 import uuid
 import weakref
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import runtime, schema
+from . import raw
 
-VERSION = 1
+VERSION = 2
 
 
 class StoreError(ValueError):
@@ -59,9 +59,25 @@ def offsets(segments: DataFrame) -> DataFrame:
     return out.select("obj_idx", "n_steps", (F.col("v0") + F.coalesce(F.sum("values").over(inside), F.lit(0))).alias("traj_offset"), (F.col("t0") + F.coalesce(F.sum("times").over(inside), F.lit(0))).alias("time_offset"))
 
 
+def _bucket_table(path: str) -> str:
+    """The name of the session's table over a store's buckets."""
+    return f"skyframe_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def _segments_at(spark: SparkSession, path: str, buckets: int | None) -> DataFrame:
+    """The segments below a store's folder. Buckets are known to Spark by a table of the session over the same files."""
+    if not buckets:
+        return spark.read.schema(schema.SEGMENTS).parquet(f"{path}/segments")
+    name, columns = _bucket_table(path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.SEGMENTS)
+    where = f"{path}/segments".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (obj_idx) SORTED BY (obj_idx, step_idx) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(name)
+
+
 def _drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder while the session can; what a stopped session leaves goes with its shared folder."""
     if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(path)}")
         runtime.delete(spark, path)
 
 
@@ -124,58 +140,51 @@ class TrajectoryStore:
         return cls.from_frames(objects, spark.createDataFrame(rows, schema.SEGMENTS), epoch, epoch2)
 
     @classmethod
-    def from_datafiles(cls, spark: SparkSession, traj: str, time: str, order: int, offsets: pd.DataFrame, status, epoch: float = 0.0, epoch2: float = 0.0) -> TrajectoryStore:
-        """From raw files of doubles, which all executors can read, and (offset, n_steps) an object, contiguous from 0.
+    def from_datafiles(cls, spark: SparkSession, traj: str, time: str, order: int, offsets: DataFrame | pd.DataFrame, status=None, epoch: float = 0.0, epoch2: float = 0.0) -> TrajectoryStore:
+        """From raw files (see raw.py) and where each object begins in them.
 
-        The driver checks offsets and sizes; tasks read the ranges of their own objects.
+        offsets is a table (obj_idx, offset, n_steps, status) that Spark checks; or, for few objects, a pandas frame (offset, n_steps)
+        in the order of the objects, with one status each.
+        """
+        if isinstance(offsets, pd.DataFrame):
+            if status is None or len(offsets) != len(status := list(status)):
+                raise StoreError("offsets and status differ in number")
+            offsets = spark.createDataFrame([(i, int(at), int(n), int(s)) for i, (at, n, s) in enumerate(zip(offsets["offset"], offsets["n_steps"], status, strict=True))], "obj_idx long, offset long, n_steps long, status int")
+        if broken := raw.broken_offsets(offsets, order, raw.n_doubles(traj), raw.n_doubles(time)):
+            raise StoreError("; ".join(broken))
+        objects = offsets.select(F.col("obj_idx").cast("long").alias("obj_idx"), F.col("status").cast("int").alias("status"), F.lit(None).cast("long").alias("norad_id"), F.lit(schema.PRIMARY).alias("otype"))
+        return cls.from_frames(objects, raw.segments(spark, offsets, traj, time, order), epoch, epoch2)
+
+    def save(self, path: str, persist: bool = True, buckets: int | None = None) -> TrajectoryStore:
+        """Writes the store; its metadata come last and make it complete. One that isn't to persist is deleted when it is detached.
+
+        With buckets, segments lie in that many files by object, so that what groups or joins them by object moves nothing, and one
+        object is read from one file; an object of very many steps fills its file alone. Without, files are of like size: small objects
+        share one, and a large object is split over several.
         """
-        table = offsets[["offset", "n_steps"]].astype("int64").reset_index(drop=True)
-        width = (order + 1) * len(schema.COORDS)
-        if len(table) != len(list(status)):
-            raise StoreError("offsets and status differ in number")
-        size = table["n_steps"] * width
-        if (table["offset"] != size.cumsum() - size).any():
-            raise StoreError("offsets have to begin at 0 and be contiguous")
-        n_times = (table["n_steps"] + 1).where(table["n_steps"] > 0, 0)
-        if os.path.getsize(traj) != 8 * int(size.sum()) or os.path.getsize(time) != 8 * int(n_times.sum()):
-            raise StoreError("file sizes don't match the offsets")
-        table["time_offset"] = n_times.cumsum() - n_times
-        runtime.ready(spark)
-
-        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                rows = []
-                for i, at, n, t0 in f[["obj_idx", "offset", "n_steps", "time_offset"]].itertuples(index=False):
-                    if n:
-                        c = np.fromfile(traj, float, n * width, offset=8 * at).reshape(n, order + 1, len(schema.COORDS))
-                        t = np.fromfile(time, float, n + 1, offset=8 * t0)
-                        rows += [(i, k, t[k], t[k + 1], *(c[k, :, d].tolist() for d in range(len(schema.COORDS)))) for k in range(n)]
-                yield pd.DataFrame(rows, columns=schema.SEGMENTS.fieldNames())
-
-        ranges = spark.createDataFrame(table.assign(obj_idx=range(len(table)))).select("obj_idx", "offset", "n_steps", "time_offset")
-        parts = max(1, min(len(table), 4 * spark.sparkContext.defaultParallelism))
-        segments = ranges.repartitionByRange(parts, "obj_idx").mapInPandas(read, schema.SEGMENTS)
-        objects = spark.createDataFrame([(i, int(s), None, schema.PRIMARY) for i, s in enumerate(status)], schema.OBJECTS)
-        return cls.from_frames(objects, segments, epoch, epoch2)
-
-    def save(self, path: str, persist: bool = True) -> TrajectoryStore:
-        """Writes the store; its metadata come last and make it complete. One that isn't to persist is deleted when it is detached."""
         self._open()
         self.objects.write.mode("errorifexists").parquet(f"{path}/objects")
-        self.segments.repartition("obj_idx").sortWithinPartitions("obj_idx", "step_idx").write.parquet(f"{path}/segments")
-        self.spark.createDataFrame([(VERSION, persist, self.n_objs, self.poly_order, self.max_t, *self.epoch)], "version int, persist boolean, n_objs long, poly_order int, maxT double, epoch double, epoch2 double").coalesce(1).write.parquet(f"{path}/traj_meta")
+        if buckets:
+            writer = self.segments.repartition(buckets, "obj_idx").write.bucketBy(buckets, "obj_idx").sortBy("obj_idx", "step_idx")
+            name = _bucket_table(path)
+            writer.format("parquet").option("path", f"{path}/segments").saveAsTable(name)
+            self.spark.sql(f"DROP TABLE {name}")
+        else:
+            self.segments.hint("rebalance", "obj_idx").sortWithinPartitions("obj_idx", "step_idx").write.parquet(f"{path}/segments")
+        meta = "version int, persist boolean, n_objs long, poly_order int, maxT double, epoch double, epoch2 double, buckets int"
+        self.spark.createDataFrame([(VERSION, persist, self.n_objs, self.poly_order, self.max_t, *self.epoch, buckets)], meta).coalesce(1).write.parquet(f"{path}/traj_meta")
         return self._opened(self.spark, path)
 
-    def save_temporary(self) -> TrajectoryStore:
+    def save_temporary(self, buckets: int | None = None) -> TrajectoryStore:
         """save() below the shared folder that spark.checkpoint.dir names, until the store is detached."""
-        return self.save(f"{runtime.scratch_root(self.spark)}/skyframe/store-{uuid.uuid4().hex}", persist=False)
+        return self.save(f"{runtime.scratch_root(self.spark)}/skyframe/store-{uuid.uuid4().hex}", persist=False, buckets=buckets)
 
     @classmethod
     def _opened(cls, spark: SparkSession, path: str) -> TrajectoryStore:
         meta = spark.read.parquet(f"{path}/traj_meta").first()
         if meta is None or meta["version"] != VERSION:
             raise StoreError(f"{path} holds no store of version {VERSION}")
-        return cls(spark, spark.read.parquet(f"{path}/objects"), spark.read.parquet(f"{path}/segments"), (meta["epoch"], meta["epoch2"]), meta["poly_order"], meta["maxT"], meta["n_objs"], path, meta["persist"])
+        return cls(spark, spark.read.parquet(f"{path}/objects"), _segments_at(spark, path, meta["buckets"]), (meta["epoch"], meta["epoch2"]), meta["poly_order"], meta["maxT"], meta["n_objs"], path, meta["persist"])
 
     @classmethod
     def mount(cls, spark: SparkSession, path: str) -> TrajectoryStore:

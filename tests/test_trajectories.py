@@ -74,6 +74,31 @@ def test_raw_files(spark, tmp_path):
         TrajectoryStore.from_datafiles(spark, str(tmp_path / "c"), str(tmp_path / "t"), 3, offsets.assign(offset=[1, 2]), [0, 0])
 
 
+def test_raw_files_by_ranges(spark, tmp_path):
+    """Ranges of a few steps, empty objects, offsets as a table, and each rule of it."""
+    from skyframe.sources import raw
+
+    bodies = [line(1, -1, 0, 3.0), (np.zeros((0, 4, 7)), np.zeros(0)), line(2, 1, 0.25, 0.75, 0.25), line(0, 1, 0, 0.7)]
+    np.concatenate([b[0].ravel() for b in bodies]).tofile(tmp_path / "c")
+    np.concatenate([b[1] for b in bodies]).tofile(tmp_path / "t")
+    sizes = [b[0].size for b in bodies]
+    rows = [(i, sum(sizes[:i]), len(b[0]), 13 * (i == 1)) for i, b in enumerate(bodies)]
+    files = f"file://{tmp_path}/c", str(tmp_path / "t")
+    table = lambda r: spark.createDataFrame(r, "obj_idx long, offset long, n_steps long, status int")
+    store = TrajectoryStore.from_datafiles(spark, *files, 3, table(rows[::-1]))
+    for i, (c, t) in enumerate(bodies):
+        got = store[i]
+        assert np.array_equal(got[0], c) and np.array_equal(got[1], t) and got[2] == rows[i][3]
+    short = raw.segments(spark, table(rows), *files, 3, range_steps=4)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, store.segments.collect()))
+    null = [*rows[:3], (3, None, None, 0)]
+    for odd in ([], rows[:3], rows[1:], [*rows, rows[0]], null, [(*rows[0][:2], -1, 0), *rows[1:]], [rows[0], (1, 1, 0, 0), *rows[2:]], [(None, *rows[0][1:]), *rows[1:]]):
+        with pytest.raises(StoreError):
+            TrajectoryStore.from_datafiles(spark, *files, 3, table(odd))
+    with pytest.raises(FileNotFoundError):
+        TrajectoryStore.from_datafiles(spark, str(tmp_path / "no"), files[1], 3, table(rows))
+
+
 def test_evaluation(spark, tmp_path):
     store = store_of(spark, line(1, -1, 0, 1), line(-1, 1, 0, 1.5))
     rows = {(r.obj_idx, r.t): r for r in evaluate.state_eval(store.segments, evaluate.at_times(store.objects, [0.11, 1.0, 1.2]), 3).collect()}
@@ -320,6 +345,41 @@ def test_results_are_tables(spark, tmp_path):
         results.Conjunctions.detect(TrajectoryStore.from_frames(store.objects.withColumn("otype", F.lit(3)), store.segments), 0.1, 0.75, str(tmp_path / "other"))
 
 
+def test_results_by_step(spark, tmp_path):
+    """A step's accessors read its folder only, counters are those of the pass that found, and stages without rows read as empty."""
+    store = store_of(spark, line(1, -1, 0, 2), line(-1, 1, 0, 2), line(5, 0, 0, 1))
+    made = results.Conjunctions.detect(store, 0.1, 0.75, str(tmp_path / "found"))
+    for rows in (made.leaves(1), made.aabb_collisions(1), made.conjunctions_in(1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(cd_idx" in plan
+    assert len(os.listdir(tmp_path / "found" / "aabbs")) > 3 and not (tmp_path / "found" / "found").exists()
+    assert [tuple(r)[:3] for r in made.conjunctions_in(1).collect()] == [(1, 0, 1)] and made.conjunctions_in(0).count() == 0
+    wanted = cj.narrow_report(made._table("collisions"), store.segments, store.max_t, 0.75, 0.1)
+    assert sorted(map(tuple, made.report.collect())) == sorted(map(tuple, wanted.select(made.report.columns).collect()))
+    assert made.report.agg(F.sum("hits")).first()[0] >= 1
+    none = results.Conjunctions.detect(store_of(spark, line(1, 0, 0, 1), line(50, 0, 0, 1)), 0.1, 0.75, str(tmp_path / "none"))
+    assert none.conjunctions.count() == none.report.count() == none.aabb_collisions(0).count() == 0
+
+
+def test_stores_in_buckets(spark, tmp_path):
+    """Steps' lists of a store in buckets move nothing, one object is read from one bucket, and a mounted store knows its buckets."""
+    store = store_of(spark, line(1, -1, 0, 2), line(-1, 1, 0, 2), (np.zeros((0, 4, 7)), []), line(5, 0, 0, 1))
+    plain = store.save(str(tmp_path / "plain"))
+    kept = store.save(str(tmp_path / "it's in buckets"), buckets=3)
+    again = TrajectoryStore.mount(spark, str(tmp_path / "it's in buckets"))
+    for s in (kept, again):
+        listed = cj.listed_segments(s.segments, s.max_t, 0.75)
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        ends = s.segments.groupBy("obj_idx").agg(F.max("t_end"))
+        assert "Exchange hashpartitioning" not in plan(listed.hint("none")) and "Exchange" not in plan(ends)
+        assert "SelectedBucketsCount: 1 out of 3" in plan(s.segments.filter("obj_idx = 1"))
+        assert sorted(map(tuple, s.segments.collect())) == sorted(map(tuple, plain.segments.collect()))
+    assert found(again, 0.1, 0.75) == found(plain, 0.1, 0.75) and len(found(again, 0.1, 0.75)) == 1
+    gone = store.save_temporary(buckets=2)
+    gone.detach()
+    assert not os.path.exists(gone.path)
+
+
 def test_temporary_stores_go(spark):
     store = store_of(spark, line(1, -1, 0, 2)).save_temporary()
     assert os.path.isdir(store.path) and store.segments.count() == 20
