@@ -30,11 +30,13 @@ def check_parameters(threshold: float, interval: float) -> None:
         raise ValueError(f"the interval {interval} isn't finite and positive")
 
 
-def check_types(objects: DataFrame) -> None:
-    """Object types are 1 (primary), 2 (secondary) or 4 (masked)."""
-    odd = objects.filter(F.col("otype").isNull() | ~F.col("otype").isin(schema.PRIMARY, schema.SECONDARY, schema.MASKED)).limit(1).count()
+def check_types(objects: DataFrame) -> bool:
+    """Object types are 1 (primary), 2 (secondary) or 4 (masked); whether any is primary: without, there are no pairs to look for."""
+    known = F.coalesce(F.col("otype").isin(schema.PRIMARY, schema.SECONDARY, schema.MASKED), F.lit(False))
+    odd, primary = objects.agg(F.count_if(~known), F.count_if(F.col("otype") == schema.PRIMARY)).first()
     if odd:
         raise ValueError("an object type is none of 1, 2, 4")
+    return primary > 0
 
 
 def n_steps(max_t: float, interval: float) -> int:
@@ -401,9 +403,10 @@ def narrow_report(pairs: DataFrame, segments: DataFrame, max_t: float, interval:
 
 
 def detect(objects: DataFrame, segments: DataFrame, max_t: float, threshold: float, interval: float) -> DataFrame:
-    """All conjunctions of a store's tables: (cd_idx, i, j, tca, dca, states), by detection step, time and pair."""
+    """All conjunctions of a store's tables: (cd_idx, i, j, tca, dca, states), by detection step, time and pair. Without a primary nothing is searched."""
     check_parameters(threshold, interval)
-    check_types(objects)
+    if not check_types(objects):
+        return objects.sparkSession.createDataFrame([], schema.CONJUNCTIONS)
     coded = morton(aabbs(segments, max_t, interval, threshold))
     return listed(narrow_phase(collisions(coded, objects), segments, max_t, interval, threshold))
 

@@ -45,9 +45,12 @@ class Conjunctions:
 
     @classmethod
     def detect(cls, store: TrajectoryStore, threshold: float, interval: float, path: str) -> Conjunctions:
-        """Runs all stages over a store, one table each; the last one written makes the folder complete. Times go to the log."""
+        """Runs all stages over a store, one table each; the last one written makes the folder complete. Times go to the log.
+
+        Without a primary object the search for pairs and all behind it are skipped, and their tables are empty.
+        """
         cj.check_parameters(threshold, interval)
-        cj.check_types(store.objects)
+        search = cj.check_types(store.objects)
         spark, made = store.spark, cls(store.spark, path, threshold, interval, store.max_t)
 
         def stage(name: str, rows: DataFrame) -> DataFrame:
@@ -62,8 +65,9 @@ class Conjunctions:
 
         objects = stage("objects", store.objects)
         coded = stage("aabbs", cj.morton(cj.aabbs(store.segments, store.max_t, interval, threshold)))
-        pairs = stage("collisions", cj.collisions(coded, objects))
-        found = stage("found", cj.narrow_found(pairs, store.segments, store.max_t, interval, threshold))
+        nothing = {name: spark.createDataFrame([], columns) for name, columns in STAGES.items()}
+        pairs = stage("collisions", cj.collisions(coded, objects) if search else nothing["collisions"])
+        found = stage("found", cj.narrow_found(pairs, store.segments, store.max_t, interval, threshold) if search else nothing["found"])
         stage("conjunctions", cj.conjunctions_of(found, interval))
         stage("report", cj.report_of(found))
         runtime.delete(spark, f"{path}/found")

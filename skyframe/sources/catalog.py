@@ -9,6 +9,8 @@ import logging
 import math
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ NEEDED = ("NORAD_CAT_ID", "EPOCH", "MEAN_MOTION", "ECCENTRICITY", "INCLINATION",
 CONVENTIONS = {"TIME_SYSTEM": "UTC", "REF_FRAME": "TEME", "CENTER_NAME": "EARTH"}
 #: Raw names of a catalog's columns.
 RAW = {"NORAD_CAT_ID": "norad_id", "OBJECT_ID": "cospar_id", "OBJECT_NAME": "name", "EPOCH": "epoch", "MEAN_MOTION": "n0", "ECCENTRICITY": "e0", "INCLINATION": "i0", "RA_OF_ASC_NODE": "node0", "ARG_OF_PERICENTER": "omega0", "MEAN_ANOMALY": "m0", "BSTAR": "bstar"}
+#: The attributes of an SGP4 record, in the order of schema.GPE.
+RECORD = ("satnum", "jdsatepoch", "jdsatepochF", "no_kozai", "ecco", "inclo", "nodeo", "argpo", "mo", "bstar")
 REV_PER_DAY, DEGREE = 2 * math.pi / 1440, 2 * math.pi / 360
 
 
@@ -207,6 +211,32 @@ def to_gpes(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.GPE.fields))
 
 
+def elements(spark: SparkSession, data) -> DataFrame:
+    """Elements as a table of schema.GPE: from a Spark or pandas frame with its columns (others are left out, values cast), a NumPy array
+    with its fields in order, or a list of SGP4 records (RECORD names their attributes). What a driver holds is sent out as it is.
+    """
+    names = schema.GPE.fieldNames()
+    if isinstance(data, np.ndarray):
+        wanted = np.dtype([(f.name, "i8" if f.name == "norad_id" else "f8") for f in schema.GPE.fields])
+        if data.dtype != wanted or data.ndim != 1:
+            raise TypeError(f"an array of elements has one dimension and the fields {wanted}, not {data.ndim} and {data.dtype}")
+        data = pd.DataFrame({n: np.ascontiguousarray(data[n]) for n in names})
+    elif isinstance(data, list):
+        odd = next((x for x in data if not all(hasattr(x, a) for a in RECORD)), None)
+        if odd is not None:
+            raise TypeError(f"a {type(odd).__name__} is no SGP4 record")
+        data = pd.DataFrame([[getattr(x, a) for a in RECORD] for x in data], columns=names)
+    elif not isinstance(data, pd.DataFrame | DataFrame):
+        raise TypeError(f"elements come as a frame, an array or a list of records, not as {type(data).__name__}")
+    missing = [n for n in names if n not in data.columns]
+    if missing:
+        raise CatalogError(f"there is no {', '.join(missing)}")
+    if isinstance(data, DataFrame):
+        return to_gpes(data)
+    data = data[names].astype({n: "int64" if n == "norad_id" else "float64" for n in names})
+    return spark.createDataFrame(data, schema.GPE)
+
+
 def check_elements(gpes: DataFrame) -> DataFrame:
     """gpes, or a CatalogError: at least one row, all element columns that it has finite, and no epoch twice for an id."""
     odd = lambda c: F.col(c).isNull() | (F.isnan(c) | (F.abs(c) == float("inf")) if c != "norad_id" else F.lit(False))

@@ -361,6 +361,47 @@ def test_results_by_step(spark, tmp_path):
     assert none.conjunctions.count() == none.report.count() == none.aabb_collisions(0).count() == 0
 
 
+def test_without_primaries_nothing_is_searched(spark, tmp_path):
+    store = store_of(spark, line(1, -1, 0, 2), line(-1, 1, 0, 2))
+    others = TrajectoryStore.from_frames(store.objects.withColumn("otype", F.when(F.col("obj_idx") == 0, 2).otherwise(4)), store.segments)
+    assert cj.detect(others.objects, others.segments, others.max_t, 0.1, 0.75).columns == cj.detect(store.objects, store.segments, store.max_t, 0.1, 0.75).columns
+    made = results.Conjunctions.detect(others, 0.1, 0.75, str(tmp_path / "found"))
+    assert made.conjunctions.count() == made.report.count() == made.aabb_collisions(1).count() == 0
+    assert made.mcodes.count() == 6 and made.leaves(1).count() == 2
+    for odd in (3, None):
+        with pytest.raises(ValueError):
+            cj.check_types(store.objects.withColumn("otype", F.lit(odd).cast("int")))
+
+
+def test_boxes_of_odd_numbers_raise(spark):
+    """NaN and infinity don't get lost in minima and maxima: a box that isn't finite ends the job."""
+    store = store_of(spark, line(1, -1, 0, 0.5), line(-1, 1, 0, 0.5))
+    for bad in (math.nan, math.inf):
+        x = F.when(F.col("obj_idx") == 1, F.array(F.lit(bad), *(F.col("x")[k] for k in range(1, 4)))).otherwise(F.col("x"))
+        with pytest.raises(Exception, match="isn't finite"):
+            cj.aabbs(store.segments.withColumn("x", x), store.max_t, 0.25, 0.1).collect()
+
+
+def test_elements_from_arrays_and_records(spark):
+    import pandas as pd
+
+    names = schema.GPE.fieldNames()
+    rows = [(k, 2460000.5, 0.1 * k, 0.06, 0.001, 1.0, 2.0, 3.0, 0.5, 1e-5) for k in (5, 6)]
+    array = np.array(rows, dtype=[(n, "i8" if n == "norad_id" else "f8") for n in names])
+    frame = pd.DataFrame(rows, columns=names).assign(extra="x")
+    records = [type("Record", (), dict(zip(catalog.RECORD, r, strict=True)))() for r in rows]
+    text = spark.createDataFrame(frame.astype({"norad_id": str}))
+    for data in (array, array[::-1], frame, records, text):
+        got = catalog.check_elements(catalog.elements(spark, data))
+        assert got.schema == schema.GPE and sorted(map(tuple, got.collect())) == rows
+    assert catalog.elements(spark, array[:0]).count() == catalog.elements(spark, []).count() == 0
+    for odd in (array.astype([(n, "f8") for n in names]), [*records, 1], tuple(rows), array[None]):
+        with pytest.raises(TypeError):
+            catalog.elements(spark, odd)
+    with pytest.raises(catalog.CatalogError, match="bstar"):
+        catalog.elements(spark, frame.drop(columns="bstar"))
+
+
 def test_stores_in_buckets(spark, tmp_path):
     """Steps' lists of a store in buckets move nothing, one object is read from one bucket, and a mounted store knows its buckets."""
     store = store_of(spark, line(1, -1, 0, 2), line(-1, 1, 0, 2), (np.zeros((0, 4, 7)), []), line(5, 0, 0, 1))
