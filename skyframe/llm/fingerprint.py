@@ -2,10 +2,14 @@
 
 A text falls into paragraphs (lines; within a line, sentences, each with what separates it from the next; what is still longer than
 LONG is cut behind words that their own hash picks). Every paragraph gives a vector of LANES pseudo-random numbers of 32 bits, drawn
-from 128 bits of its SHA-256 digest, and its length as the mass of a cell, one of CELLS, which is its own but for a chance of 1 / CELLS with each other paragraph. A fingerprint is the sum of all
-paragraphs, lanes modulo 2 ** 32 and masses modulo 2 ** 31, so that paragraphs can be added or taken away without the rest, and
-order doesn't matter. Lanes tell texts apart; masses, as many as there are distinct paragraphs, give a likeness, the share of mass
-that two texts have in common.
+from 128 bits of its SHA-256 digest, and its length as the mass of a cell, one of CELLS, which is its own but for a chance of
+1 / CELLS with each other paragraph. A fingerprint is the sum of all paragraphs, lanes modulo 2 ** 32 and masses modulo 2 ** 31, so
+that paragraphs can be added or taken away without the rest, and order doesn't matter.
+
+Its size is bounded: of the masses, the SKETCH smallest cells stay, and the greatest of them is the bound, up to which masses are
+complete. Sums and differences hold up to the lesser bound, so that they are exact too, but after many deletions fewer than SKETCH
+cells may stay. Lanes and the total mass aren't cut: they tell texts apart. Masses give a likeness, the share of mass that two texts
+have in common: exact for texts of SKETCH distinct paragraphs or fewer, for longer ones that of a sample, the cells up to the lesser bound.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from . import common
 
 LANES = 64
 CELLS = 2**31
+SKETCH = 1024
 LONG, PICK = 200, 16
 _LANE, _MASS = 2**32, 2**31
 #: Cuts behind each line end and behind the space after a sentence.
@@ -60,8 +65,26 @@ def _by_cell(masses: Column) -> Column:
     return _let(F.sort_array(masses), lambda rows: _let(_starts(rows, lambda before, x, i: before["cell"] != x["cell"]), lambda starts: runs(rows, starts)))
 
 
+def _bounded(lanes: Column, total: Column, masses: Column, bound: Column) -> Column:
+    """The fingerprint with masses, in order of cells and complete up to `bound`, cut to the first SKETCH."""
+    def cut(rows: Column) -> Column:
+        last = F.when(F.size(rows) > SKETCH, F.get(rows, F.lit(SKETCH - 1))["cell"]).otherwise(bound)
+        return F.struct(lanes.alias("lanes"), total.alias("total"), last.alias("bound"), F.slice(rows, 1, SKETCH).alias("masses"))
+
+    return _let(masses, cut)
+
+
+def _sum(masses: Column) -> Column:
+    """The mass of an array of (cell, mass)."""
+    return F.aggregate(masses, F.lit(0).cast("long"), lambda s, m: s + m["mass"])
+
+
+def _up_to(masses: Column, bound: Column) -> Column:
+    return F.filter(masses, lambda m: m["cell"] <= bound)
+
+
 def add_up(paragraphs: Column) -> Column:
-    """The fingerprint of an array of paragraph vectors: a struct of lanes and masses, by cell.
+    """The fingerprint of an array of paragraph vectors: a struct of lanes, total mass, bound and masses by cell.
 
     Lambdas compute what they mention anew for each element, so `paragraphs` has to be a column, not an expression.
     """
@@ -70,32 +93,36 @@ def add_up(paragraphs: Column) -> Column:
         lambda j: F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: s + F.xxhash64(p["seed"], j).bitwiseAND(F.lit(_LANE - 1)), lambda s: F.pmod(s, F.lit(_LANE))),
     )
     masses = F.transform(paragraphs, lambda p: F.struct(p["cell"].alias("cell"), p["mass"].alias("mass")))
-    return F.struct(lanes.alias("lanes"), _by_cell(masses).alias("masses"))
+    return _bounded(lanes, F.pmod(_sum(paragraphs), F.lit(_MASS)), _by_cell(masses), F.lit(CELLS - 1))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the paragraphs of both a and b (sign 1), or of a's without b's (sign -1)."""
     lanes = F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(_LANE)))
-    masses = _by_cell(F.concat(a["masses"], F.transform(b["masses"], lambda m: F.struct(m["cell"].alias("cell"), (sign * m["mass"]).alias("mass")))))
-    return F.struct(lanes.alias("lanes"), F.filter(masses, lambda m: m["mass"] != 0).alias("masses"))
+    bound = F.least(a["bound"], b["bound"])
+    signed = F.transform(b["masses"], lambda m: F.struct(m["cell"].alias("cell"), (sign * m["mass"]).alias("mass")))
+    masses = F.filter(_by_cell(_up_to(F.concat(a["masses"], signed), bound)), lambda m: m["mass"] != 0)
+    return _bounded(lanes, F.pmod(a["total"] + sign * b["total"], F.lit(_MASS)), masses, bound)
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Lanes in hexadecimal, then cell:mass pairs."""
+    """Lanes, total mass and bound in hexadecimal, then cell:mass pairs."""
     lanes = F.array_join(F.transform(fingerprint["lanes"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
     masses = F.array_join(F.transform(fingerprint["masses"], lambda m: F.concat(F.lower(F.hex(m["cell"])), F.lit(":"), F.lower(F.hex(m["mass"])))), ",")
-    return F.concat(lanes, F.lit("/"), masses)
+    return F.concat_ws("/", lanes, F.lower(F.hex(fingerprint["total"])), F.lower(F.hex(fingerprint["bound"])), masses)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1.0 for equal fingerprints, else the common share of mass, from 0 to 1."""
-    zero = F.lit(0).cast("long")
-    total = lambda f: F.aggregate(f["masses"], zero, lambda s, m: s + m["mass"])
+    """1.0 for equal fingerprints, else the common share of mass up to the lesser bound, from 0 to 1 and below 1."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     # a cell that both have stands twice in a row
     lesser = lambda rows: F.transform(rows, lambda x, i: F.when(F.get(rows, i - 1)["cell"] == x["cell"], F.get(rows, i - 1)["mass"]).otherwise(zero))
-    both = F.aggregate(_let(F.sort_array(F.concat(a["masses"], b["masses"])), lesser), zero, lambda s, m: s + m)
-    share = _let(both, lambda x: x / F.greatest(total(a) + total(b) - x, F.lit(1).cast("long")))
-    return F.when(a["lanes"] == b["lanes"], F.lit(1.0)).otherwise(share.cast("double"))
+    common_mass = lambda rows: F.aggregate(_let(rows, lesser), zero, lambda s, m: s + m)
+    of = lambda rows: _let(common_mass(rows), lambda x: x / F.greatest(_sum(rows) - x, one))
+    share = _let(F.least(a["bound"], b["bound"]), lambda bound: _let(F.sort_array(_up_to(F.concat(a["masses"], b["masses"]), bound)), of))
+    # texts with other lanes differ by a character at least, which a sample may not show
+    most = 1 - 1 / F.greatest(a["total"] + b["total"], one)
+    return F.when(a["lanes"] == b["lanes"], F.lit(1.0)).otherwise(F.least(share, most).cast("double"))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -118,22 +145,26 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     The edited text has the last half of a text's code points replaced by the first as many of the next document's. Rows of one
     doc_id are next to the same row; the one with the least text stands for them. A null doc_id has no next: nothing replaces
-    its last half, and near_next is null. The texts move once by doc_id, and the halves that others need once more.
+    its last half, and near_next is null; such rows aren't sorted. Columns beside doc_id and text play no part, and an empty table
+    gives an empty one. Each text is fingerprinted once, before it moves by doc_id; the halves that others need move once more.
     """
+    def printed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_p", vectors(F.col("text"))).select("id", "text", add_up(F.col("_p")).alias("f"))
+
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = rows.filter("id is not null").groupBy("id").agg(F.max(F.length("text")).alias("n"))
-    links = neighbours(ids)
-    placed = rows.join(links.hint("merge"), "id", "left")
+    known = rows.filter("id is not null")
+    links = neighbours(known.groupBy("id").agg(F.max(F.length("text")).alias("n")))
+    placed = printed(known).join(links.hint("merge"), "id")
     first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
-    given = placed.withColumn("_k", first).filter("_k = 1 and before_id is not null")
-    given = given.select(F.col("before_id").alias("_for"), F.substr("text", F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("start"), vectors(F.col("text")).alias("_p"))
-    given = given.select("_for", "start", add_up(F.col("_p")).alias("next_f"))
-    joined = placed.join(given.hint("merge"), F.col("id") == F.col("_for"), "left")
+    given = placed.withColumn("_k", first).filter("_k = 1")
+    given = given.select(F.col("before_id").alias("_for"), F.substr("text", F.lit(1), F.floor(F.col("before_n") / 2).cast("int")).alias("start"), F.col("f").alias("next_f"))
+    joined = placed.join(given.hint("merge"), F.col("id") == F.col("_for"), "left").select("id", "text", "f", "start", "next_f")
+    joined = joined.unionByName(printed(rows.filter("id is null")), allowMissingColumns=True)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("start", F.lit("")), F.lit(1), half))
-    out = joined.select("id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_f")
-    out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("text")).alias("p"), vectors(F.col("edited")).alias("q"), "next_f")
-    out = out.select("id", "n_chars", "edited_sha256", add_up(F.col("p")).alias("f"), add_up(F.col("q")).alias("e"), "next_f")
+    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "f", "next_f")
+    out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("edited")).alias("q"), "f", "next_f")
+    out = out.select("id", "n_chars", "edited_sha256", "f", add_up(F.col("q")).alias("e"), "next_f")
     near_next = F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f")))
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), near_next.alias("near_next"))

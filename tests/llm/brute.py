@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import re
 
+import regex
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -66,3 +70,37 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return out
         full |= over
+
+
+def paragraphs(text, long=200, pick=16):
+    out = []
+    for part in regex.split(r"(?V1)(?<=\n)|(?<=[.!?] )", text):
+        if len(part) <= long:
+            out.append(part)
+            continue
+        run = ""
+        for word in regex.split(r"(?V1)(?<=[^\p{L}\p{M}]|[\u2E80-\uD7FF])", part):
+            run += word
+            if xxhash.xxh64_intdigest(word.encode(), 42) % pick == 0:
+                out.append(run)
+                run = ""
+        out.append(run)
+    return [p for p in out if p]
+
+
+def fingerprint(text, sketch, lanes=64):
+    """(the string, {cell: mass} of all paragraphs)."""
+    sums, masses = [0] * lanes, collections.Counter()
+    for p in paragraphs(text):
+        seed = xxhash.xxh64_intdigest(hashlib.sha256(p.encode()).hexdigest()[:32].encode(), 42)
+        masses[seed % 2**31] += len(p)
+        for j in range(lanes):
+            sums[j] += xxhash.xxh64_intdigest(j.to_bytes(4, "little"), seed)
+    cells = sorted(masses)
+    bound = cells[sketch - 1] if len(cells) > sketch else 2**31 - 1
+    kept = ",".join(f"{c:x}:{masses[c]:x}" for c in cells[:sketch])
+    return f"{''.join(f'{x % 2**32:08x}' for x in sums)}/{masses.total():x}/{bound:x}/{kept}", masses
+
+
+def share(a, b):
+    return sum((a & b).values()) / max(1, sum((a | b).values()))

@@ -579,10 +579,50 @@ def test_fingerprints(spark, odd, none):
     for i, t in docs:
         texts[t].add(got[i].fingerprint)
     assert all(len(v) == 1 for v in texts.values()) and len({f for v in texts.values() for f in v}) == len(texts)
-    assert fingerprint.edited_fingerprints(odd).count() == odd.count()
+    every = fingerprint.edited_fingerprints(odd).collect()
+    assert len(every) == odd.count()
+    for r in every:
+        assert (r.near_next is None) == (r.doc_id is None)
     assert fingerprint.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_are_those_of_a_plain_version(spark, small):
+    """Every column, on a table with texts far longer than a sketch; likeness is exact up to the sketch and near the share beyond."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    draw = np.random.default_rng(5)
+    top = max(i for i, _ in rows)
+    lines = [" ".join(f"w{k}" for k in draw.integers(0, 5000, 6)) + "\n" for _ in range(6000)]
+    long = ["".join(lines[:3000]), "".join(lines[1000:5000]), "".join(lines[:2500] + lines[5500:])]
+    rows += [(top + 1 + k, t) for k, t in enumerate(long)]
+    docs = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(docs)
+    cut = 0
+    for k, (i, t) in enumerate(docs):
+        after, half = docs[(k + 1) % len(docs)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        (want, mine), (want_edited, theirs), (_, nexts) = (brute.fingerprint(x, fingerprint.SKETCH) for x in (t, edited, after))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), want, want_edited)
+        for near, other, same in ((r.near_edited, theirs, t == edited), (r.near_next, nexts, t == after)):
+            small_enough = max(len(mine), len(other)) <= fingerprint.SKETCH
+            assert near == pytest.approx(1 if same else brute.share(mine, other), abs=1e-9 if small_enough else 0.05)
+            cut += not small_enough
+    assert cut >= 5
+
+
+def test_cut_fingerprints_add_and_take_away(spark):
+    """Sums and differences of cut fingerprints hold what is complete up to the lesser bound."""
+    lines = [f"line {k}\n" for k in range(6000)]
+    df = spark.createDataFrame([("".join(lines), "".join(lines[:4000]), "".join(lines[4000:]))], "whole string, a string, b string")
+    f = {c: fingerprint.add_up(F.col(c)) for c in df.columns}
+    df = df.select(*(fingerprint.vectors(F.col(c)).alias(c) for c in df.columns)).select(*(f[c].alias(c) for c in df.columns))
+    row = df.select("whole", "b", fingerprint.combine(F.col("a"), F.col("b")).alias("both"), fingerprint.combine(F.col("whole"), F.col("a"), -1).alias("rest")).first()
+    assert row.both == row.whole and len(row.whole.masses) == fingerprint.SKETCH
+    upto = [m for m in row.b.masses if m.cell <= row.rest.bound]
+    assert (row.rest.lanes, row.rest.total, row.rest.masses) == (row.b.lanes, row.b.total, upto) and len(upto) > 200
+
+
 def test_fingerprints_add_and_take_away(spark):
     df = spark.createDataFrame([("one. two. three\nfour\n", "four\nthree\none. two. ", "three\nfour\n", "one. two. ")], "whole string, other string, a string, b string")
     f = {c: fingerprint.add_up(F.col(c)) for c in df.columns}
