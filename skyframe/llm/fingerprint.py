@@ -105,6 +105,28 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     return _bounded(lanes, F.pmod(a["total"] + sign * b["total"], F.lit(_MASS)), masses, bound)
 
 
+def packed(fingerprint: Column) -> Column:
+    """A fingerprint with numbers of 32 bits in plain arrays, as it moves between tasks."""
+    rows = fingerprint["masses"]
+    return F.struct(
+        F.transform(fingerprint["lanes"], lambda x: (x - _MASS).cast("int")).alias("lanes"),
+        fingerprint["total"].cast("int").alias("total"),
+        fingerprint["bound"].alias("bound"),
+        F.transform(rows, lambda m: m["cell"]).alias("cells"),
+        F.transform(rows, lambda m: m["mass"].cast("int")).alias("masses"),
+    )
+
+
+def unpacked(fingerprint: Column) -> Column:
+    """What packed() was given."""
+    return F.struct(
+        F.transform(fingerprint["lanes"], lambda x: x.cast("long") + _MASS).alias("lanes"),
+        fingerprint["total"].cast("long").alias("total"),
+        fingerprint["bound"].alias("bound"),
+        F.zip_with(fingerprint["cells"], fingerprint["masses"], lambda c, m: F.struct(c.alias("cell"), m.cast("long").alias("mass"))).alias("masses"),
+    )
+
+
 def as_text(fingerprint: Column) -> Column:
     """Lanes, total mass and bound in hexadecimal, then cell:mass pairs."""
     lanes = F.array_join(F.transform(fingerprint["lanes"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
@@ -149,7 +171,8 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     gives an empty one. Each text is fingerprinted once, before it moves by doc_id; the halves that others need move once more.
     """
     def printed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_p", vectors(F.col("text"))).select("id", "text", add_up(F.col("_p")).alias("f"))
+        rows = rows.withColumn("_p", vectors(F.col("text"))).withColumn("_f", add_up(F.col("_p")))
+        return rows.select("id", "text", packed(F.col("_f")).alias("f"))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.filter("id is not null")
@@ -163,7 +186,8 @@ def edited_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("start", F.lit("")), F.lit(1), half))
-    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "f", "next_f")
+    next_f = F.when(F.col("next_f").isNotNull(), unpacked(F.col("next_f")))
+    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), unpacked(F.col("f")).alias("f"), next_f.alias("next_f"))
     out = out.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), vectors(F.col("edited")).alias("q"), "f", "next_f")
     out = out.select("id", "n_chars", "edited_sha256", "f", add_up(F.col("q")).alias("e"), "next_f")
     near_next = F.when(F.col("next_f").isNotNull(), likeness(F.col("f"), F.col("next_f")))
