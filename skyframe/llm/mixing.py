@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 The mix is as many equal blocks of words as the corpus has. Sources get blocks by highest quotients (target / (2 k + 1)), and a
-source's blocks go to its shards the same way by their sizes. A shard is a bounded number of documents in seeded order, seen as a
-ring of words; from a seeded block on, its quota of blocks is taken round the ring, so that words repeat only after all others.
+source's blocks go to its shards the same way by their sizes. A shard is a bounded number of documents in seeded order, its words
+cut into blocks; it gives all its blocks as often as its quota holds them, and of the rest those of the lowest seeded ranks, so that
+words repeat only after all others.
 """
 
 from __future__ import annotations
@@ -85,8 +86,10 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """(doc_id, size, source, source_size, target, taken, copies) for every row of docs.
 
     size counts words, 0 for null texts; taken counts the words that the mix takes from the row, repeats included, at most
-    `most` times its size; copies is how often its first word is taken, for mixes of whole documents. Rows that agree in doc_id,
-    source and size are interchangeable, and each is mixed in its own right.
+    `most` (if not whole, the next whole number) times its size. A shard's quota is rounded to whole blocks, its last block may be shorter.
+    copies is for mixes of whole documents: how often a run of as many words over the shard's documents, as a ring from a seeded
+    block on, begins the row. Rows that agree in doc_id, source and size are interchangeable, and each is mixed in its own right.
+    A null doc_id is an id like others, a null source a source; an empty table gives an empty one, other columns play no part.
     """
     sized = common.materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size")), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -104,18 +107,29 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     shards = sized.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int"))
     shards = shards.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_blocks").alias("source_blocks"))
     shards = apportion(shards, ["source"], "words", "source_blocks", [F.col("shard")], "shard_blocks")
-    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_blocks")
+    words = F.col("words")
+    shards = shards.withColumn("_run", F.least(F.col("shard_blocks") * block_words, F.floor(F.lit(most) * words).cast("long")))
+    shards = shards.withColumn("_full", F.when(words > 0, F.floor(F.col("_run") / words)).otherwise(F.lit(0)).cast("long"))
+    shards = shards.withColumn("_rest", F.floor((F.col("_run") - F.col("_full") * words + block_words // 2) / block_words).cast("int"))
+    # the rank of a block; distinct in a shard, as the hash of a long is one to one
+    rank = lambda k: F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard"), k.cast("long"))
+    ranks = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(words / block_words).cast("long") - 1), rank)
+    shards = shards.withColumn("_last", F.when(F.col("_rest") > 0, F.element_at(F.sort_array(ranks), F.col("_rest"))))
+    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "_run", "_full", "_last")
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
-    run = F.least(F.col("shard_blocks") * block_words, F.floor(F.lit(most) * F.col("shard_size")).cast("long"))
+    begin, size = F.col("begin"), F.col("size")
+    overlap = lambda k: F.least(begin + size, (k + 1) * block_words) - F.greatest(begin, k * block_words)
+    blocks_of = F.sequence(F.floor(begin / block_words).cast("long"), F.floor((begin + size - 1) / block_words).cast("long"))
+    chosen = F.aggregate(blocks_of, F.lit(0).cast("long"), lambda n, k: n + F.when(rank(k) <= F.col("_last"), overlap(k)).otherwise(F.lit(0).cast("long")))
+    taken = F.col("_full") * size + F.when((size > 0) & F.col("_last").isNotNull(), chosen).otherwise(F.lit(0).cast("long"))
+
     n_blocks = F.greatest(F.floor(F.col("shard_size") / block_words), F.lit(1))
-    first = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n_blocks) * block_words
-    placed = placed.withColumns({"_run": run, "_first": first})
-    # the run is [first, first + run) on an endless ring: how much of [begin, begin + size) + k * shard_size lies in it
-    reach = lambda x: F.when(F.col("shard_size") > 0, F.floor(x / F.col("shard_size")) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.pmod(x, F.col("shard_size")) - F.col("begin")))).otherwise(F.lit(0))
-    starts = lambda x: F.when((F.col("shard_size") > 0) & (F.col("size") > 0), F.floor(x / F.col("shard_size")) + (F.pmod(x, F.col("shard_size")) > F.col("begin")).cast("long")).otherwise(F.lit(0))
-    end = F.col("_first") + F.col("_run")
-    return placed.select("doc_id", "size", "source", "source_size", "target", (reach(end) - reach(F.col("_first"))).cast("long").alias("taken"), (starts(end) - starts(F.col("_first"))).cast("long").alias("copies"))
+    placed = placed.withColumn("_first", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n_blocks) * block_words)
+    # the run is [first, first + run) on an endless ring: how often it begins the row at begin + k * shard_size
+    starts = lambda x: F.when((F.col("shard_size") > 0) & (size > 0), F.floor(x / F.col("shard_size")) + (F.pmod(x, F.col("shard_size")) > begin).cast("long")).otherwise(F.lit(0))
+    copies = starts(F.col("_first") + F.col("_run")) - starts(F.col("_first"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:

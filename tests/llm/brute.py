@@ -104,3 +104,39 @@ def fingerprint(text, sketch, lanes=64):
 
 def share(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def spark_hash(*values):
+    """xxhash64 of Spark: strings, ints of 4 bytes as (n, 4), longs as (n, 8); null leaves it as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def taken(docs, block, shard_docs, seed=7, most=3):
+    """{doc_id: words taken}; docs: (doc_id, source, size) with unique ids and no null source."""
+    sizes = collections.Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    order = sorted(sizes)
+    want = targets({s: sizes[s] for s in order})
+    quotas = dict(zip(order, sainte_lague([want[s] for s in order], int(sum(want.values()) / block + 0.5)), strict=True))
+    out = {}
+    for s in order:
+        mine = [(d, n) for d, t, n in docs if t == s]
+        shards = collections.defaultdict(list)
+        for d, n in mine:
+            shards[spark_hash((seed, 4), (d, 8)) % -(-len(mine) // shard_docs)].append((spark_hash((seed + 1, 4), (d, 8)), d, n))
+        keys = sorted(shards)
+        for k, seats in zip(keys, sainte_lague([sum(n for *_, n in shards[k]) for k in keys], quotas[s]), strict=True):
+            owner = [d for _, d, n in sorted(shards[k]) for _ in range(n)]
+            run = min(seats * block, most * len(owner))
+            full, rest = divmod(run, len(owner)) if owner else (0, 0)
+            out |= {d: full * n for _, d, n in shards[k]}
+            ranked = sorted(range(-(-len(owner) // block)), key=lambda b: spark_hash((seed + 2, 4), s, (k, 4), (b, 8)))
+            for b in ranked[: (rest + block // 2) // block]:
+                for d in owner[b * block : (b + 1) * block]:
+                    out[d] += 1
+    return out

@@ -154,6 +154,12 @@ def test_mixing(odd, none):
     assert out.columns == odd.columns and out.subtract(odd).count() == 0
 
 
+def test_mixing_takes_what_a_plain_version_takes(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("source is not null").dropDuplicates(["doc_id"])
+    rows = [(r.doc_id, r.source, len(brute.words(r.text))) for r in docs.select("doc_id", "source", "text").collect()]
+    assert {r.doc_id: r.taken for r in mixing.mix(docs, shard_docs=20).collect()} == brute.taken(rows, 16, 20)
+
+
 # quality rules
 
 
