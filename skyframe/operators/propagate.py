@@ -208,7 +208,23 @@ def fit_rows(row: dict, t0: float, begin: float, end: float, *, order: int = ORD
 def propagate(gpes: DataFrame, jd_begin: float, *, order: int = ORDER, reentry: float = 0.0, leave: float = math.inf) -> tuple[DataFrame, DataFrame]:
     """(objects, segments) from rows of elements with obj_idx, norad_id, the elements, `epoch` and an interval [begin, end) as dates.
 
-    Dates are plain Julian dates of one uniform scale. Each satellite is one group of its few rows of elements.
+    Dates are plain Julian dates of one uniform scale. Both are read from fitted(); write that first where both are wanted.
+    """
+    rows = fitted(gpes, jd_begin, order=order, reentry=reentry, leave=leave)
+    return objects_of(rows).drop("n_steps", "t_end"), rows.filter("step_idx >= 0").select(*(f.name for f in schema.SEGMENTS.fields))
+
+
+def objects_of(fitted: DataFrame) -> DataFrame:
+    """One row an object of fitted(), with its number of steps and its end (null: no steps)."""
+    steps = F.count_if(F.col("step_idx") >= 0)
+    return fitted.groupBy("obj_idx").agg(F.max("status").alias("status"), F.max("norad_id").alias("norad_id"), F.lit(schema.PRIMARY).alias("otype"), F.when(steps > 0, steps).alias("n_steps"), F.max("t_end").alias("t_end"))
+
+
+def fitted(gpes: DataFrame, jd_begin: float, *, order: int = ORDER, reentry: float = 0.0, leave: float = math.inf) -> DataFrame:
+    """Segments with norad_id and status; step_idx is -1 in the one row of an object without segments.
+
+    Each satellite is one group of its few rows of elements. These are dealt by object to as many tasks as shuffles have: their bytes
+    are few, but not the work that follows from them.
     """
     runtime.ready(gpes.sparkSession)
     columns = [f.name for f in schema.SEGMENTS.fields]
@@ -231,9 +247,8 @@ def propagate(gpes: DataFrame, jd_begin: float, *, order: int = ORDER, reentry:
         return pd.DataFrame(out, columns=[*columns, "norad_id", "status"])
 
     ddl = "obj_idx long, step_idx int, t_begin double, t_end double, " + ", ".join(f"{c} array<double>" for c in schema.COORDS) + ", norad_id long, status int"
-    fitted = gpes.groupBy("obj_idx").applyInPandas(run, ddl)
-    objects = fitted.groupBy("obj_idx").agg(F.max("status").alias("status"), F.max("norad_id").alias("norad_id"), F.lit(schema.PRIMARY).alias("otype"))
-    return objects, fitted.filter("step_idx >= 0").select(*columns)
+    tasks = int(gpes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return gpes.repartition(tasks, "obj_idx").groupBy("obj_idx").applyInPandas(run, ddl)
 
 
 def states(gpes: DataFrame, minutes: list[float]) -> DataFrame:

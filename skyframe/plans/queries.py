@@ -555,6 +555,4 @@ def _(spark, d):
 @query("sgp4_fit")
 def _(spark, d):
     rows = b.gpes(spark, d).withColumns({"epoch": F.col("epoch_jd1") + F.col("epoch_jd2"), "obj_idx": F.col("norad_id") - 1, "begin": F.lit(2460000.5), "end": F.lit(2460000.75)})
-    objects, segments = propagate.propagate(rows, 2460000.5)
-    per = segments.groupBy("obj_idx").agg(F.count(F.lit(1)).alias("n_steps"), F.max("t_end").alias("t_end"))
-    return objects.join(per, "obj_idx", "left").select("obj_idx", "norad_id", "status", "n_steps", "t_end")
+    return propagate.objects_of(propagate.fitted(rows, 2460000.5)).select("obj_idx", "norad_id", "status", "n_steps", "t_end")
