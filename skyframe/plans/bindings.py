@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small table from which many follow: a file of few bytes would make one task of them all."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return rows.select(F.col("k").alias("obj_idx"), F.expr("IF(k%7=0, 13, 0)").alias("status"), (F.col("k") + 40000).alias("norad_id"), F.expr(OTYPE).alias("otype"))
@@ -32,7 +37,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str, begins: dict[str, str] = START) -> DataFrame:
     """Two steps of a day each for all objects that move."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter(MOVES)
+    rows = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).filter(MOVES), "k")
     rows = rows.withColumn("step_idx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("t_begin", F.expr(f"CAST({BEGIN} AS DOUBLE)") + F.col("step_idx"))
     zero = F.lit(0.0)
     out = {}

@@ -19,3 +19,8 @@ def test_elements_are_fitted_once_and_by_many_tasks(spark, small):
     per = {r.obj_idx: (r.n, r.t) for r in segments.groupBy("obj_idx").agg(F.count("x").alias("n"), F.max("t_end").alias("t")).collect()}
     mine = propagate.objects_of(propagate.fitted(gpes, 2460000.5)).collect()
     assert {r.obj_idx: (r.n_steps, r.t_end) for r in mine} == per and objects.columns == ["obj_idx", "status", "norad_id", "otype"]
+
+
+def test_segments_of_a_small_file_are_many_tasks(spark, small):
+    """A file of few bytes, from which many boxes follow, isn't one task."""
+    assert b.segments(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
