@@ -66,8 +66,8 @@ class Conjunctions:
         objects = stage("objects", store.objects)
         coded = stage("aabbs", cj.morton(cj.aabbs(store.segments, store.max_t, interval, threshold)))
         nothing = {name: spark.createDataFrame([], columns) for name, columns in STAGES.items()}
-        pairs = stage("collisions", cj.collisions(coded, objects) if search else nothing["collisions"])
-        found = stage("found", cj.narrow_found(pairs, store.segments, store.max_t, interval, threshold) if search else nothing["found"])
+        stage("collisions", cj.collisions(coded, objects) if search else nothing["collisions"])
+        found = stage("found", cj.search_found(coded, objects, store.segments, store.max_t, interval, threshold) if search else nothing["found"])
         stage("conjunctions", cj.conjunctions_of(found, interval))
         stage("report", cj.report_of(found))
         runtime.delete(spark, f"{path}/found")

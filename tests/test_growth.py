@@ -24,3 +24,53 @@ def test_elements_are_fitted_once_and_by_many_tasks(spark, small):
 def test_segments_of_a_small_file_are_many_tasks(spark, small):
     """A file of few bytes, from which many boxes follow, isn't one task."""
     assert b.segments(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_nodes_are_never_broadcast(spark, small):
+    """Spark expects the size of the file for tables with a row a leaf or a node; only bounds and depths of steps may be broadcast."""
+    coded = cj.morton(cj.aabbs(b.segments(spark, small), b.MAX_T, b.INTERVAL, b.THRESHOLD))
+    plan = cj.bvh_tree(coded)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 4
+
+
+def test_crowded_cells_meet_by_blocks(spark, monkeypatch):
+    """Pairs of a cell of many blocks, counts of types, and whole groups of small batches are those of the plain search."""
+    draw = np.random.default_rng(17)
+    middle = draw.uniform(0, 3, (150, 4))
+    coded = cj.morton(spark.createDataFrame([(0, i, *(m - 0.5).tolist(), *(m + 0.5).tolist()) for i, m in enumerate(middle)], cj.BOX_DDL))
+    objects = spark.createDataFrame([(i, (1, 2, 4)[i % 3]) for i in range(150)], "obj_idx long, otype int")
+    low, high = (middle + s * 0.5 for s in (-1, 1))
+    near = {(0, i, j) for i in range(150) for j in range(i + 1, 150) if i % 3 + j % 3 <= 1 and (np.float32(high[i]) >= np.float32(low[j])).all() and (np.float32(low[i]) <= np.float32(high[j])).all()}
+    monkeypatch.setattr(cj, "BLOCK", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found, naive = ([tuple(r) for r in f(coded, objects).collect()] for f in (cj.collisions, cj.collisions_naive))
+        types = {(r.type_i, r.type_j): r.n for r in cj.collisions_by_type(coded, objects).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(set(found)) == len(naive) and set(found) == set(naive) == near
+    assert types == {k: n for k in ((1, 1), (1, 2), (2, 1)) if (n := sum(((1, 2)[i % 3], (1, 2)[j % 3]) == k for _, i, j in near))}
+
+
+def test_pairs_are_never_moved(spark, small):
+    """Between the search for pairs and what it finds there is no shuffle: pairs grow with the square of the boxes."""
+    plan = core.QUERIES["aabb_collisions"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "Exchange" not in top and "Join" not in top
+
+
+def test_long_lists_in_cells_are_swept():
+    """Lists of segments of two objects meet as in swept(), short and long ones."""
+    draw = np.random.default_rng(19)
+    n = draw.integers(1, 12, 40)
+    first, start, stop = np.cumsum(n) - n, [], []
+    for k in n:
+        times = np.sort(draw.choice(60, k + 1, replace=False)).astype(float)
+        start, stop = [*start, *times[:-1]], [*stop, *times[1:]]
+    start, stop = np.array(start), np.array(stop)
+    i, j = np.array([(x, y) for x in range(40) for y in range(x + 1, 40)]).T
+    p, k, m = cj._swept_rows(i, j, first, n, start)
+    ok = np.maximum(start[k], start[m]) < np.minimum(stop[k], stop[m])
+    segs = lambda x: range(first[x], first[x] + n[x])
+    wanted = sorted((r, a, c) for r, (x, y) in enumerate(zip(i, j, strict=True)) for a in segs(x) for c in segs(y) if max(start[a], start[c]) < min(stop[a], stop[c]))
+    assert sorted(zip(p[ok], k[ok], m[ok], strict=True)) == wanted
