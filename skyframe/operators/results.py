@@ -68,7 +68,7 @@ class Conjunctions:
         nothing = {name: spark.createDataFrame([], columns) for name, columns in STAGES.items()}
         stage("collisions", cj.collisions(coded, objects) if search else nothing["collisions"])
         found = stage("found", cj.search_found(coded, objects, store.segments, store.max_t, interval, threshold) if search else nothing["found"])
-        stage("conjunctions", cj.conjunctions_of(found, interval))
+        stage("conjunctions", cj.told(found))
         stage("report", cj.report_of(found))
         runtime.delete(spark, f"{path}/found")
         meta = "version int, threshold double, interval double, max_t double"

@@ -311,36 +311,37 @@ _CONJ = (
 )
 
 
-def _searched(spark, d) -> DataFrame:
-    return cj.search_found(_coded(spark, d), b.objects(spark, d), b.segments(spark, d), b.MAX_T, b.INTERVAL, b.THRESHOLD)
+def _report(spark, d) -> DataFrame:
+    """What the narrow phase counts, without what it finds."""
+    return cj.report_of(cj.search_found(_coded(spark, d), b.objects(spark, d), b.segments(spark, d), b.MAX_T, b.INTERVAL, b.THRESHOLD, cj.REPORT))
 
 
-def _found(spark, d) -> DataFrame:
-    return cj.conjunctions_of(_searched(spark, d), b.INTERVAL)
+def _found(spark, d, *columns: str, objects: DataFrame | None = None) -> DataFrame:
+    """The wanted columns of what is found: in no order, as SQL asks for none."""
+    return cj.detected(b.objects(spark, d) if objects is None else objects, b.segments(spark, d), b.MAX_T, b.THRESHOLD, b.INTERVAL, columns)
 
 
 @query("conjunctions", f"{_CONJ} SELECT cd_idx, i, j, ROUND(tca,6)+0.0 AS tca, ROUND(dca,6)+0.0 AS dca FROM conj")
 def _(spark, d):
-    return cj.detect(b.objects(spark, d), b.segments(spark, d), b.MAX_T, b.THRESHOLD, b.INTERVAL).select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"))
+    return _found(spark, d, "cd_idx", "i", "j", "tca", "dca").select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"))
 
 
 @query("rel_speed", f"{_CONJ} SELECT i, j, ROUND(tca,6)+0.0 AS tca, ROUND(speed,6)+0.0 AS rel_speed FROM conj")
 def _(spark, d):
-    speed = F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return _found(spark, d).select("i", "j", _r("tca").alias("tca"), _r(speed).alias("rel_speed"))
+    square = lambda k: (F.col("vi")[k] - F.col("vj")[k]) * (F.col("vi")[k] - F.col("vj")[k])
+    speed = F.sqrt(square(0) + square(1) + square(2))
+    return _found(spark, d, "i", "j", "tca", "vi", "vj").select("i", "j", _r("tca").alias("tca"), _r(speed).alias("rel_speed"))
 
 
 @query("conj_ids", f"{_CONJ} SELECT i+40000 AS norad_i, j+40000 AS norad_j, ROUND(dca,6)+0.0 AS dca FROM conj")
 def _(spark, d):
-    ids = b.objects(spark, d).select("obj_idx", "norad_id")
-    found = _found(spark, d).select("i", "j", _r("dca").alias("dca"))
-    found = found.join(ids.withColumnsRenamed({"obj_idx": "i", "norad_id": "norad_i"}), "i").join(ids.withColumnsRenamed({"obj_idx": "j", "norad_id": "norad_j"}), "j")
-    return found.select("norad_i", "norad_j", "dca")
+    kind = b.objects(spark, d).schema["norad_id"].dataType
+    return _found(spark, d, "norad_id_i", "norad_id_j", "tca", "dca").select(*(F.col(f"norad_id_{s}").cast(kind).alias(f"norad_{s}") for s in "ij"), _r("dca").alias("dca"))
 
 
 @query("tca_utc", f"{_CONJ} SELECT i, j, strftime(TIMESTAMP '2023-02-25 00:00:00' + to_milliseconds(CAST(ROUND(ROUND(tca,6)*86400000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS tca_utc FROM conj")
 def _(spark, d):
-    rows = _found(spark, d).select("i", "j", F.round("tca", 6).alias("tca"))
+    rows = _found(spark, d, "i", "j", "tca").select("i", "j", F.round("tca", 6).alias("tca"))
     rows = timescale.with_pair(rows, timescale.utc_to_tai((F.lit(2460000.5), F.lit(0.0))), "a", "b")
     rows = timescale.with_pair(rows, timescale.dl_add((F.col("a"), F.col("b")), (F.col("tca"), F.lit(0.0))), "hi", "lo")
     rows = timescale.with_pair(rows, timescale.tai_to_utc((F.col("hi"), F.col("lo"))), "hi", "lo")
@@ -349,10 +350,7 @@ def _(spark, d):
 
 @query("conjunctions_boundary", f"{_CONJ} SELECT i, j, ROUND(tca,6)+0.0 AS tca, ROUND(dca,6)+0.0 AS dca, kind = 1 AS at_begin FROM conj WHERE kind > 0")
 def _(spark, d):
-    ends = b.segments(spark, d).groupBy("obj_idx").agg(F.min("t_begin").alias("born"), F.max("t_end").alias("dead"))
-    rows = _found(spark, d).select("i", "j", "tca", "dca")
-    for s in "ij":
-        rows = rows.join(ends.withColumnsRenamed({"obj_idx": s, "born": f"born_{s}", "dead": f"dead_{s}"}), s)
+    rows = _found(spark, d, "i", "j", "tca", "dca", *(f"{c}_{s}" for c in ("born", "dead") for s in "ij"))
     begin, end = (F.abs(F.col("tca") - edge) < 1e-9 for edge in (F.greatest("born_i", "born_j"), F.least("dead_i", "dead_j")))
     return rows.filter(begin | end).select("i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"), begin.alias("at_begin"))
 
@@ -363,7 +361,7 @@ _TYPES = "CASE WHEN {k}%3=0 THEN 1 WHEN {k}%3=1 THEN 2 ELSE 4 END"
 @query("conjunctions_otypes", f"{_CONJ.replace(b.OTYPE.replace('k%', 'c_custkey%'), _TYPES.format(k='c_custkey'))} SELECT cd_idx, i, j, ROUND(tca,6)+0.0 AS tca, ROUND(dca,6)+0.0 AS dca FROM conj")
 def _(spark, d):
     objects = b.objects(spark, d).withColumn("otype", F.expr(_TYPES.format(k="obj_idx")))
-    return cj.detect(objects, b.segments(spark, d), b.MAX_T, b.THRESHOLD, b.INTERVAL).select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"))
+    return _found(spark, d, "cd_idx", "i", "j", "tca", "dca", objects=objects).select("cd_idx", "i", "j", _r("tca").alias("tca"), _r("dca").alias("dca"))
 
 
 @query(
@@ -379,7 +377,7 @@ def _(spark, d):
 
 @query("np_report")
 def _(spark, d):
-    return cj.report_of(_searched(spark, d))
+    return _report(spark, d)
 
 
 _D2 = " + ".join("(d{0}+w{0}*({{t}}))*(d{0}+w{0}*({{t}}))".format(a) for a in "xyz")
@@ -397,8 +395,7 @@ _WINDOWS = (
     f"COUNT(*) FILTER (w1 = z AND qa*w1+qb < 0 AND {_NEAR.format(_D2.format(t='w1'))}) AS end_hits, COUNT(*) FILTER (w0 = a AND qa*w0+qb > 0 AND {_NEAR.format(_D2.format(t='w0'))}) AS begin_hits FROM win WHERE w0 < w1 GROUP BY cd_idx",
 )
 def _(spark, d):
-    report = cj.report_of(_searched(spark, d))
-    return report.select("cd_idx", "windows", "hits", "end_hits", "begin_hits")
+    return _report(spark, d).select("cd_idx", "windows", "hits", "end_hits", "begin_hits")
 
 
 # catalogs

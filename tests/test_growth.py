@@ -1,6 +1,7 @@
 """What moves and what one task holds as tables grow."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyframe.operators import conjunctions as cj
@@ -74,3 +75,39 @@ def test_long_lists_in_cells_are_swept():
     segs = lambda x: range(first[x], first[x] + n[x])
     wanted = sorted((r, a, c) for r, (x, y) in enumerate(zip(i, j, strict=True)) for a in segs(x) for c in segs(y) if max(start[a], start[c]) < min(stop[a], stop[c]))
     assert sorted(zip(p[ok], k[ok], m[ok], strict=True)) == wanted
+
+
+@pytest.mark.parametrize("name", ["conjunctions", "conjunctions_boundary", "rel_speed", "conj_ids", "tca_utc", "conjunctions_otypes"])
+def test_what_is_found_is_never_moved(spark, small, name):
+    """Behind the search there is no shuffle, sort or join: conjunctions grow with the square of the objects, too."""
+    plan = core.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and not any(x in top for x in ("Exchange", "Join", "Sort", "Window"))
+
+
+def _passing(n: int, bent: float) -> tuple[list, list]:
+    """Objects 2k and 2k + 1 far from all others, the second passing the first at time 1 and, with bent paths, curved; cut anew at several times."""
+    objects, segments = [], []
+    for k in range(n):
+        for moves in (0, 1):
+            objects.append((2 * k + moves, 1))
+            cuts = [0.0, 2.0] if k % 3 == 0 else [0.0, 1.0, 2.0] if k % 3 == 1 else [0.0, 0.75, 1.0, 1.5]
+            for t, end in zip(cuts[:-1], cuts[1:], strict=True):
+                at = (t - 1.0) * moves
+                x, y = [0.5 * at, 0.5 * moves], [bent * at * at + 0.01 * moves, 2 * bent * at, bent * moves]
+                segments.append((2 * k + moves, t, end, *(c + [0.0] * (5 - len(c)) for c in (x, y, [100.0 * k], x[1:], [y[1], 2 * y[2]], [], [100.0 * k + 10]))))
+    return objects, segments
+
+
+@pytest.mark.parametrize("bent", [0.0, 0.125])
+def test_minima_at_seams_are_told_once_where_they_are_found(spark, bent):
+    """At the ends of segments, of steps and of both, straight and curved: the search in cells tells what pairs searched one by one do after a sort."""
+    rows, parts = _passing(9, bent)
+    objects = spark.createDataFrame(rows, "obj_idx long, otype int")
+    segments = spark.createDataFrame(parts, "obj_idx long, t_begin double, t_end double, " + ", ".join(f"{c} array<double>" for c in ("x", "y", "z", "vx", "vy", "vz", "r")))
+    for interval in (0.25, 0.4):
+        coded = cj.morton(cj.aabbs(segments, 2.0, interval, 0.2))
+        plain = cj.narrow_phase(cj.collisions(coded, objects), segments, 2.0, interval, 0.2)
+        found = cj.detected(objects, segments, 2.0, 0.2, interval, ("cd_idx", "i", "j", "tca", "dca"))
+        mine, wanted = (sorted((r.i, r.j, round(r.tca, 8), round(r.dca, 8), r.cd_idx) for r in x.collect()) for x in (found, plain))
+        assert mine == wanted and [x[:4] for x in mine] == [(2 * k, 2 * k + 1, 1.0, 0.01) for k in range(9)]
