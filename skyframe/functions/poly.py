@@ -198,12 +198,10 @@ def minima(c: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, t): where in [0, width] the row's polynomial turns from falling to rising. A minimum at an end may show up in both windows that meet there."""
     beyond = SEAM * width
     if c.shape[-1] == 3:
-        row = np.flatnonzero(c[:, 2] > 0)
-        with np.errstate(over="ignore"):
-            t = -c[row, 1] / (2 * c[row, 2])
-        ok = np.isfinite(t) & (t >= -beyond[row]) & (t < width[row] + beyond[row])
-        row, t = row[ok], t[ok]
-        return row, np.clip(t, 0.0, width[row])
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            t = c[:, 1] / (-2 * c[:, 2])
+        row = np.flatnonzero((c[:, 2] > 0) & (t >= -beyond) & (t < width + beyond))
+        return row, np.clip(t[row], 0.0, width[row])
     moved = np_translate(c, -beyond)
     slope = np.concatenate([moved[:, 1:] * np.arange(1, c.shape[1]), np.zeros((len(c), 1))], axis=1)
     row, low, high = sign_intervals(slope, width + 2 * beyond)

@@ -1,6 +1,7 @@
 """What moves and what one task holds as tables grow."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,40 @@ def test_minima_at_seams_are_told_once_where_they_are_found(spark, bent):
         found = cj.detected(objects, segments, 2.0, 0.2, interval, ("cd_idx", "i", "j", "tca", "dca"))
         mine, wanted = (sorted((r.i, r.j, round(r.tca, 8), round(r.dca, 8), r.cd_idx) for r in x.collect()) for x in (found, plain))
         assert mine == wanted and [x[:4] for x in mine] == [(2 * k, 2 * k + 1, 1.0, 0.01) for k in range(9)]
+
+
+@pytest.mark.parametrize("sweep", [True, False])
+def test_blocks_of_a_matrix_find_the_pairs_of_rows(monkeypatch, sweep):
+    """Groups tested as blocks of a matrix, in tiles of any size, and row by row give each pair of a group that overlaps once."""
+    draw = np.random.default_rng(23)
+    n = 400
+    group = np.sort(draw.integers(0, 6, n)) * (draw.integers(0, 9) + 1)
+    middle, half = draw.uniform(0, 4, (n, 4)), draw.uniform(0.1, 1, (n, 4))
+    low, high = (middle - half).astype(np.float32), (middle + half).astype(np.float32)
+    wide_low, wide_high = low - (draw.uniform(size=(n, 1)) < 0.2), high + np.float32(0.5)
+    wide_low = wide_low.astype(np.float32)
+    obj, bits = draw.permutation(n), draw.choice([127, 127, 96, 31], n)
+    columns = {c: np.zeros(n, np.int64) for c in cj._GROUP} | {"cx": group, "obj_idx": obj, "bits": bits}
+    for k, a in enumerate(cj.AXES):
+        columns |= {f"ol{a}": low[:, k], f"ou{a}": high[:, k], f"tl{a}": wide_low[:, k], f"tu{a}": wide_high[:, k]}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
+    wanted = sorted(
+        (i, j)
+        for i in range(n)
+        for j in range(n)
+        if group[i] == group[j] and obj[i] < obj[j] and bits[i] | bits[j] == 127 and (high[i] >= wide_low[j]).all() and (low[i] <= wide_high[j]).all()
+    )
+    assert len(wanted) > 500
+    for dense, matrix, across in ((2, 64, 8), (2, 1 << 17, 1 << 13), (10**6, 64, 8)):
+        for name, value in (("_DENSE", dense), ("_MATRIX", matrix), ("_ACROSS", across), ("_AT_ONCE", 100)):
+            monkeypatch.setattr(cj, name, value)
+        assert sorted((int(x), int(y)) for i, j in cj.met(batch, sweep) for x, y in zip(i, j, strict=True)) == wanted
+
+
+def test_naive_search_moves_rows_to_few_blocks(spark, small, monkeypatch):
+    """Each row goes to as many groups as its step has blocks, which are large; a small step still has several."""
+    assert cj.BLOCK >= 1 << 16
+    rows = []
+    monkeypatch.setattr(cj, "_grouped", lambda cells, full: rows.append(full) or cells.limit(0))
+    cj.collisions_naive(cj.morton(cj.aabbs(b.segments(spark, small), b.MAX_T, b.INTERVAL, b.THRESHOLD)), b.objects(spark, small))
+    assert {r["_n"] for r in rows[0].collect()} == {4 * cj.BLOCK}
